@@ -1,7 +1,8 @@
 """Product listings derived from the given test tables.
 
 The listing table is written once as SQL that Spark and DuckDB both read, so the checks compare the
-operators and not two versions of the test data. ``[[a|b]]`` stands for integer division.
+operators and not two versions of the test data. ``[[a|b]]`` stands for integer division and
+``[[base36]]`` for the base-36 form of the listing number, both written differently by the engines.
 """
 
 from __future__ import annotations
@@ -73,8 +74,8 @@ def _pick(values: list[str], number: str) -> str:
 
 
 def _base36(number: str) -> str:
-    places = [f"[[{number}|{36 ** k}]] % 36 + 1" for k in range(9, -1, -1)]
-    return " || ".join(f"substr('{_DIGITS}', cast({p} as int), 1)" for p in places)
+    places = [f"({number} // {36 ** k}) % 36 + 1" for k in range(9, -1, -1)]
+    return "concat(" + ", ".join(f"substr('{_DIGITS}', cast({p} as int), 1)" for p in places) + ")"
 
 
 def _grouped(sep: str) -> str:
@@ -94,7 +95,7 @@ with base as (
     case when sk % 2 = 0 then 'amazon' else 'takealot' end as store_id
   from base join {{part}} on p_partkey = pk
 ), named as (
-  select *, case when store_id = 'amazon' then {_base36('oid')} else concat('PLID', cast(oid as string)) end as product_id
+  select *, case when store_id = 'amazon' then [[base36]] else concat('PLID', cast(oid as string)) end as product_id
   from facts
 )
 select pk, sk, oid, cents, store_id, product_id,
@@ -137,10 +138,12 @@ from named
 
 
 def spark_sql(sql: str) -> str:
+    sql = sql.replace("[[base36]]", "lpad(conv(cast(oid as string), 10, 36), 10, '0')")
     return re.sub(r"\[\[(.+?)\|(\d+)\]\]", r"((\1) div \2)", sql)
 
 
 def duck_sql(sql: str) -> str:
+    sql = sql.replace("[[base36]]", _base36("oid"))
     return re.sub(r"\[\[(.+?)\|(\d+)\]\]", r"((\1) // \2)", sql)
 
 

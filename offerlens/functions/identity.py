@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from offerlens.functions.text import (
     find_all,
     first_nonempty,
+    let,
     ordered_unique,
     present,
     search,
@@ -42,36 +43,38 @@ def cut_query(url: Column) -> Column:
 
 
 def extract_asin(c: Column) -> Column:
-    text = strip_u(c)
-    whole = F.when(text.rlike(r"(?i)\A[A-Z0-9]{10}\z"), text)
-    places = [search(text, f"(?i){place}([A-Z0-9]{{10}})") for place in ASIN_PLACES]
-    return F.upper(F.coalesce(whole, *places))
+    def find(text: Column) -> Column:
+        whole = F.when(text.rlike(r"(?i)\A[A-Z0-9]{10}\z"), text)
+        places = [search(text, f"(?i){place}([A-Z0-9]{{10}})") for place in ASIN_PLACES]
+        return F.upper(F.coalesce(whole, *places))
+
+    return let(strip_u(c), find)
 
 
 def extract_plid(c: Column) -> Column:
-    return F.upper(search(c, r"(?i)(PLID\d+)"))
+    return let(c, lambda text: F.upper(search(text, r"(?i)(PLID\d+)")))
 
 
 def unwrap_redirect(url: Column) -> Column:
     """Target of an advertising redirect, or the URL itself."""
-    target = F.get(F.split(url, "/x/c/"), F.lit(1))
-    wrapped = F.coalesce(target.contains("https://"), F.lit(False))
-    return F.when(wrapped, F.concat(F.lit("https://"), F.substring_index(url, "https://", -1))).otherwise(url)
-
+    def unwrap(u: Column) -> Column:
+        target = F.get(F.split(u, "/x/c/"), F.lit(1))
+        wrapped = F.coalesce(target.contains("https://"), F.lit(False))
+        return F.when(wrapped, F.concat(F.lit("https://"), F.substring_index(u, "https://", -1))).otherwise(u)
 
-def canonical_from_direct(direct: Column, asin: Column) -> Column:
-    """Canonical product URL of an already unwrapped link and its identifier."""
-    host = F.coalesce(F.nullif(netloc(direct), F.lit("")), F.lit(AMAZON_HOST))
-    is_shop = direct.contains("amazon.") | direct.contains("amzn.")
-    return F.when(
-        asin.isNotNull() & is_shop, F.concat(F.lit("https://"), host, F.lit("/dp/"), asin)
-    ).otherwise(cut_query(direct))
+    return let(url, unwrap)
 
 
 def unwrap_amazon_url(url: Column) -> Column:
     """Clean product URL of a link, ad redirects included; null becomes ''."""
-    direct = unwrap_redirect(url)
-    return F.coalesce(canonical_from_direct(direct, extract_asin(direct)), F.lit(""))
+
+    def clean(direct: Column) -> Column:
+        host = F.coalesce(F.nullif(netloc(direct), F.lit("")), F.lit(AMAZON_HOST))
+        is_shop = direct.contains("amazon.") | direct.contains("amzn.")
+        product = F.when(is_shop, F.concat(F.lit("https://"), host, F.lit("/dp/"), extract_asin(direct)))
+        return F.coalesce(product, cut_query(direct))
+
+    return F.coalesce(let(unwrap_redirect(url), clean), F.lit(""))
 
 
 def absolute(href: Column, base: str) -> Column:
@@ -84,18 +87,25 @@ def clean_takealot_url(href: Column) -> Column:
 
 def clicked_url(url: Column) -> Column:
     """Clean link of a click event, null for links that are no product."""
-    fallback = F.when(url.contains("/dp/") | url.contains("/gp/product/"), cut_query(url))
-    return F.when(url.contains("amazon"), F.coalesce(*[search(url, p) for p in CLICKED_LINKS], fallback))
+
+    def clean(u: Column) -> Column:
+        fallback = F.when(u.contains("/dp/") | u.contains("/gp/product/"), cut_query(u))
+        return F.when(u.contains("amazon"), F.coalesce(*[search(u, p) for p in CLICKED_LINKS], fallback))
+
+    return let(url, clean)
 
 
 def title_from_url(url: Column) -> Column:
     """Readable title from the first path segment, '' if there is none worth showing."""
     path = F.regexp_replace(F.regexp_replace(url, _NETLOC, ""), r"[?#].*\z", "")
     slug = F.regexp_extract(path, r"\A/*([^/]*)", 1)
-    decoded = F.coalesce(F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B"))), slug)
-    title = title_case(F.translate(decoded, "-_", "  "))
-    keep = ~slug.isin("", "dp", "gp") & (F.length(title) > 3)
-    return F.when(keep, title).otherwise(F.lit(""))
+
+    def readable(s: Column) -> Column:
+        decoded = F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+        title = title_case(F.translate(decoded, "-_", "  "))
+        return F.when(~s.isin("", "dp", "gp"), let(title, lambda t: F.when(F.length(t) > 3, t)))
+
+    return F.coalesce(let(slug, readable), F.lit(""))
 
 
 def unique_key(c: Column, store_id: Column | None = None) -> Column:
@@ -120,16 +130,19 @@ def lookup_url(c: Column) -> Column:
 def clean_page_title(c: Column) -> Column:
     """Page title without the shop suffix; null for error pages and empty titles."""
     title = strip_u(F.get(F.split(c, r"(?i)\s*[:|]\s*Amazon\.", 2), F.lit(0)))
-    low = F.lower(title)
-    bad = low.contains("robot check") | low.contains("page not found")
-    return F.when(present(title) & ~bad, title)
+    bad = r"(?i)robot check|page not found"
+    return let(title, lambda t: F.when(present(t) & ~t.rlike(bad), t))
 
 
 def choose_image(old_hires: Column, dynamic: Column, src: Column) -> Column:
     """Best image link of a product picture; a JSON object of sizes gives its first key."""
     link = F.coalesce(first_nonempty(old_hires, dynamic), src, F.lit(""))
-    sizes = F.get(F.json_object_keys(link), F.lit(0))
-    return F.when(link.startswith("{"), F.coalesce(sizes, src, F.lit(""))).otherwise(link)
+
+    def pick(l: Column) -> Column:
+        sizes = F.get(F.json_object_keys(l), F.lit(0))
+        return F.when(l.startswith("{"), F.coalesce(sizes, src, F.lit(""))).otherwise(l)
+
+    return let(link, pick)
 
 
 def clean_gallery(main: Column, sources: Column) -> Column:
@@ -148,7 +161,7 @@ def urls_in_text(text: Column) -> Column:
     Every piece that looks like a shop link counts; a text without any is read as a list of
     links or identifiers on separate lines or between commas.
     """
-    found = find_all(text, r"(?i)(https?://\S*amazon\S+)")
+    found = find_all(text, r"(?i)(https?://\S*amazon\S+)")  # a list is only made where it is empty
     listed = F.filter(F.transform(F.split(text, r"[\r\n,]+"), strip_u), lambda p: p != "")
     pieces = F.when(F.size(found) > 0, found).otherwise(listed)
     return ordered_unique(F.transform(pieces, unwrap_amazon_url))
@@ -168,5 +181,6 @@ def output_name(terms: Column, ext: str = "json") -> Column:
         ),
     )
     name = F.array_join(F.filter(parts, lambda p: p != ""), "_")
-    short = F.when(F.length(name) > 40, F.regexp_replace(F.substring(name, 1, 40), r"_+\z", "")).otherwise(name)
+    cut = lambda n: F.when(F.length(n) > 40, F.regexp_replace(F.substring(n, 1, 40), r"_+\z", "")).otherwise(n)
+    short = let(name, cut)
     return F.concat(F.coalesce(F.nullif(short, F.lit("")), F.lit("scraped_products")), F.lit("." + ext))

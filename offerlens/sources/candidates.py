@@ -38,7 +38,7 @@ def canonical_links(links: DataFrame) -> DataFrame:
     url = F.when(store == "amazon", unwrap_amazon_url(absolute(href, AMAZON_ZA))).otherwise(clean_takealot_url(href))
     out = links.where((F.col("page_num") <= max_page) & is_product_link(store, href)).withColumn("url", url)
     key = F.when(store == "amazon", extract_asin(F.col("url"))).otherwise(extract_plid(F.col("url")))
-    return out.withColumn("product_id", F.coalesce(key, F.col("url"))).where("url <> ''")
+    return out.withColumn("product_id", F.coalesce(key, F.col("url")))
 
 
 def first_links(links: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def first_links(links: DataFrame) -> DataFrame:
     """
     key = F.when(F.col("store_id") == "amazon", F.col("url")).otherwise(F.col("product_id"))
     order = [F.col(c) for c in RANK]
-    return keep_first(canonical_links(links).withColumn("_key", key), [*GROUP, "_key"], order).drop("_key")
+    first = keep_first(canonical_links(links).withColumn("_key", key), [*GROUP, "_key"], order)
+    return first.where("url <> ''").drop("_key")
 
 
 def before_dry_page(first: DataFrame) -> DataFrame:
