@@ -310,7 +310,7 @@ def claims(spark, sf):
 
 @query
 def alerts(spark, sf):
-    return C.classify(A.offers(spark, sf)).select("oid", F.explode("listing_integrity_alerts").alias("alert"))
+    return C.classify(A.offers(spark, sf)).select("oid", F.explode_outer("listing_integrity_alerts").alias("alert")).where("alert is not null")
 
 
 @query
@@ -324,7 +324,9 @@ def alert_rollup(spark, sf):
 def _inputs(spark, sf) -> DataFrame:
     """Every listing as an input twice: as a link and, later, as its canonical URL."""
     o = A.offers(spark, sf)
-    later = F.array(F.struct(F.lit(0).alias("part"), I.absolute(F.col("href"), I.AMAZON_ZA).alias("input")), F.struct(F.lit(1).alias("part"), F.col("url").alias("input")))
+    href = F.col("href")
+    full = F.when(F.col("store_id") == "amazon", I.absolute(href, I.AMAZON_ZA)).otherwise(I.absolute(href, I.TAKEALOT))
+    later = F.array(F.struct(F.lit(0).alias("part"), full.alias("input")), F.struct(F.lit(1).alias("part"), F.col("url").alias("input")))
     return o.select("oid", "store_id", F.explode(later).alias("i")).select("oid", "store_id", "i.part", "i.input")
 
 
