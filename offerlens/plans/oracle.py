@@ -117,8 +117,10 @@ ORACLES["click_url"] = offers(
       else href end as url from offers"""
 )
 ORACLES["unique_key"] = offers(
-    "select oid, case when oid % 9 = 0 then case when store_id = 'amazon' and regexp_full_match(title, '(?i)[a-z0-9]{10}') "
-    "then upper(title) else title end else product_id end as unique_key from offers"
+    # A title is its own key, unless it is a bare identifier or names the listing's number.
+    "select oid, case when oid % 9 <> 0 or (store_id = 'takealot' and (pk + sk) % 29 = 0) then product_id "
+    "when store_id = 'amazon' and regexp_full_match(title, '(?i)[a-z0-9]{10}') then upper(title) "
+    "else title end as unique_key from offers"
 )
 ORACLES["target_url"] = offers(
     """select oid, case when oid % 2 = 0 then
