@@ -29,7 +29,7 @@ EXAMPLE_STORES = [
     StorePlugin(f"example_{end}", f"Example {end}", (f"example.{end}",), lambda url: F.nullif(F.regexp_extract(url, r"/(\d+)", 1), F.lit("")))
     for end in ("com", "net", "org")
 ]
-SCANNED_AT = F.lit("2024-01-01 00:00:00")
+SCANNED_AT = "2024-01-01 00:00:00"
 
 
 def query(fn: Query) -> Query:
@@ -602,14 +602,14 @@ def _reports(spark, sf) -> DataFrame:
 
 @query
 def markdown_report(spark, sf):
-    return markdown_lines(_reports(spark, sf), SCANNED_AT).select("report_id", "section", "idx", "line", "text")
+    return markdown_lines(_reports(spark, sf), F.lit(SCANNED_AT)).select("report_id", "section", "idx", "line", "text")
 
 
 @query
 def json_document(spark, sf):
     """The single-document form, written as text parts and read back as one line count per report."""
     path = new_path(spark, "reports")
-    D.export(_reports(spark, sf), path, SCANNED_AT)
+    D.export(_reports(spark, sf), path, F.lit(SCANNED_AT))
     lines = spark.read.text(path)
     return lines.groupBy("report_id").agg(
         F.count(F.when(F.col("value").contains('"product_id"'), 1)).alias("products"),
@@ -621,7 +621,7 @@ def json_document(spark, sf):
 def json_dataset(spark, sf):
     """Products of the shop pages written as a dataset and read back."""
     path = new_path(spark, "dataset")
-    D.write_dataset(extract_products(A.shop_pages(spark, sf), StoreRegistry()), path, SCANNED_AT)
+    D.write_dataset(extract_products(A.shop_pages(spark, sf), StoreRegistry()), path, F.lit(SCANNED_AT))
     back = D.read_dataset(spark, path)
     return back.select("product_id", "title", "price_numeric", F.size("specs").alias("n_specs"), "package_details.package_type")
 

@@ -21,7 +21,7 @@ def read_url_list(spark: SparkSession, path: str, extra: list[str] | None = None
         strip_u(F.col("value")).alias("input"),
     )
     if extra:
-        given = spark.createDataFrame([(i, v) for i, v in enumerate(extra)], "line bigint, input string")
+        given = spark.createDataFrame([(i, v.strip()) for i, v in enumerate(extra)], "line bigint, input string")
         lines = lines.unionByName(given.withColumn("part", F.lit(1)).withColumn("file", F.lit("")))
     return lines.where(F.col("input") != "")
 
