@@ -30,12 +30,6 @@ def store_targets(runs: DataFrame) -> DataFrame:
     return runs.select(*rest, F.explode(shares).alias("s")).select(*rest, "s.store_id", "s.target").where("target > 0")
 
 
-def quota(target: Column, taken: Column, queries_left: Column) -> Column:
-    """Share of one search term in what is still missing, rounded up."""
-    missing = F.greatest(target - taken, F.lit(0))
-    return F.ceil(missing / F.greatest(queries_left, F.lit(1))).cast("int")
-
-
 def candidate_cap(share: Column) -> Column:
     return F.greatest(share * 4, F.lit(MIN_CANDIDATES))
 
@@ -76,68 +70,57 @@ def allocate(candidates: DataFrame, max_queries: int) -> DataFrame:
     worked off one after the other as windows over the same rows. All windows are keyed by
     (run, store), so one shuffle of the bounded candidate rows serves every step.
     """
-    keys = ["run_id", "store_id"]
-    rank = [F.col(c) for c in RANK]
-    group = Window.partitionBy(*keys)
-    product = Window.partitionBy(*keys, "product_id")
-    amazon = F.col("store_id") == "amazon"
-    df = candidates.repartition(*keys).withColumns(
-        {"pass_no": F.lit(None).cast("int"), "in_list": F.lit(False)}
+    rank = ", ".join(RANK)
+    group = "partition by run_id, store_id"
+    df = candidates.repartition("run_id", "store_id").selectExpr(
+        "*", "cast(null as int) as pass_no", "false as in_list"
     )
+    kept = df.columns
 
     for q in range(max_queries):
-        own = F.col("query_idx") == q
-        df = df.withColumns(
-            {
-                "_taken": F.count("pass_no").over(group),
-                "_used": F.count("pass_no").over(product) > 0,
-            }
+        df = df.selectExpr(
+            "*",
+            f"count(pass_no) over ({group}) as _taken",
+            f"count(pass_no) over ({group}, product_id) > 0 as _used",
         )
-        df = df.withColumn("_quota", quota(F.col("target"), F.col("_taken"), F.col("n_queries") - q))
+        missing, left = "greatest(target - _taken, 0)", f"greatest(n_queries - {q}, 1)"
         # The first store hides used products before it counts pages and links, the second afterwards.
-        df = df.withColumn("_seen", own & ~(amazon & F.col("_used")))
-        seen = Window.partitionBy(*keys, "_seen")
-        df = df.withColumn("_live", F.col("_seen") & (F.dense_rank().over(seen.orderBy("page_num")) == F.col("page_num")))
-        live = Window.partitionBy(*keys, "_live").orderBy(*rank)
-        df = df.withColumn(
-            "_listed",
-            F.col("_live") & (F.row_number().over(live) <= candidate_cap(F.col("_quota"))) & (F.col("_quota") > 0),
+        df = df.selectExpr(
+            "*",
+            f"({missing} + {left} - 1) div {left} as _quota",
+            f"query_idx = {q} and not (store_id = 'amazon' and _used) as _seen",
         )
-        df = df.withColumn("_open", F.col("_listed") & F.col("eligible") & ~F.col("_used"))
-        # A product may stand in one list under two URLs; only its first can be taken.
-        df = df.withColumn(
-            "_open",
-            F.col("_open")
-            & (F.row_number().over(Window.partitionBy(*keys, "product_id", "_open").orderBy(*rank)) == 1),
+        df = df.selectExpr(
+            "*", f"_seen and dense_rank() over ({group}, _seen order by page_num) = page_num as _live"
         )
-        open_ = Window.partitionBy(*keys, "_open").orderBy(*rank)
-        take = F.col("_open") & (F.row_number().over(open_) <= F.col("_quota"))
-        df = df.withColumn("_take", take).withColumns(
-            {
-                "pass_no": F.when(F.col("_take"), F.lit(1)).otherwise(F.col("pass_no")),
-                "in_list": F.col("in_list") | F.col("_listed"),
-            }
+        cap = f"greatest(4 * _quota, {MIN_CANDIDATES})"
+        df = df.selectExpr(
+            "*", f"_live and _quota > 0 and row_number() over ({group}, _live order by {rank}) <= {cap} as _listed"
         )
-        df = df.drop("_taken", "_used", "_quota", "_seen", "_live", "_listed", "_open", "_take")
+        # A product may stand in one list under two URLs; only its first can be taken.
+        df = df.selectExpr("*", "_listed and eligible and not _used as _fit")
+        df = df.selectExpr(
+            "*", f"_fit and row_number() over ({group}, product_id, _fit order by {rank}) = 1 as _open"
+        )
+        df = df.selectExpr("*", f"_open and row_number() over ({group}, _open order by {rank}) <= _quota as _take")
+        changed = {"pass_no": "if(_take, 1, pass_no) as pass_no", "in_list": "in_list or _listed as in_list"}
+        df = df.selectExpr(*[changed.get(c, f"`{c}`") for c in kept])
 
     # What is still missing comes from listed candidates nobody took, in query and rank order.
-    order = [F.col("query_idx"), *rank]
-    df = df.withColumns(
-        {
-            "_missing": F.col("target") - F.count("pass_no").over(group),
-            "_used": F.count("pass_no").over(product) > 0,
-        }
-    ).withColumn("_open", F.col("in_list") & F.col("eligible") & ~F.col("_used"))
-    df = df.withColumn(
-        "_first",
-        F.col("_open") & (F.row_number().over(Window.partitionBy(*keys, "product_id", "_open").orderBy(*order)) == 1),
+    df = df.selectExpr(
+        "*",
+        f"target - count(pass_no) over ({group}) as _missing",
+        f"in_list and eligible and count(pass_no) over ({group}, product_id) = 0 as _fit",
+    )
+    df = df.selectExpr(
+        "*", f"_fit and row_number() over ({group}, product_id, _fit order by query_idx, {rank}) = 1 as _open"
     )
-    fill = Window.partitionBy(*keys, "_first").orderBy(*order)
-    rolled = F.col("_first") & (F.row_number().over(fill) <= F.col("_missing"))
-    df = df.withColumn("_rolled", rolled).withColumn(
-        "pass_no", F.when(F.col("_rolled"), F.lit(2)).otherwise(F.col("pass_no"))
+    df = df.selectExpr(
+        "*", f"_open and row_number() over ({group}, _open order by query_idx, {rank}) <= _missing as _fill"
     )
-    accepted = df.where("pass_no is not null").drop("_missing", "_used", "_open", "_first", "_rolled", "in_list")
+    accepted = df.selectExpr(
+        *["if(_fill, 2, pass_no) as pass_no" if c == "pass_no" else f"`{c}`" for c in kept if c != "in_list"]
+    ).where("pass_no is not null")
     return in_result_order(accepted)
 
 

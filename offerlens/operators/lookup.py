@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from offerlens.functions.identity import extract_asin, title_from_url
 from offerlens.functions.text import collapse_ws, first_nonempty
-from offerlens.operators.allocate import union_stores
 from offerlens.operators.routing import StoreRegistry
-from offerlens.schema import NO_RATING, NO_REVIEWS, PRICE_UNAVAILABLE, UNKNOWN_AVAILABILITY
-from offerlens.sources.pages import extract_products, finish
+from offerlens.schema import NO_RATING, NO_REVIEWS, PRICE_UNAVAILABLE, PRODUCT, UNKNOWN_AVAILABILITY
+from offerlens.sources.pages import finish, page_records
 
 
-def missing_products(urls: DataFrame, registry: StoreRegistry) -> DataFrame:
-    """Records for URLs ``(url, store_id)`` whose page is absent or unreadable."""
+def placeholder() -> dict[str, Column]:
+    """Text columns of a record whose page is absent or unreadable; all others are null."""
     url, takealot = F.col("url"), F.col("store_id") == "takealot"
     asin = extract_asin(url)
     name = F.coalesce(
@@ -21,43 +20,47 @@ def missing_products(urls: DataFrame, registry: StoreRegistry) -> DataFrame:
         F.concat(F.lit("Amazon Product ("), asin, F.lit(")")),
         F.lit("Amazon Product"),
     )
-    none = F.lit(None).cast("string")
-
-    def other(c: Column) -> Column:
-        return F.when(~takealot, c).otherwise(none)
-
-    df = urls.select(
-        "url",
-        "store_id",
-        registry.store_name(F.col("store_id")).alias("source"),
-        F.when(takealot, registry.identifier(F.col("store_id"), url))
-        .otherwise(F.coalesce(asin, F.lit("N/A")))
-        .alias("product_id"),
-        F.when(takealot, F.lit("Takealot Product")).otherwise(name).alias("title"),
-        other(F.split_part(collapse_ws(name), F.lit(" "), F.lit(1))).alias("brand"),
-        F.lit(PRICE_UNAVAILABLE).alias("price"),
-        other(F.lit("")).alias("original_price"),
-        other(F.lit(NO_RATING)).alias("rating"),
-        other(F.lit(NO_REVIEWS)).alias("review_count"),
-        other(F.lit(UNKNOWN_AVAILABILITY)).alias("availability"),
-        *[
-            other(F.lit("")).alias(c)
-            for c in ("image_url", "description", "directions", "safety_warning", "important_information")
-        ],
-        F.array().cast("array<string>").alias("bullet_points"),
-        F.array().cast("array<struct<key:string,value:string>>").alias("specs"),
-    )
-    return finish(df)
+    first_shop = {
+        "original_price": "",
+        "rating": NO_RATING,
+        "review_count": NO_REVIEWS,
+        "availability": UNKNOWN_AVAILABILITY,
+        "image_url": "",
+        "description": "",
+        "directions": "",
+        "safety_warning": "",
+        "important_information": "",
+    }
+    return {
+        "url": url,
+        "store_id": F.col("store_id"),
+        "source": F.col("source"),
+        "product_id": F.when(takealot, F.col("product_id")).otherwise(F.coalesce(asin, F.lit("N/A"))),
+        "title": F.when(takealot, F.lit("Takealot Product")).otherwise(name),
+        "brand": F.when(~takealot, F.split_part(collapse_ws(name), F.lit(" "), F.lit(1))),
+        "price": F.lit(PRICE_UNAVAILABLE),
+        "bullet_points": F.array().cast("array<string>"),
+        "specs": F.array().cast("array<struct<key:string,value:string>>"),
+        **{c: F.when(~takealot, F.lit(v)) for c, v in first_shop.items()},
+    }
 
 
 def lookup_products(urls: DataFrame, pages: DataFrame, registry: StoreRegistry) -> DataFrame:
     """One product per distinct ``(url, store_id)``.
 
-    Only the pages asked for reach the extraction job. Pages that are missing, blocked or hold no valid
-    product of the first shop give a placeholder record; the second shop's pages are taken as they are.
+    Only the pages asked for reach the extraction job, each once. Pages that are missing, blocked or hold
+    no valid product of the first shop give a placeholder record; the second shop's pages are taken as
+    they are.
     """
     wanted = urls.select("url", "store_id").where("store_id is not null").distinct()
-    found = extract_products(wanted.join(pages.select("url", "html"), "url"), registry)
-    found = found.where(registry.is_valid(F.col("store_id"), skip=("takealot",)))
-    missed = wanted.join(found.select("url", "store_id"), ["url", "store_id"], "left_anti")
-    return union_stores(found, missing_products(missed, registry))
+    records = page_records(wanted.join(pages.select("url", "html"), "url", "left"), registry)
+    valid = registry.is_valid(F.col("store_id"), skip=("takealot",))
+    lost = F.col("reason").isNotNull() | ~valid
+    records = records.withColumn("lost", lost)
+    have, instead = set(records.columns), placeholder()
+    names = [f.name for f in PRODUCT.fields if f.name in have]
+    chosen = [
+        F.when(F.col("lost"), instead.get(n, F.lit(None))).otherwise(F.col(n)).alias(n) for n in names
+    ]
+    symbol = F.when(~F.col("lost"), F.col("symbol")).alias("symbol")
+    return finish(records.select(*chosen, symbol))

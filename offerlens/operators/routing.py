@@ -116,6 +116,10 @@ class StoreRegistry:
     def store_name(self, store_id: Column) -> Column:
         return self._by_store(store_id, lambda p: F.lit(p.store_name), "string")
 
+    def selectors(self, store_id: Column) -> Column:
+        """Name of the selector table for the pages of a store."""
+        return self._by_store(store_id, lambda p: F.lit(p.selectors), "string")
+
     def _by_store(self, store_id: Column, rule: Callable[[StorePlugin], Column], kind: str) -> Column:
         out = F.when(F.lit(False), F.lit(None).cast(kind))
         for plugin in self._plugins.values():

@@ -98,7 +98,7 @@ def line_attributes(block: Column) -> Column:
     name or too long; other lines count if they read ``name: value``.
     """
     lines = F.filter(F.transform(F.split(block, "\n"), strip_u), lambda l: l != "")
-    known = lambda l: l.isin(LINE_KEYS)
+    known = lambda l: l.rlike(r"\A(?:" + "|".join(LINE_KEYS) + r")\z")
     none = F.lit(None).cast("string")
 
     def entry(key: Column, value: Column, paired: bool) -> Column:

@@ -92,56 +92,74 @@ def raw_fields(pages: DataFrame, tables: dict[str, dict]) -> DataFrame:
     return pages.mapInPandas(run, schema)
 
 
-def extract_products(
-    pages: DataFrame, registry: StoreRegistry, tables: dict[str, dict] | None = None, with_reason: bool = False
-) -> DataFrame:
-    """Pages ``(url, html[, store_id])`` -> products.
+def page_records(pages: DataFrame, registry: StoreRegistry, tables: dict[str, dict] | None = None) -> DataFrame:
+    """Pages ``(url, html[, store_id])`` -> text columns of products, ready for :func:`finish`.
 
-    Pages of no known store are left out. Empty pages become placeholder records; bot-check pages are
-    dropped, or kept with a ``reason`` (and no fields) if ``with_reason``. The loose price search and the
-    currency marks look at the page in the JVM, so Python returns only the selected strings.
+    Pages of no known store are left out. ``reason`` says why a page holds nothing: ``empty``,
+    ``blocked`` or ``unreadable``. The loose price search and the currency marks look at the page in the
+    JVM, so Python returns only the selected strings.
     """
     tables = tables or FIELD_TABLES
     if "store_id" not in pages.columns:
         pages = pages.withColumn("store_id", registry.route(F.col("url")))
-    selectors = registry._by_store(F.col("store_id"), lambda p: F.lit(p.selectors), "string")
     base = pages.select(
-        "url",
-        "store_id",
-        F.coalesce(F.col("html"), F.lit("")).alias("html"),
-        selectors.alias("selectors"),
-        detect_currency(F.col("url"), F.col("html")).alias("symbol"),
-        F.when(selectors == "takealot", strip_u(search(F.col("html"), r"(?U)(R\s*[0-9\s,.]+)"))).alias("loose_price"),
-        block_reason(F.col("html")).alias("reason"),
+        "url", "store_id", F.coalesce(F.col("html"), F.lit("")).alias("html"),
+        registry.selectors(F.col("store_id")).alias("selectors"),
     ).where("selectors is not null")
-    if not with_reason:
-        base = base.where("reason is null or reason <> 'blocked'")
-    raw = raw_fields(base.withColumn("html", F.when(F.coalesce("reason", F.lit("")) == "blocked", "").otherwise(F.col("html"))), tables)
-    raw = raw.withColumn("reason", F.coalesce("reason", F.when(F.col("error").isNotNull(), F.lit("unreadable"))))
-    shop = F.col("selectors")
-    cols = {name: F.when(shop == "takealot", t).otherwise(a) for name, a, t in _fields()}
-    staged = raw.withColumn("specs", F.when(shop == "takealot", _takealot_specs()).otherwise(_amazon_specs()))
-    staged = staged.withColumn(
-        "description", F.when(shop == "takealot", _description("Description")).otherwise(_description("Product description"))
-    )
-    staged = staged.withColumn(
-        "bullet_points", F.when(shop == "takealot", _takealot_bullets()).otherwise(_amazon_bullets())
+    html, shop = F.col("html"), F.col("selectors")
+    second = shop == "takealot"
+    reason = F.when(second, F.when(html == "", F.lit("empty"))).otherwise(block_reason(html))
+    base = base.withColumns(
+        {
+            "symbol": detect_currency(F.col("url"), html),
+            "loose_price": F.when(second, strip_u(F.regexp_extract(html, r"(?U)(R\s*[0-9\s,.]+)", 1))),
+            "reason": reason,
+        }
+    ).withColumn("html", F.when(F.col("reason").isNull(), html).otherwise(F.lit("")))
+    raw = raw_fields(base, tables)
+    df = raw.withColumns(
+        {
+            "reason": F.coalesce("reason", F.when(F.col("error").isNotNull(), F.lit("unreadable"))),
+            "attributes": F.transform(
+                "blocks",
+                lambda b: F.struct(b["section"].alias("section"), sections.line_attributes(b["text"]).alias("entries")),
+            ),
+        }
     )
-    staged = staged.withColumn("listed", sections.ingredients(F.col("info_text"), F.col("description"), F.col("bullet_points"), F.col("specs")))
-    staged = staged.withColumns(
+    by_shop = lambda a, b: F.when(second, b).otherwise(a)
+    df = df.withColumns(
         {
+            "specs": by_shop(_amazon_specs(), _takealot_specs()),
+            "description": by_shop(_description("Product description"), _description("Description")),
+            "image_url": by_shop(
+                choose_image(F.col("image_hires"), F.col("image_sizes"), F.col("image_src")),
+                F.coalesce("image_src", F.lit("")),
+            ),
             "source": registry.store_name(F.col("store_id")),
             "product_id": registry.identifier(F.col("store_id"), F.col("url")),
         }
     )
-    staged = staged.withColumn("brand", F.when(shop == "takealot", _takealot_brand()).otherwise(_amazon_brand()))
-    staged = staged.withColumn(
-        "image_url", F.when(shop == "takealot", F.coalesce("image_src", F.lit(""))).otherwise(
-            choose_image(F.col("image_hires"), F.col("image_sizes"), F.col("image_src"))
-        )
+    df = df.withColumns(
+        {
+            "bullet_points": by_shop(_amazon_bullets(), _takealot_bullets()),
+            "brand": by_shop(_amazon_brand(), _takealot_brand()),
+        }
     )
-    staged = staged.withColumns(cols)
-    return finish(staged, extra=["reason"] if with_reason else [])
+    found = sections.ingredients(F.col("info_text"), F.col("description"), F.col("bullet_points"), F.col("specs"))
+    return df.withColumn("listed", found).withColumns({name: by_shop(x, y) for name, x, y in _fields()})
+
+
+def extract_products(
+    pages: DataFrame, registry: StoreRegistry, tables: dict[str, dict] | None = None, with_reason: bool = False
+) -> DataFrame:
+    """Pages -> products. Empty pages become placeholder records.
+
+    Bot-check pages are dropped, or kept without fields and with a ``reason`` if ``with_reason``.
+    """
+    df = page_records(pages, registry, tables)
+    if with_reason:
+        return finish(df, extra=["reason"])
+    return finish(df.where("reason is null or reason <> 'blocked'"))
 
 
 def finish(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -150,25 +168,25 @@ def finish(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     Needs the text columns of a product (missing ones become null) and optionally ``symbol``; the
     result has the columns of ``schema.PRODUCT``.
     """
-    for field in PRODUCT.fields:
-        if field.name not in df.columns:
-            df = df.withColumn(field.name, F.lit(None).cast(field.dataType))
-    df = df.withColumns(
-        {
-            "price_numeric": parse_price(F.col("price")),
-            "original_price_numeric": parse_price(F.col("original_price")),
-            "rating_numeric": rating_numeric(F.col("rating")),
-            "review_count_numeric": review_count_numeric(F.col("review_count")),
-        }
-    )
+    have = set(df.columns)
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in PRODUCT.fields if f.name not in have}
+    numbers = {
+        "price_numeric": parse_price(F.col("price")),
+        "original_price_numeric": parse_price(F.col("original_price")),
+        "rating_numeric": rating_numeric(F.col("rating")),
+        "review_count_numeric": review_count_numeric(F.col("review_count")),
+    }
+    if "symbol" in have:
+        numbers["currency"] = F.when(F.col("store_id") == "takealot", F.lit("ZAR")).otherwise(
+            currency_code(F.col("url"), F.col("symbol"))
+        )
+    texts = {k: v for k, v in missing.items() if k in ("original_price", "rating", "review_count", "aplus_content")}
+    if texts:
+        df = df.withColumns(texts)
+    df = df.withColumns({**{k: v for k, v in missing.items() if k not in texts}, **numbers})
     df = df.withColumn(
         "discount_percentage", discount_percentage(F.col("price_numeric"), F.col("original_price_numeric"))
     )
-    if "symbol" in df.columns:
-        code = F.when(F.col("store_id") == "takealot", F.lit("ZAR")).otherwise(
-            currency_code(F.col("url"), F.col("symbol"))
-        )
-        df = df.withColumn("currency", code)
     return classify(df).select(*[f.name for f in PRODUCT.fields], *(extra or []))
 
 
@@ -199,7 +217,7 @@ def _fields() -> list[tuple[str, Column, Column]]:
     )
     shown = _text("price_text", PRICE_UNAVAILABLE)
     no_price = (shown == "") | F.lower(shown).contains("unavailable")
-    takealot_price = rand_prefix(F.when(no_price, F.coalesce("loose_price", shown)).otherwise(shown))
+    takealot_price = rand_prefix(F.when(no_price, F.coalesce(F.nullif("loose_price", F.lit("")), shown)).otherwise(shown))
 
     texts = F.filter("merchant_texts", lambda t: t != "")
     seller = F.when(F.size(texts) >= 2, F.get(texts, F.lit(1)))
@@ -224,7 +242,6 @@ def _fields() -> list[tuple[str, Column, Column]]:
     takealot_box = _parts(first_spec(F.col("specs"), ["What's in the box", "What’s in the box"]), "\n")
 
     rich = collapse_ws(F.col("rich_text"))
-    paired = F.filter(_block_entries(), lambda e: e["paired"] & (e["key"] == "Ingredients"))
     image = F.col("image_url")
     return [
         ("title", amazon_title, takealot_title),
@@ -252,7 +269,7 @@ def _fields() -> list[tuple[str, Column, Column]]:
         (
             "ingredients",
             F.when(empty, F.lit(NO_INGREDIENTS)).otherwise(F.col("listed")),
-            F.coalesce(first_nonempty(first_of(paired)["value"]), F.col("listed")),
+            F.coalesce(first_nonempty(_paired("Ingredients")), F.col("listed")),
         ),
         ("aplus_content", F.when(F.length(rich) > 15, rich).otherwise(F.lit("")), F.lit(None).cast("string")),
         ("whats_in_the_box", amazon_box, takealot_box),
@@ -314,9 +331,10 @@ def _amazon_specs() -> Column:
     return specs_first_wins(F.transform(kept, lambda s: _entry(s["key"], s["value"])))
 
 
-def _block_entries() -> Column:
-    blocks = F.coalesce(F.col("blocks"), F.array().cast("array<struct<section:int,text:string>>"))
-    return F.flatten(F.transform(blocks, lambda b: sections.line_attributes(b["text"])))
+def _paired(key: str) -> Column:
+    """First value of a known attribute in the page's text blocks."""
+    entries = F.flatten(F.transform("attributes", lambda b: b["entries"]))
+    return first_of(F.filter(entries, lambda e: e["paired"] & (e["key"] == key)))["value"]
 
 
 def _takealot_specs() -> Column:
@@ -326,7 +344,6 @@ def _takealot_specs() -> Column:
     further inside replaces one found further out.
     """
     rows = F.coalesce(F.col("spec_rows"), F.array().cast(f"array<{ROW}>"))
-    blocks = F.coalesce(F.col("blocks"), F.array().cast("array<struct<section:int,text:string>>"))
 
     def placed(section: Column, phase: int, at: Column, key: Column, value: Column) -> Column:
         return F.struct(
@@ -350,13 +367,11 @@ def _takealot_specs() -> Column:
     tables = F.filter(tables, lambda s: present(s["key"]) & present(s["value"]) & (F.length(s["key"]) < 50))
     lines = F.flatten(
         F.transform(
-            blocks,
-            lambda b: F.transform(
-                sections.line_attributes(b["text"]), lambda e, i: placed(b["section"], 1, i, e["key"], e["value"])
-            ),
+            "attributes",
+            lambda b: F.transform(b["entries"], lambda e, i: placed(b["section"], 1, i, e["key"], e["value"])),
         )
     )
-    ordered = F.array_sort(F.concat(tables, lines))
+    ordered = F.array_sort(F.concat(tables, F.coalesce(lines, F.slice(tables, 1, 0))))
     return specs_last_wins(F.transform(ordered, lambda s: _entry(s["key"], s["value"])))
 
 
@@ -380,5 +395,4 @@ def _amazon_brand() -> Column:
 
 
 def _takealot_brand() -> Column:
-    paired = F.filter(_block_entries(), lambda e: e["paired"] & (e["key"] == "Brand"))
-    return F.coalesce(first_nonempty(first_of(paired)["value"], F.col("brand_text")), F.lit("Takealot"))
+    return F.coalesce(first_nonempty(_paired("Brand"), F.col("brand_text")), F.lit("Takealot"))
