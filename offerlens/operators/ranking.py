@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -56,30 +54,23 @@ def rank_in_blocks(
 ) -> DataFrame:
     """``row_number`` per group without putting a group into one task.
 
-    ``blocks`` must be ordered like the leading part of ``order`` (ascending): the rows of a group
-    that share all block values are numbered among themselves, and the sizes of all earlier blocks are
-    added. Only one row per block takes part in the running sum, and the blocks of a group are summed
-    in levels of the block columns.
+    ``blocks`` are non-null columns ordered like the leading part of ``order`` (ascending): the rows of a
+    group that share all block values are numbered among themselves, and the sizes of the group's earlier
+    blocks are added. Only one row per block takes part in that running sum. ``df`` is read twice, for
+    the sizes and for the numbering; store it first if it is costly.
     """
     names = [f"_b{i}" for i in range(len(blocks))]
     df = df.withColumns(dict(zip(names, blocks)))
     local = Window.partitionBy(*keys, *names).orderBy(*order)
-    df = df.withColumn("_local", F.row_number().over(local))
-    # Rows before a block = rows of earlier blocks at the first level + at the second level within it + ...
-    counts = df.groupBy(*keys, *names).agg(F.count("*").alias("_n"))
-    total = counts
-    for depth in range(len(names)):
-        above, own = names[:depth], names[depth]
-        level = counts.groupBy(*keys, *above, own).agg(F.sum("_n").alias("_level_n"))
-        w = Window.partitionBy(*keys, *above).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
-        level = level.select(
-            *keys, *above, own, F.coalesce(F.sum("_level_n").over(w), F.lit(0)).alias(f"_off{depth}")
-        )
-        total = total.join(level, [*keys, *above, own])
-    offset = reduce(lambda a, b: a + b, [F.col(f"_off{d}") for d in range(len(names))])
-    total = total.select(*keys, *names, offset.alias("_off"))
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(*keys, *names)
+        .agg(F.count("*").alias("_n"))
+        .select(*keys, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    )
     return (
-        df.join(total, [*keys, *names])
-        .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
+        df.withColumn("_local", F.row_number().over(local))
+        .join(offsets, [*keys, *names])
+        .withColumn(name, F.col("_off") + F.col("_local"))
         .drop("_off", "_local", *names)
     )

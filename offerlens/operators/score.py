@@ -159,7 +159,8 @@ def rank_scored(scored: DataFrame, block: int = 1 << 16) -> DataFrame:
 
     Scores are whole tenths, so a set falls into blocks of one score and a stretch of input positions.
     """
-    blocks = [-F.col("overall_score"), F.floor(F.col("idx") / block)]
+    tenths = F.coalesce(F.rint(F.col("overall_score") * -10).cast("int"), F.lit(0))
+    blocks = [tenths, F.coalesce(F.floor(F.col("idx") / block), F.lit(0))]
     return rank_in_blocks(scored, ["comparison_id"], blocks, [F.col("idx")], "position")
 
 
