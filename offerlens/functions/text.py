@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+# Every character that counts as whitespace at the ends of a text.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Whitespace as a Unicode-aware class; Java's plain \s is ASCII only.
 _WS = r"(?U)[\s\x1c-\x1f]+"
 
@@ -22,7 +28,7 @@ def collapse_ws(c: Column) -> Column:
 
 def strip_u(c: Column) -> Column:
     """Strip Unicode whitespace at both ends."""
-    return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def nonempty(c: Column) -> Column:

@@ -59,16 +59,24 @@ def context_bonus(context: Column, specs: Column, bullets: Column) -> Column:
         F.lower(searchable_text(specs, bullets)),
         lambda text: F.size(F.filter(terms, lambda t: text.contains(t))),
     )
-    return F.coalesce(F.least(F.lit(1.2), F.greatest(hits, F.lit(0)) * F.lit(0.4)), F.lit(0.0))
+    bonus = F.least(F.lit(1.2), F.greatest(hits, F.lit(0)) * F.lit(0.4))
+    return F.when(F.coalesce(context != "", F.lit(False)), F.coalesce(bonus, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def searchable_text(specs: Column, bullets: Column) -> Column:
-    """Specs as a JSON object followed by bullets as a JSON array."""
-    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"\A\[|\]\z", "")
-    pairs = F.transform(specs, lambda s: F.concat_ws(": ", quoted(s["key"]), quoted(s["value"])))
-    return F.concat(
-        F.lit("{"), F.array_join(pairs, ", "), F.lit("}["), F.array_join(F.transform(bullets, quoted), ", "), F.lit("]")
-    )
+    """Specs as a JSON object followed by bullets as a JSON array, escaped in one go.
+
+    A control character stands for the quotes around each text until the quotes inside are escaped.
+    """
+    mark = "\x01"
+    pairs = F.transform(
+        specs, lambda s: F.concat(F.lit(mark), s["key"], F.lit(f"{mark}: {mark}"), s["value"], F.lit(mark))
+    )
+    items = F.transform(bullets, lambda b: F.concat(F.lit(mark), b, F.lit(mark)))
+    raw = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}["), F.array_join(items, ", "), F.lit("]"))
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        raw = F.replace(raw, F.lit(plain), F.lit(escaped))
+    return F.replace(raw, F.lit(mark), F.lit('"'))
 
 
 def pros() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from offerlens.functions.text import find_all, ordered_unique, present, search, spec_value, strip_u
+from offerlens.functions.text import find_all, let, ordered_unique, present, search, strip_u
 from offerlens.schema import NO_INGREDIENTS
 from offerlens.sources.shop_fields import INGREDIENT_KEYS, LINE_KEYS
 
@@ -66,13 +66,24 @@ def listed_benefits(description: Column) -> Column:
 
 def ingredients(info: Column, description: Column, bullets: Column, specs: Column) -> Column:
     """All ingredient statements of a listing joined by `` | ``, or the fixed 'not specified' text."""
-    from_specs = [
-        F.when(F.length(spec_value(specs, k)) > 2, F.concat(F.lit(k + ": "), spec_value(specs, k)))
-        for k in INGREDIENT_KEYS
-    ]
+    keys = "|".join(INGREDIENT_KEYS)
+    named = F.filter(specs, lambda s: s["key"].rlike(rf"\A(?:{keys})\z") & (F.length(s["value"]) > 2))
+    by_key = lambda found: F.flatten(
+        F.array(
+            *[
+                F.transform(
+                    F.slice(F.filter(found, lambda s: s["key"] == k), 1, 1),
+                    lambda s: F.concat_ws(": ", s["key"], s["value"]),
+                )
+                for k in INGREDIENT_KEYS
+            ]
+        )
+    )
+    from_specs = let(named, lambda found: F.when(F.size(found) > 0, by_key(found)))
     from_info = [_found(info, p) for p in INGREDIENT_SECTIONS]
     from_info = [F.when(F.length(x) > 3, x) for x in from_info]
-    sure = F.filter(F.array(*from_specs, *from_info), lambda x: x.isNotNull())
+    stated = F.filter(F.array(*from_info), lambda x: x.isNotNull())
+    sure = F.concat(F.coalesce(from_specs, F.array().cast("array<string>")), stated)
     text = F.concat_ws(" ", description, F.array_join(bullets, " "))
     mentioned = F.filter(
         F.transform(find_all(text, INGREDIENT_SENTENCES), strip_u), lambda m: F.length(m) > 5
