@@ -41,12 +41,10 @@ def candidate_prefix(links: DataFrame, targets: DataFrame) -> DataFrame:
     took; anything behind the first ``cap + target`` products is out of reach whatever the earlier
     queries do. The size of the result is bounded by the limits of the runs, not by the links.
     """
-    wanted = first_links(links.join(targets, ["run_id", "store_id"]).where("query_idx < n_queries"))
+    wanted = first_links(links).join(targets, ["run_id", "store_id"]).where("query_idx < n_queries")
     reach = candidate_cap(F.col("target")) + F.col("target")
     order = [F.col(c) for c in RANK]
-    first = F.row_number().over(Window.partitionBy(*GROUP, "product_id").orderBy(*order)) == 1
-    wanted = wanted.withColumn("_first", first)
-    return top_k(wanted, GROUP, order, reach, ["product_id"], counted=F.col("_first")).drop("rn", "_first")
+    return top_k(wanted, GROUP, order, reach, ["product_id"], count_distinct=True).drop("rn")
 
 
 def with_eligibility(candidates: DataFrame, products: DataFrame) -> DataFrame:

@@ -21,21 +21,24 @@ def top_k(
     order: list[Column],
     k: Column,
     spread_on: list[str],
-    counted: Column | None = None,
+    count_distinct: bool = False,
     salts: int | None = None,
 ) -> DataFrame:
     """First ``k`` rows of every group, ``k`` being a column that is constant within the group.
 
     Each group is first cut into ``salts`` parts by a hash of ``spread_on``; only the best ``k`` of a
     part reach the final ranking, which is exact because no other row could be among the first ``k``.
-    With ``counted`` only rows where it is true count towards ``k``; the others stay as long as the
-    count before them is not used up. Adds ``rn``, the 1-based count.
+    With ``count_distinct`` only the first row of every value of ``spread_on`` counts towards ``k``; the
+    others stay as long as the count is not used up. Adds ``rn``, the 1-based count. The explicit
+    repartition keeps a join before it free to split hot keys.
     """
     salts = salts or spread(df)
-    one = (F.lit(True) if counted is None else counted).cast("int")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts))).repartition(*keys, "_salt")
+    first = Window.partitionBy(*keys, "_salt", *spread_on).orderBy(*order)
+    one = (F.row_number().over(first) == 1).cast("int") if count_distinct else F.lit(1)
     running = lambda w: F.sum("_one").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return (
-        df.withColumns({"_one": one, "_salt": F.pmod(F.xxhash64(*spread_on), F.lit(salts))})
+        salted.withColumn("_one", one)
         .withColumn("_part_rn", running(Window.partitionBy(*keys, "_salt")))
         .where(F.col("_part_rn") <= k)
         .withColumn("rn", running(Window.partitionBy(*keys)))
@@ -44,6 +47,23 @@ def top_k(
     )
 
 
+def with_group_facts(
+    df: DataFrame, keys: list[str], block: Column, facts: dict[str, tuple[Column, Column]]
+) -> DataFrame:
+    """Add facts about whole groups to their rows without collecting a group anywhere.
+
+    ``facts`` maps a name to (aggregate of the rows of a block, aggregate of that name over blocks). Rows
+    are aggregated per (group, block), the few block rows are combined per group, and the result is
+    joined back by (group, block), so that even what follows the join is spread over the blocks.
+    """
+    df = df.withColumn("_block", block)
+    by_block = [*keys, "_block"]
+    part = df.groupBy(*by_block).agg(*[agg.alias(name) for name, (agg, _) in facts.items()])
+    group = Window.partitionBy(*keys)
+    whole = part.select(*by_block, *[over.over(group).alias(name) for name, (_, over) in facts.items()])
+    return df.join(whole, by_block).drop("_block")
+
+
 def spread(df: DataFrame) -> int:
     """Number of parts for a hot group: the session's shuffle width, at least 8."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -1,8 +1,8 @@
 """Comparison scoring of products inside comparison sets.
 
 Products carry ``comparison_id`` (the set), ``idx`` (their order in it), ``user_context`` and the
-product columns. All per-set facts are partial aggregates joined back, never windows over a set, so one
-set may hold any share of the rows.
+product columns. Facts about a set are partial aggregates joined back per block of the set, never windows over
+its rows, so one set may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from offerlens.functions.price import parse_price, parse_price_loose
 from offerlens.functions.text import let, round_tenths, search
-from offerlens.operators.ranking import rank_in_blocks
+from offerlens.operators.ranking import rank_in_blocks, with_group_facts
+
+# Input positions per block: how much of one set may meet in one task.
+BLOCK = 1 << 16
 
 # Constants of the scoring rules.
 DEFAULT_LOW, DEFAULT_HIGH = 100.0, 1000.0
@@ -140,7 +143,22 @@ def score(products: DataFrame, price_source: str = "loose", exclude_unpriced: bo
     )
     if exclude_unpriced:
         df = df.where("price_val > 0")
-    df = df.join(price_extremes(df), "comparison_id")
+    positive = F.when(F.col("price_val") > 0, F.col("price_val"))
+    df = with_group_facts(
+        df,
+        ["comparison_id"],
+        F.coalesce(F.floor(F.col("idx") / BLOCK), F.lit(0)),
+        {
+            "min_price": (F.min(positive), F.min("min_price")),
+            "max_price": (F.max(positive), F.max("max_price")),
+        },
+    )
+    df = df.withColumns(
+        {
+            "min_price": F.coalesce("min_price", F.lit(DEFAULT_LOW)),
+            "max_price": F.coalesce("max_price", F.lit(DEFAULT_HIGH)),
+        }
+    )
     df = df.withColumns(
         {
             "specs_score": specs_score(F.size("specs")),
@@ -162,7 +180,7 @@ def score(products: DataFrame, price_source: str = "loose", exclude_unpriced: bo
     return df.withColumns({"overall_score": overall, "pros": pros(), "cons": cons()})
 
 
-def rank_scored(scored: DataFrame, block: int = 1 << 16) -> DataFrame:
+def rank_scored(scored: DataFrame, block: int = BLOCK) -> DataFrame:
     """Position of every product in its set: best score first, ties in input order.
 
     Scores are whole tenths, so a set falls into blocks of one score and a stretch of input positions.

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from offerlens.functions.identity import clicked_url
+from offerlens.operators.ranking import with_group_facts
 from offerlens.storage import write_batch
 
 
@@ -20,45 +21,46 @@ def clean_clicks(events: DataFrame) -> DataFrame:
     )
 
 
-def replay(events: DataFrame) -> DataFrame:
+# Stretch of ``seq`` that may meet in one task.
+BLOCK = 1 << 20
+
+
+def replay(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """Final lists as rows ``(user_id, url, added_at)``; a list is ordered by ``added_at``.
 
     A link's last toggle decides: before it, the last add (if any) and the parity of the toggles since
-    give its state; after it, only adds can follow. Everything is a partial aggregate per user or per
-    (user, link), so neither a busy user nor a popular link is worked off in one task.
+    give its state; after it, only adds can follow. All of this is aggregated per stretch of ``seq`` first,
+    so neither a busy user nor a popular link is worked off in one task.
     """
     key = ["user_id", "url"]
+    stretch = F.floor(F.col("seq") / block)
     add, toggle, seq = F.col("action") == "add", F.col("action") == "toggle", F.col("seq")
-    cleared = events.where("action = 'clear'").groupBy("user_id").agg(F.max("seq").alias("cleared"))
+    last_toggle, add_before = F.col("last_toggle"), F.col("add_before")
+
+    clears = {"cleared": (F.max(F.when(F.col("action") == "clear", seq)), F.max("cleared"))}
     live = (
-        events.where("action <> 'clear'")
-        .join(cleared, "user_id", "left")
-        .where("cleared is null or seq > cleared")
+        with_group_facts(events.where("seq is not null"), ["user_id"], stretch, clears)
+        .where("action <> 'clear' and (cleared is null or seq > cleared)")
         .select(*key, "seq", "action")
     )
-    toggled = live.where(toggle).groupBy(*key).agg(F.max("seq").alias("last_toggle"))
-    adds = (
-        live.where(add)
-        .join(toggled, key, "left")
-        .groupBy(*key)
-        .agg(
-            F.max(F.when(seq < F.col("last_toggle"), seq)).alias("add_before"),
-            F.min(F.when(F.col("last_toggle").isNull() | (seq > F.col("last_toggle")), seq)).alias("add_after"),
-        )
+    toggles = {"last_toggle": (F.max(F.when(toggle, seq)), F.max("last_toggle"))}
+    live = with_group_facts(live, key, stretch, toggles)
+    after = F.when(add & (last_toggle.isNull() | (seq > last_toggle)), seq)
+    adds = {
+        "add_before": (F.max(F.when(add & (seq < last_toggle), seq)), F.max("add_before")),
+        "add_after": (F.min(after), F.min("add_after")),
+    }
+    live = with_group_facts(live, key, stretch, adds)
+    flips = F.count(F.when(toggle & (add_before.isNull() | (seq > add_before)), F.lit(1)))
+    state = live.groupBy(*key, stretch.alias("stretch")).agg(
+        flips.alias("n"), *[F.first(c).alias(c) for c in ("last_toggle", "add_before", "add_after")]
     )
-    flips = (
-        live.where(toggle)
-        .join(adds, key, "left")
-        .groupBy(*key)
-        .agg(
-            F.max("seq").alias("last_toggle"),
-            F.count(F.when(F.col("add_before").isNull() | (seq > F.col("add_before")), F.lit(1))).alias("n"),
-        )
+    state = state.groupBy(*key).agg(
+        F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("last_toggle", "add_before", "add_after")]
     )
-    state = adds.join(flips, key, "full")
-    on = (F.col("n") + F.col("add_before").isNotNull().cast("int")) % 2 == 1
-    added_at = F.when(F.col("last_toggle").isNull(), F.col("add_after")).otherwise(
-        F.when(on, F.col("last_toggle")).otherwise(F.col("add_after"))
+    on = (F.col("n") + add_before.isNotNull().cast("int")) % 2 == 1
+    added_at = F.when(last_toggle.isNull(), F.col("add_after")).otherwise(
+        F.when(on, last_toggle).otherwise(F.col("add_after"))
     )
     return state.select(*key, added_at.alias("added_at")).where("added_at is not null")
 

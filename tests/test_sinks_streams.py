@@ -93,7 +93,7 @@ CLICKS = "user_id bigint, seq bigint, action string, url string"
 
 def test_click_replay(spark):
     events = random_clicks()
-    found = clicks.replay(spark.createDataFrame(events, CLICKS)).collect()
+    found = clicks.replay(spark.createDataFrame(events, CLICKS), block=64).collect()
     assert sorted((r.user_id, r.url, r.added_at) for r in found) == replay_plain(events)
 
 
