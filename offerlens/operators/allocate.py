@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerlens.operators.filters import in_price_range
-from offerlens.operators.ranking import keep_first, top_k
+from offerlens.operators.ranking import keep_first, spread, top_k
 from offerlens.sources.candidates import GROUP, MIN_CANDIDATES, RANK, first_links
 
 # Order in which stores are filled.
@@ -66,11 +66,12 @@ def allocate(candidates: DataFrame, max_queries: int) -> DataFrame:
     row per product and query, already cut by :func:`candidate_prefix`. How much a query may take
     depends on what earlier queries took, and a product is used up only once taken, so the queries are
     worked off one after the other as windows over the same rows. All windows are keyed by
-    (run, store), so one shuffle of the bounded candidate rows serves every step.
+    (run, store), so one shuffle of the bounded candidate rows serves every step; it has the session's
+    full width, as the rows are few but sorted many times.
     """
     rank = ", ".join(RANK)
     group = "partition by run_id, store_id"
-    df = candidates.repartition("run_id", "store_id").selectExpr(
+    df = candidates.repartition(spread(candidates), "run_id", "store_id").selectExpr(
         "*", "cast(null as int) as pass_no", "false as in_list"
     )
     kept = df.columns

@@ -128,3 +128,11 @@ def test_stream_dedupe(spark, tmp_path):
     q = unique.writeStream.format("memory").queryName("unique_inputs").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("unique_inputs").count() == 2
+
+
+def test_runs_are_rewritten_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    D.rewrite_runs(spark.createDataFrame([(1, "a"), (2, "b")], "run_id int, title string"), path)
+    for _ in range(2):
+        D.rewrite_runs(spark.createDataFrame([(2, "b"), (2, "c")], "run_id int, title string"), path)
+    assert sorted((r.run_id, r.title) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (2, "c")]
