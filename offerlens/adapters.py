@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from offerlens.operators.ranking import spread
+
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 TITLE_ENDINGS = [
@@ -267,6 +269,8 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(even, F.concat(F.lit("https://www.amazon.co.za/dp/"), F.lpad(text(pk), 10, "0"))).otherwise(
         F.concat(F.lit("https://www.takealot.com/x/PLID"), text(pk))
     )
-    return table(spark, sf_dir, "part").select(
+    # The parts are spread before they grow into pages, as a small table is one file and so one task.
+    parts = table(spark, sf_dir, "part")
+    return parts.repartition(spread(parts), "p_partkey").select(
         url.alias("url"), F.when(pk % 50 == 0, F.lit("<p>Robot Check</p>")).otherwise(F.when(even, amazon).otherwise(takealot)).alias("html")
     )
