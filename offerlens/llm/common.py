@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BLANK = " \t\n\x0b\x0c\r"  # what parts words
@@ -22,6 +23,22 @@ def pick(batch: pa.RecordBatch, name: str, rows) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name)).take(pa.array(rows, pa.int64()))
 
 
+class Sent:
+    """A broadcast object of this package's own classes; tasks unpack it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._packed, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"_packed": self._packed, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._packed.value)
+        return self._value
+
+
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[list]], ddl: str | T.StructType) -> DataFrame:
     """``mapInArrow`` for a function that yields lists of columns in the order of the schema."""
     schema = T.StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl

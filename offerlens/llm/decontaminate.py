@@ -9,19 +9,15 @@ holds is bounded whatever the size of the benchmark.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from offerlens.llm.common import add_columns, texts
+from offerlens.llm.common import Sent, add_columns, texts
 from offerlens.storage import stored
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 # Letters of ASCII become small, other ASCII characters but digits become blanks, the rest stays.
 FOLD = bytes(
@@ -168,11 +164,10 @@ def find_contamination(
     window; an item with a null id hits words but isn't listed; repeated items count once. A null or empty text has
     no words. Input columns of the new names are replaced. No benchmark rows: nothing is hit.
     """
-    context = docs.sparkSession.sparkContext
     ddl = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
     out = None
     for automaton in automata(benchmark, window, item_col, "text", max_shard_bytes) if benchmark is not None else ():
-        sent = context.broadcast(automaton)
+        sent = Sent(docs.sparkSession, automaton)
         if out is not None:
             out = stored(out, "contamination")  # one shard is read through before the next
 
@@ -242,10 +237,9 @@ def remove_contamination(
     Returns the columns of ``docs`` and ``n_cut`` (long), the number of words cut; an input column of this name is
     replaced. Texts without a hit stay as they are, null and empty ones too.
     """
-    context = docs.sparkSession.sparkContext
     out = docs.withColumn("n_cut", F.lit(0).cast("bigint"))
     for k, automaton in enumerate(automata(benchmark, window, item_col, "text", max_shard_bytes)):
-        sent = context.broadcast(automaton)
+        sent = Sent(docs.sparkSession, automaton)
         if k:
             out = stored(out, "cleaned")
 

@@ -6,19 +6,15 @@ temperature. The model is fitted on a bounded sample of the labelled rows; every
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from offerlens.llm.common import add_columns, fold, map_rows, texts
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from offerlens.llm.common import Sent, add_columns, fold, map_rows, texts
 
 BITS = 14
 ORDERS = (1, 2, 3)
@@ -183,7 +179,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing was learned.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**14 weights for each language
+    sent = Sent(docs.sparkSession, model)  # 2**14 weights for each language
 
     def predict(batch: pa.RecordBatch) -> list:
         found = [sent.value.predict(None if t is None else t.decode()) for t in texts(batch, text_col)]

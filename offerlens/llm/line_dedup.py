@@ -11,21 +11,17 @@
 from __future__ import annotations
 
 import hashlib
-import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from offerlens.llm.common import BLANK, add_columns, id_type, map_rows, pick, texts
 from offerlens.storage import stored
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _BLANK = BLANK.encode()
 ROUNDS = 4  # bits set for each hash
 

@@ -12,7 +12,6 @@ A cell with more than ``cell_rows`` fingerprints is cut into parts; each pair of
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -20,14 +19,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from offerlens.llm.common import add_columns, map_rows, texts
 from offerlens.storage import stored
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SHINGLE = 4
 RADIUS = 4
 SEGMENTS = 32
