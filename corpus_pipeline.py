@@ -49,7 +49,9 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their sizes, their source's target and the copies taken."""
-    return mixing.mix(docs).where("copies > 0").drop("src")
+    sized = docs.select(*COLUMNS, mixing.size_of(F.col("text")).alias("size"))
+    plan = mixing.plan(stored(sized.select("doc_id", "source", "size"), "pipeline-sizes"))
+    return mixing.take(sized, plan).where("copies > 0").drop("src")
 
 
 STAGES = [

@@ -106,15 +106,36 @@ def mix(
     blank texts have size 0 and are taken like others. A source without words has the target 0. Null sources are one
     source, the last; a null id is an id. Other columns are ignored.
     """
-    columns = [source_key(F.col(source_col)).alias("src"), F.col(id_col), size_of(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")]
+    columns = [F.col(id_col), F.col(source_col), size_of(F.col(text_col)).alias("size")]
     sized = stored(docs.select(*columns), "mix-sizes")
-    totals = stored(sized.groupBy("src").agg(F.sum("size").alias("source_size")), "mix-sources")
+    return take(sized, plan(sized, weights, share, limit, id_col, source_col), id_col, source_col).select(
+        id_col, "src", "size", "source_size", "target", "taken", "copies"
+    )
+
+
+def plan(
+    sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0,
+    id_col: str = "doc_id", source_col: str = "source",
+) -> DataFrame:
+    """Sizes of documents -> one row for each source: ``src``, ``source_size``, ``target``, ``whole``, ``cut``."""
+    keyed = sized.select(source_key(F.col(source_col)).alias("src"), "size", id_hash(F.col(id_col)).alias("h"))
+    totals = stored(keyed.groupBy("src").agg(F.sum("size").alias("source_size")), "mix-sources")
     goal = stored(targets(totals, weights, share, limit), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     goal = goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    cuts = thresholds(sized, goal.where("rest > 0"))
-    plan = goal.join(cuts, "src", "left").drop("rest")
-    copies = F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
-    return sized.join(plan, "src").select(
-        id_col, "src", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
+    cuts = thresholds(keyed, goal.where("rest > 0"))
+    return stored(goal.join(cuts, "src", "left").drop("rest"), "mix-plan")
+
+
+def take(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """Apply a plan to rows with a ``size``: all their columns and the plan's, ``taken`` and ``copies``."""
+    new = ("src", "source_size", "target", "whole", "cut", "taken", "copies")
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in new])
+    copies = F.col("whole") + F.when(id_hash(F.col(id_col)) < F.col("cut"), 1).otherwise(0)
+    return (
+        kept.withColumn("src", source_key(F.col(source_col)))
+        .join(plan, "src")
+        .withColumn("copies", copies)
+        .withColumn("taken", F.col("size") * F.col("copies"))
+        .drop("whole", "cut")
     )
