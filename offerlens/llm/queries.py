@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlens.llm import decontaminate, language, line_dedup, mixing, simhash
+from offerlens.llm import decontaminate, language, line_dedup, mixing, ngram_lm, quality, simhash, toxicity, url_filter, warc
 from offerlens.llm.common import fold
+from offerlens.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,12 +34,47 @@ def op1_decontamination(spark, sf):
     )
 
 
+@query
+def op2_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scorer = toxicity.train(docs, table(spark, sf, "labels").select("doc_id", "toxic"))
+    found = toxicity.score(docs, scorer)
+    held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# The rules of the url query.
+URL_RULES = (
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+)
+
+
+@query
+def op3_url_filter(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages"), URL_RULES, url_filter.labelled_urls(spark))
+
+
+@query
+def op4_lm_scores(spark, sf):
+    found = ngram_lm.lm_scores(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
+
+
 @query
 def op5_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     model = language.train(docs)
     found = language.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_quality(spark, sf):
+    return quality.judge(table(spark, sf, "documents"))
 
 
 @query
@@ -46,6 +82,13 @@ def op7_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op8_warc(spark, sf):
+    path = new_path(spark, "warc")
+    warc.write_archive(table(spark, sf, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op9_line_dedup(spark, sf):
     found = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
@@ -82,6 +125,35 @@ items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) l
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
     sha256(coalesce(listed, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from word left join covered using (doc_id) left join items using (doc_id)""",
+    "op4_lm_scores": rf"""
+with word as (
+    select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') w from documents),
+place as (select doc_id, unnest(w) w, generate_subscripts(w, 1) i from word),
+pair as (select doc_id, i, lag(w) over (partition by doc_id order by i) v, w from place),
+one as (select w, count(*) c from place group by 1),
+own_one as (select doc_id, w, count(*) c from place group by 1, 2),
+two as (select v, w, count(*) c from pair where v is not null group by 1, 2),
+own_two as (select doc_id, v, w, count(*) c from pair where v is not null group by 1, 2, 3),
+rest as (select doc_id, len(w) n, sum(len(w)) over () - len(w) others from word),
+counted as (
+    select p.doc_id, p.i, n, others, one.c - o1.c c1, ctx.c - oc.c cc, two.c - o2.c c2
+    from pair p join rest using (doc_id) join one on one.w = p.w join own_one o1 on o1.doc_id = p.doc_id and o1.w = p.w
+    left join one ctx on ctx.w = p.v left join own_one oc on oc.doc_id = p.doc_id and oc.w = p.v
+    left join two on two.v = p.v and two.w = p.w left join own_two o2 on o2.doc_id = p.doc_id and o2.v = p.v and o2.w = p.w),
+scored as (
+    select doc_id, case when c2 > 0 then ln(c2 / cc)
+        else ln(case when c1 > 0 then c1 / others else 0.5 / greatest(others, 1) end) + case when i > 1 then ln(0.4) else 0 end end s
+    from counted)
+select doc_id, cast(n as bigint) n_words, round(coalesce(sum(s), 0), 4) log_score, round(sum(s) / n, 6) mean_log
+from rest left join scored using (doc_id) group by doc_id, n""",
+    "op8_warc": """
+with page as (
+    select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+first as (select payload_digest, min(page_id) first_id from page where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+    case when first_id is not null and page_id <> first_id then 'revisit' else 'response' end record_type,
+    case when page_id <> first_id then first_id end refers_to
+from page left join first using (payload_digest)""",
     "op9_line_dedup": f"""
 with line as (
     select doc_id, l, i, {_LOWER.format(f'trim(l, {_BLANKS})')} k
