@@ -1,9 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The features are lexicon densities, second-person proximity, and rates of capitals, punctuation and obfuscation. The
-lexicon is a short list of common insults and what is learned: words and word beginnings that go with the label in one
-half of the training rows. The trees and
-the calibration are fitted on the other half, whose features are then no better than those of new texts.
+lexicon is a short list of common insults and what is learned: words and word beginnings that go with the label. The
+features on which trees and calibration are fitted use a lexicon learned on the other half of the training rows, so
+they are no better than those of new texts; scores use a lexicon learned on all of them.
 """
 
 from __future__ import annotations
@@ -118,41 +118,46 @@ def featured(docs: DataFrame, lexicon: Lexicon, text_col: str) -> DataFrame:
     return add_columns(docs, compute, "__dense array<double>")
 
 
-def learn_lexicon(rows: DataFrame, min_docs: int = 4, size: int = 2000) -> Lexicon:
-    """``(text, label)`` -> terms that go with label 1, by the likelihood ratio; ``size`` terms at most."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """``(text, label, half)`` -> ``(term, na, ka, nb, kb)``: rows with the term and those with label 1, by half."""
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[list]:
         total: dict[bytes, list[int]] = {}
 
         def emptied() -> list:
-            out = [list(total), [n for n, _ in total.values()], [k for _, k in total.values()]]
+            out = [list(total), *([n[k] for n in total.values()] for k in range(4))]
             total.clear()
             return out
 
         for batch in it:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            for text, label, half in zip(*(batch.column(name).to_pylist() for name in ("text", "label", "half"))):
                 own: set[bytes] = set()
                 for w in set(tokens(text or "")):
                     own.update(terms(w))
+                at = 0 if half else 2
                 for t in own:
-                    n = total.setdefault(t, [0, 0])
-                    n[0] += 1
-                    n[1] += label
-                if len(total) > 1_000_000:
+                    n = total.setdefault(t, [0, 0, 0, 0])
+                    n[at] += 1
+                    n[at + 1] += label
+                if len(total) > 500_000:
                     yield emptied()
         yield emptied()
 
-    both = {int(r.label): r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    bad, good = both.get(1, 0), both.get(0, 0)
+    names = ("na", "ka", "nb", "kb")
+    counts = map_rows(rows, counted, "term binary, " + ", ".join(f"{n} bigint" for n in names))
+    return counts.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def learn_lexicon(sums: DataFrame, bad: int, good: int, min_docs: int = 3, size: int = 2000) -> Lexicon:
+    """``(term, n, k)`` -> terms that go with label 1, by the likelihood ratio; ``size`` terms at most."""
     if not bad or not good:
         return Lexicon({})
-    sums = map_rows(rows, counted, "term binary, n bigint, k bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     odds = F.log((F.col("k") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("k") + 0.5) / (good + 1.0))
     part = lambda x, of: F.when(x > 0, x * F.log(x / of)).otherwise(F.lit(0.0))
     base = bad / (bad + good)
     ratio = 2 * (part(F.col("k"), F.col("n") * base) + part(F.col("n") - F.col("k"), F.col("n") * (1 - base)))
     best = sums.where((F.col("k") >= min_docs) & (F.col("k") > 0.5 * F.col("n"))).select("term", odds.alias("odds"), ratio.alias("ratio"))
-    chosen = best.where("odds > 1 and ratio > 12").orderBy(F.desc("ratio"), "term").limit(size).collect()
+    chosen = best.where("odds > 1 and ratio > 11").orderBy(F.desc("ratio"), "term").limit(size).collect()
     return Lexicon({bytes(r.term): float(r.odds) for r in chosen})
 
 
@@ -179,15 +184,19 @@ def train(
     chosen = known.where(unit("sample") < min(1.0, rows / max(n, 1)))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = stored(text.join(chosen, "id").withColumn("half", unit("half") < 0.5), "toxicity-rows")
-    lexicon = learn_lexicon(base.where("half").select("text", "label"))
-    rest = featured(base.where("not half").select("id", "text", "label"), lexicon, "text")
+    of = {(bool(r.half), int(r.label)): r.n for r in base.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
+    bad, good = ([of.get((half, label), 0) for half in (True, False)] for label in (1, 0))
+    sums = stored(term_counts(base.select("text", "label", "half")).where("ka + kb > 0"), "toxicity-terms")
+    first = learn_lexicon(sums.select("term", F.col("na").alias("n"), F.col("ka").alias("k")), bad[0], good[0])
+    second = learn_lexicon(sums.select("term", F.col("nb").alias("n"), F.col("kb").alias("k")), bad[1], good[1])
+    lexicon = learn_lexicon(sums.select("term", (F.col("na") + F.col("nb")).alias("n"), (F.col("ka") + F.col("kb")).alias("k")), sum(bad), sum(good))
+    rest = featured(base.where("half"), second, "text").union(featured(base.where("not half"), first, "text"))
     dense = stored(
         rest.select(F.col("label").cast("double").alias("label"), "__dense", (unit("fit") < 0.7).alias("fit")).coalesce(4), "toxicity-features"
     )
     fit = dense.where("fit").select("label", array_to_vector("__dense").alias("__features"))
     counted = {(r.label, r.fit): r.n for r in dense.groupBy("label", "fit").agg(F.count("*").alias("n")).collect()}
-    bad = sum(v for (label, _), v in counted.items() if label == 1)
-    rate = bad / max(1, sum(counted.values()))
+    rate = sum(bad) / max(1, sum(bad) + sum(good))
     if len(counted) < 4:
         return Scorer(lexicon, None, None, rate)
     boosting = GBTClassifier(
