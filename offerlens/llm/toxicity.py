@@ -43,7 +43,7 @@ INSULTS = frozenset(
 )
 INSULT_WEIGHT = 4.0
 LEET = bytes.maketrans(b"01345@7$!", b"oieasatsi")
-DISGUISED = re.compile(rb"[a-z][0134578@$*!.\-_][a-z]")
+DISGUISED = re.compile(rb"[a-z][0134578@$*!_]{1,2}[a-z]")
 _BREAK = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b in b"'" else 32 for b in range(256))
 _UPPER = bytes(range(65, 91))
 _MARKS = b"!?"
@@ -100,7 +100,7 @@ class Lexicon:
             for w in low.split():
                 if DISGUISED.search(w):
                     found += self.weight(re.sub(rb"[^a-z\x80-\xff]", b"", w.strip(b".,!?;:").translate(LEET))) >= 3
-        rate = lambda marks: (chars - len(raw.translate(None, marks))) / chars
+        rate = lambda marks: (len(raw) - len(raw.translate(None, marks))) / chars
         return [
             strong / n, math.log1p(strong), (len(hits) - strong) / n, sum(v for _, v in hits) / n,
             max((v for _, v in hits), default=0.0), len(second) / n, near / n, hidden / n, found / n,
