@@ -171,8 +171,8 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("bullets_text", "specs_text")
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search run per 25 parts."""
+def runs(spark: SparkSession, sf_dir: str, terms: int = 0) -> DataFrame:
+    """One search run per 25 parts, with two or three terms, or with one to ``terms``."""
     run = F.col("run_id")
     return (
         table(spark, sf_dir, "part")
@@ -184,13 +184,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(run % 3 == 0, "both").when(run % 3 == 1, "amazon").otherwise("takealot").alias("source"),
             F.when(run % 4 == 3, F.lit(20000.0)).alias("min_price"),
             F.when(run % 4 == 3, F.lit(30000.0)).when(run % 4 == 1, F.lit(35000.0)).alias("max_price"),
-            F.when(run % 5 == 0, 2).otherwise(3).alias("n_queries"),
+            (run % terms + 1 if terms else F.when(run % 5 == 0, 2).otherwise(3)).cast("int").alias("n_queries"),
         )
     )
 
 
-def links(offer_table: DataFrame) -> DataFrame:
-    """Stored result pages: every listing under one or two search terms of its run.
+def links(offer_table: DataFrame, terms: int = 3) -> DataFrame:
+    """Stored result pages: every listing under one or two of the search terms of its run.
 
     In every fourth run the fourth page only repeats the third, so the reading must stop there.
     """
@@ -202,7 +202,7 @@ def links(offer_table: DataFrame) -> DataFrame:
         .when(stale & (page > 3), F.array(page.cast("int") + 1))
         .otherwise(F.array(page.cast("int")))
     )
-    queries = F.array_distinct(F.array((pk % 3).cast("int"), ((pk + sk) % 3).cast("int")))
+    queries = F.array_distinct(F.array((pk % terms).cast("int"), ((pk + sk) % terms).cast("int")))
     return offer_table.select(
         run.alias("run_id"), "store_id", "href", ((pk % 5) * 1000000 + sk).alias("pos"), F.explode(queries).alias("query_idx"), pages.alias("pages")
     ).select("run_id", "store_id", "query_idx", F.explode("pages").alias("page_num"), "pos", "href")
@@ -219,6 +219,12 @@ def comparisons(offer_table: DataFrame) -> DataFrame:
     )
 
 
+def sparse(sets: DataFrame) -> DataFrame:
+    """Comparison sets whose listings lack one thing or another."""
+    lack = {"title": 5, "price": 7, "specs": 3, "bullet_points": 4, "product_id": 6, "rating": 11}
+    return sets.withColumns({c: F.when(F.col("idx") % n != 0, F.col(c)) for c, n in lack.items()})
+
+
 def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as clicks on product links."""
     action = (

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerlens.operators.filters import in_price_range
 from offerlens.operators.ranking import keep_first, spread, top_k
-from offerlens.sources.candidates import GROUP, MIN_CANDIDATES, RANK, first_links
+from offerlens.sources.candidates import GROUP, NO_CAPS, RANK, Caps, first_links
+from offerlens.storage import stored
 
 # Order in which stores are filled.
 STORE_ORDER = {"amazon": 0, "takealot": 1}
+# Search terms worked off in one plan; then the rows are stored, as the plan grows with each.
+TERMS_PER_PLAN = 4
 
 
 def store_targets(runs: DataFrame) -> DataFrame:
@@ -30,19 +33,17 @@ def store_targets(runs: DataFrame) -> DataFrame:
     return runs.select(*rest, F.explode(shares).alias("s")).select(*rest, "s.store_id", "s.target").where("target > 0")
 
 
-def candidate_cap(share: Column) -> Column:
-    return F.greatest(share * 4, F.lit(MIN_CANDIDATES))
-
-
-def candidate_prefix(links: DataFrame, targets: DataFrame) -> DataFrame:
+def candidate_prefix(links: DataFrame, targets: DataFrame, caps: Caps = NO_CAPS) -> DataFrame:
     """The links that an allocation can possibly look at, with their run's ``target``.
 
-    A query sees at most ``cap`` links, besides those of up to ``target`` products that earlier queries
+    Without a cap on candidates, all links of the runs' terms. With one, a query sees at most ``cap`` links, besides those of up to ``target`` products that earlier queries
     took; anything behind the first ``cap + target`` products is out of reach whatever the earlier
     queries do. The size of the result is bounded by the limits of the runs, not by the links.
     """
-    wanted = first_links(links).join(targets, ["run_id", "store_id"]).where("query_idx < n_queries")
-    reach = candidate_cap(F.col("target")) + F.col("target")
+    wanted = first_links(links, caps).join(targets, ["run_id", "store_id"]).where("query_idx < n_queries")
+    if caps.min_candidates is None:
+        return wanted
+    reach = F.greatest(F.col("target") * 4, F.lit(caps.min_candidates)) + F.col("target")
     order = [F.col(c) for c in RANK]
     return top_k(wanted, GROUP, order, reach, ["product_id"], count_distinct=True).drop("rn")
 
@@ -59,9 +60,10 @@ def with_eligibility(candidates: DataFrame, products: DataFrame) -> DataFrame:
     return candidates.join(products, ["store_id", "url"], "left").withColumn("eligible", ok)
 
 
-def allocate(candidates: DataFrame, max_queries: int) -> DataFrame:
+def allocate(candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS) -> DataFrame:
     """Accepted candidates with ``pass_no`` (1 quota, 2 rollover) and ``accept_idx`` per run.
 
+    ``n_queries`` is the largest number of terms of any run (no term is left out for it).
     Needs ``run_id, store_id, query_idx, page_num, pos, product_id, eligible, target, n_queries``, one
     row per product and query, already cut by :func:`candidate_prefix`. How much a query may take
     depends on what earlier queries took, and a product is used up only once taken, so the queries are
@@ -76,7 +78,9 @@ def allocate(candidates: DataFrame, max_queries: int) -> DataFrame:
     )
     kept = df.columns
 
-    for q in range(max_queries):
+    for q in range(n_queries):
+        if q and q % TERMS_PER_PLAN == 0:
+            df = stored(df, "allocation").repartition(spread(candidates), "run_id", "store_id")
         df = df.selectExpr(
             "*",
             f"count(pass_no) over ({group}) as _taken",
@@ -92,10 +96,11 @@ def allocate(candidates: DataFrame, max_queries: int) -> DataFrame:
         df = df.selectExpr(
             "*", f"_seen and dense_rank() over ({group}, _seen order by page_num) = page_num as _live"
         )
-        cap = f"greatest(4 * _quota, {MIN_CANDIDATES})"
-        df = df.selectExpr(
-            "*", f"_live and _quota > 0 and row_number() over ({group}, _live order by {rank}) <= {cap} as _listed"
-        )
+        listed = "_live and _quota > 0"
+        if caps.min_candidates is not None:
+            cap = f"greatest(4 * _quota, {caps.min_candidates})"
+            listed = f"{listed} and row_number() over ({group}, _live order by {rank}) <= {cap}"
+        df = df.selectExpr("*", f"{listed} as _listed")
         # A product may stand in one list under two URLs; only its first can be taken.
         df = df.selectExpr("*", "_listed and eligible and not _used as _fit")
         df = df.selectExpr(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from offerlens.functions.price import parse_price, parse_price_loose
 from offerlens.functions.text import let, round_tenths, search
-from offerlens.operators.ranking import rank_in_blocks, with_group_facts
+from offerlens.operators.ranking import rank_in_blocks, spread, with_group_facts
 
 # Input positions per block: how much of one set may meet in one task.
 BLOCK = 1 << 16
@@ -20,6 +20,7 @@ BLOCK = 1 << 16
 DEFAULT_LOW, DEFAULT_HIGH = 100.0, 1000.0
 DEFAULT_RATING = 4.5
 DEFAULT_VALUE = 8.5
+DEFAULT_TITLE, DEFAULT_PRICE, DEFAULT_ID = "Product", "$0.00", "PROD_"
 NO_PRODUCTS = "No products provided for comparison."
 STOCK_PRO = "Solid feature baseline with positive market feedback"
 STOCK_CON = "Slightly higher weight/footprint depending on your portability needs"
@@ -128,14 +129,30 @@ def cons() -> Column:
     )
 
 
+def with_defaults(products: DataFrame) -> DataFrame:
+    """What a product lacks (null) gets the scorer's defaults."""
+    specs, bullets = products.schema["specs"].dataType, products.schema["bullet_points"].dataType
+    return products.withColumns(
+        {
+            "specs": F.coalesce("specs", F.array().cast(specs)),
+            "bullet_points": F.coalesce("bullet_points", F.array().cast(bullets)),
+            "title": F.coalesce("title", F.lit(DEFAULT_TITLE)),
+            "price": F.coalesce("price", F.lit(DEFAULT_PRICE)),
+            "product_id": F.coalesce("product_id", F.concat(F.lit(DEFAULT_ID), F.coalesce(F.col("idx"), F.lit(0)).cast("string"))),
+        }
+    )
+
+
 def score(products: DataFrame, price_source: str = "loose", exclude_unpriced: bool = False) -> DataFrame:
     """Add every score of a product, its pros and its cons.
 
+    Null specs and bullets are empty; null titles, prices and identifiers get defaults.
+
     ``price_source='strict'`` reads prices as the filters do instead of the scorer's own way.
     ``exclude_unpriced`` leaves out products without a positive price.
     """
     strict = F.coalesce(parse_price(F.col("price")), F.lit(0.0))
-    df = products.withColumns(
+    df = with_defaults(products).withColumns(
         {
             "price_val": strict if price_source == "strict" else parse_price_loose(F.col("price")),
             "rating_val": rating_value(F.col("rating")),
@@ -147,7 +164,7 @@ def score(products: DataFrame, price_source: str = "loose", exclude_unpriced: bo
     df = with_group_facts(
         df,
         ["comparison_id"],
-        F.coalesce(F.floor(F.col("idx") / BLOCK), F.lit(0)),
+        F.pmod(F.xxhash64("idx", "product_id"), F.lit(spread(df))),
         {
             "min_price": (F.min(positive), F.min("min_price")),
             "max_price": (F.max(positive), F.max("max_price")),
@@ -251,5 +268,7 @@ def summary(value_title: Column, value_price: Column, winner_title: Column) -> C
 
 def with_empty_sets(verdict: DataFrame, requested: DataFrame) -> DataFrame:
     """Every requested set, those without products with the fixed message and no winner."""
-    out = requested.select("comparison_id").distinct().join(verdict, "comparison_id", "left")
-    return out.withColumn("verdict_summary", F.coalesce("verdict_summary", F.lit(NO_PRODUCTS)))
+    found = verdict.withColumn("_found", F.lit(True))
+    out = requested.select("comparison_id").distinct().join(found, "comparison_id", "left")
+    text = F.when(F.col("_found"), F.col("verdict_summary")).otherwise(F.lit(NO_PRODUCTS))
+    return out.withColumn("verdict_summary", text).drop("_found")

@@ -358,12 +358,24 @@ def result_links(spark, sf):
     return CA.result_links(A.links(A.offers(spark, sf)), F.lit(30)).select("run_id", "store_id", "query_idx", "rank", "product_id", "url")
 
 
-def _search(spark, sf) -> DataFrame:
+def _search(spark, sf, caps=CA.LIVE_CAPS, terms: int = 0) -> DataFrame:
     o = A.offers(spark, sf)
     facts = o.withColumn("price_numeric", P.parse_price(F.col("price"))).select(
         "store_id", "url", "product_id", "title", "price", "price_numeric", "specs", "bullet_points", "image_url"
     )
-    return search_run(A.links(o), A.runs(spark, sf), 3, products=facts)
+    return search_run(A.links(o, terms or 3), A.runs(spark, sf, terms), products=facts, caps=caps)
+
+
+@query
+def allocation_uncapped(spark, sf):
+    """All stored links count, however many pages and candidates there are."""
+    return _search(spark, sf, CA.NO_CAPS).select("run_id", "accept_idx", "store_id", "query_idx", "pass_no", "product_id")
+
+
+@query
+def allocation_many_terms(spark, sf):
+    """Runs of one to eight search terms."""
+    return _search(spark, sf, CA.NO_CAPS, 8).select("run_id", "accept_idx", "store_id", "query_idx", "pass_no", "product_id")
 
 
 @query
@@ -469,6 +481,28 @@ def verdict(spark, sf):
     return S.with_empty_sets(done, asked).select("comparison_id", "winner_title", "best_value_title", "recommendation_reason", "verdict_summary")
 
 
+def _sparse(spark, sf) -> DataFrame:
+    return S.score(A.sparse(A.comparisons(A.offers(spark, sf))))
+
+
+@query
+def scores_sparse(spark, sf):
+    """Scores of listings that lack titles, prices, specs, bullets, ratings or identifiers."""
+    return _sparse(spark, sf).select("comparison_id", "idx", "product_id", "specs_score", "value_score", "rating_val", "overall_score")
+
+
+@query
+def pros_cons_sparse(spark, sf):
+    return _sparse(spark, sf).select("comparison_id", "idx", F.array_join("pros", "\n").alias("pros"), F.array_join("cons", "\n").alias("cons"))
+
+
+@query
+def verdict_sparse(spark, sf):
+    asked = A.table(spark, sf, "part").select((F.col("p_partkey") * 2).alias("comparison_id"))
+    done = S.verdicts(_sparse(spark, sf))
+    return S.with_empty_sets(done, asked).select("comparison_id", "winner_id", "winner_title", "best_value_title", "recommendation_reason", "verdict_summary")
+
+
 # --- pages, payloads, sections -----------------------------------------------------------------
 
 
@@ -596,7 +630,7 @@ def _reports(spark, sf) -> DataFrame:
             "safety_warning": F.lit(""),
         }
     ).drop("href", "aplus_content", "pk", "sk", "oid", "cents")
-    found = search_run(A.links(o), A.runs(spark, sf), 3, products=facts)
+    found = search_run(A.links(o), A.runs(spark, sf), products=facts, caps=CA.LIVE_CAPS)
     return found.withColumnsRenamed({"run_id": "report_id", "accept_idx": "idx"})
 
 

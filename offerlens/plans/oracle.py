@@ -330,7 +330,7 @@ ORACLES["result_links"] = offers(
 )
 
 
-def _allocation() -> tuple[tuple[str, str], ...]:
+def _allocation(terms: int = 3, capped: bool = True) -> tuple[tuple[str, str], ...]:
     facts = (
         "facts",
         f"""select f.*, t.target, t.nq, (f.store_id = 'takealot' or {_VALID_AMAZON})
@@ -343,7 +343,7 @@ def _allocation() -> tuple[tuple[str, str], ...]:
         facts,
         ("acc0", "select run_id, store_id, query_idx, page_num, pos, product_id, 1 as pass_no from facts where false"),
     ]
-    for k in range(3):
+    for k in range(terms):
         steps += [
             (
                 f"share{k}",
@@ -361,7 +361,7 @@ def _allocation() -> tuple[tuple[str, str], ...]:
             (
                 f"listed{k}",
                 f"""select * from (select *, row_number() over (partition by run_id, store_id order by page_num, pos) as rn from alive{k})
-                  where rn <= greatest(4 * quota, 30)""",
+                  {"where rn <= greatest(4 * quota, 30)" if capped else ""}""",
             ),
             (
                 f"acc{k + 1}",
@@ -371,19 +371,19 @@ def _allocation() -> tuple[tuple[str, str], ...]:
                     where a.run_id = l.run_id and a.store_id = l.store_id and a.product_id = l.product_id)) where take <= quota""",
             ),
         ]
-    left = " union all ".join(f"select run_id, store_id, query_idx, page_num, pos, product_id, target, ok from listed{k}" for k in range(3))
+    left = " union all ".join(f"select run_id, store_id, query_idx, page_num, pos, product_id, target, ok from listed{k}" for k in range(terms))
     steps += [
         (
             "spare",
             f"""select run_id, store_id, product_id, any_value(target) as target, min((query_idx, page_num, pos)) as place from ({left}) l
-              where ok and not exists (select 1 from acc3 a where a.run_id = l.run_id and a.store_id = l.store_id and a.product_id = l.product_id)
+              where ok and not exists (select 1 from acc{terms} a where a.run_id = l.run_id and a.store_id = l.store_id and a.product_id = l.product_id)
               group by run_id, store_id, product_id""",
         ),
         (
             "accepted",
-            """select * from acc3 union all select run_id, store_id, place[1], place[2], place[3], product_id, 2 from (
+            f"""select * from acc{terms} union all select run_id, store_id, place[1], place[2], place[3], product_id, 2 from (
               select s.*, row_number() over (partition by run_id, store_id order by place) as rn,
-                (select count(*) from acc3 a where a.run_id = s.run_id and a.store_id = s.store_id) as n from spare s) where rn <= target - n""",
+                (select count(*) from acc{terms} a where a.run_id = s.run_id and a.store_id = s.store_id) as n from spare s) where rn <= target - n""",
         ),
         (
             "numbered",
@@ -395,6 +395,14 @@ def _allocation() -> tuple[tuple[str, str], ...]:
 
 
 _ALLOCATED = (_RUNS, _TARGETS, *_BASE, *_allocation())
+_EVERY = "run_id, accept_idx, store_id, query_idx, pass_no, product_id"
+ORACLES["allocation_uncapped"] = offers(f"select {_EVERY} from numbered", _RUNS, _TARGETS, *_BASE, *_allocation(capped=False))
+_MANY = tuple(
+    (name, sql.replace("case when run_id % 5 = 0 then 2 else 3 end as nq", "run_id % 8 + 1 as nq").replace("% 3 as query_idx", "% 8 as query_idx")
+     .replace("(pk + sk) % 3", "(pk + sk) % 8").replace("<> pk % 3", "<> pk % 8"))
+    for name, sql in (_RUNS, _TARGETS, *_BASE)
+)
+ORACLES["allocation_many_terms"] = offers(f"select {_EVERY} from numbered", *_MANY, *_allocation(8, capped=False))
 ORACLES["quota_pass"] = offers("select run_id, store_id, query_idx, product_id from accepted where pass_no = 1", *_ALLOCATED)
 ORACLES["rollover"] = offers("select run_id, store_id, query_idx, product_id from accepted where pass_no = 2", *_ALLOCATED)
 ORACLES["allocation_full"] = offers("select run_id, accept_idx, store_id, query_idx, pass_no, product_id from numbered", *_ALLOCATED)
@@ -433,12 +441,12 @@ def _hits(pk: int) -> str:
 _BONUS = "least(1.2e0, (case pk % 4 " + " ".join(f"when {i} then {_hits(i)}" for i in range(4)) + " end) * 0.4e0)"
 
 
-def _scored(price: str, where: str = "true") -> tuple[tuple[str, str], ...]:
+def _scored(price: str, where: str = "true", table: str = "offers") -> tuple[tuple[str, str], ...]:
     return (
         (
             "priced",
             rf"""select *, {price} as p, coalesce(try_cast(nullif(regexp_extract(rating, '[\d.]+'), '') as double), 4.5e0) as r,
-              {_BONUS} as bonus, {_CONTEXT} as context, {N_SPECS} as n_specs from offers""",
+              {_BONUS} as bonus, {_CONTEXT} as context, {N_SPECS} as n_specs from {table}""",
         ),
         (
             "ranged",
@@ -481,13 +489,14 @@ _PROS = f"""list_concat(list_filter([
     case when r >= 4.7e0 then concat('Outstanding user satisfaction rating (', cast(r as varchar), '/5.0)') end,
     case when n_specs >= 5 then concat('Comprehensive technical specs dataset (', cast(n_specs as varchar), ' attributes verified)') end],
   lambda x: x is not null), {_CUT.format(b=BULLETS)})"""
-ORACLES["pros_cons"] = offers(
-    f"""select product_id, array_to_string(list_slice(case when len(found) < 2 then
+def _pros_cons(keys: str) -> str:
+    return f"""select {keys}, array_to_string(list_slice(case when len(found) < 2 then
         list_append(found, 'Solid feature baseline with positive market feedback') else found end, 1, 3), chr(10)) as pros, cons
-      from (select product_id, {_PROS} as found, case when p = hi and hi > lo then concat('Highest cost item in selected dataset (', price, ')')
-        else 'Slightly higher weight/footprint depending on your portability needs' end as cons from scored)""",
-    *_SCORED,
-)
+      from (select {keys}, {_PROS} as found, case when p = hi and hi > lo then concat('Highest cost item in selected dataset (', price, ')')
+        else 'Slightly higher weight/footprint depending on your portability needs' end as cons from scored)"""
+
+
+ORACLES["pros_cons"] = offers(_pros_cons("product_id"), *_SCORED)
 _PLACES = (
     "places",
     """select *, row_number() over (partition by pk order by overall_score desc, sk) as position,
@@ -500,8 +509,8 @@ ORACLES["winner"] = offers(
 ORACLES["best_value"] = offers(
     "select pk as comparison_id, product_id as best_value_id, value_score as best_value_score from places where by_value = 1", *_SCORED, _PLACES
 )
-ORACLES["verdict"] = offers(
-    """select a.id as comparison_id, w.title as winner_title, b.title as best_value_title,
+def _verdict(asked: str, more: str = "") -> str:
+    return f"""select a.id as comparison_id, {more}w.title as winner_title, b.title as best_value_title,
       case when w.pk is not null then concat('Based on comprehensive spec analysis, pricing efficiency, and feature density, **', w.title,
         '** emerges as the top recommendation', case when w.context <> '' then concat(' tailored to your preference ''', w.context, '''') else '' end, '.',
         chr(10), chr(10), 'Key Deciding Factors:', chr(10), '1. **Overall Performance Score:** ', cast(w.overall_score as varchar),
@@ -510,10 +519,25 @@ ORACLES["verdict"] = offers(
         '3. **User Satisfaction:** Holds top customer feedback scores.') end as recommendation_reason,
       case when w.pk is null then 'No products provided for comparison.' else concat('If budget is your top priority, go with **', b.title, '** (', b.price,
         '). If maximum performance and spec completeness are required, **', w.title, '** is the clear winner.') end as verdict_summary
-      from (select p_partkey as id from part union all select -1) a
-      left join places w on w.pk = a.id and w.position = 1 left join places b on b.pk = a.id and b.by_value = 1""",
-    *_SCORED,
-    _PLACES,
+      from ({asked}) a
+      left join places w on w.pk = a.id and w.position = 1 left join places b on b.pk = a.id and b.by_value = 1"""
+
+
+ORACLES["verdict"] = offers(_verdict("select p_partkey as id from part union all select -1"), *_SCORED, _PLACES)
+_LACKING = (
+    "lacking",
+    """select * replace (case when sk % 5 = 0 then 'Product' else title end as title, case when sk % 7 = 0 then '$0.00' else price end as price,
+      case when sk % 3 = 0 then '' else specs_text end as specs_text, case when sk % 4 = 0 then '' else bullets_text end as bullets_text,
+      case when sk % 6 = 0 then concat('PROD_', cast(sk as varchar)) else product_id end as product_id,
+      case when sk % 11 = 0 then '' else rating end as rating) from offers""",
+)
+_LACKING_SCORED = (_LACKING, *_scored(loose("price"), table="lacking"))
+ORACLES["scores_sparse"] = offers(
+    "select pk as comparison_id, sk as idx, product_id, specs_score, value_score, r as rating_val, overall_score from scored", *_LACKING_SCORED
+)
+ORACLES["pros_cons_sparse"] = offers(_pros_cons("pk as comparison_id, sk as idx").replace("from (select pk as comparison_id, sk as idx", "from (select pk, sk"), *_LACKING_SCORED)
+ORACLES["verdict_sparse"] = offers(
+    _verdict("select p_partkey * 2 as id from part", "w.product_id as winner_id, "), *_LACKING_SCORED, _PLACES
 )
 
 # --- pages, payloads, sections -----------------------------------------------------------------

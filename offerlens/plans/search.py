@@ -10,6 +10,7 @@ from offerlens.operators.filters import in_price_range
 from offerlens.operators.lookup import lookup_products
 from offerlens.operators.routing import StoreRegistry
 from offerlens.operators.score import score, verdicts
+from offerlens.sources.candidates import NO_CAPS, Caps
 from offerlens.sources.urls import dedupe_inputs
 from offerlens.storage import stored
 
@@ -17,25 +18,30 @@ from offerlens.storage import stored
 def search_run(
     links: DataFrame,
     runs: DataFrame,
-    max_queries: int,
     pages: DataFrame | None = None,
     products: DataFrame | None = None,
     registry: StoreRegistry | None = None,
     validate: tuple[str, ...] = ("amazon",),
+    caps: Caps = NO_CAPS,
 ) -> DataFrame:
     """Stored search results -> accepted products per run, in result order.
 
     ``runs`` holds ``run_id, limit, source, min_price, max_price, n_queries``. Product facts come from
     ``products`` (store_id, url, …) or are extracted from ``pages``, and then only for links that some
-    run can reach. ``validate`` names the stores whose own validity rule is applied.
+    run can reach; of several facts about one product any one is taken. ``validate`` names the stores whose own
+    validity rule is applied. All terms of all runs are worked off; ``caps`` may limit what is looked at.
     """
     registry = registry or StoreRegistry()
-    reachable = candidate_prefix(links, store_targets(runs))
+    reachable = stored(candidate_prefix(links, store_targets(runs), caps), "reachable")
+    n_queries = runs.agg(F.max("n_queries")).first()[0] or 0
     if products is None:
         products = stored(lookup_products(reachable, pages, registry), "products")
+    else:
+        asked = reachable.select("store_id", "url").distinct()
+        products = stored(products.join(asked, ["store_id", "url"], "left_semi").dropDuplicates(["store_id", "url"]), "products")
     skip = tuple(s for s in registry.store_ids() if s not in validate)
     facts = products.withColumn("is_valid", registry.is_valid(F.col("store_id"), skip)).drop("product_id")
-    accepted = allocate(with_eligibility(reachable, facts.select("store_id", "url", "is_valid", "price_numeric")), max_queries)
+    accepted = allocate(with_eligibility(reachable, facts.select("store_id", "url", "is_valid", "price_numeric")), n_queries, caps)
     rest = [c for c in facts.columns if c not in accepted.columns]
     return accepted.join(facts.select("store_id", "url", *rest), ["store_id", "url"], "left")
 

@@ -6,6 +6,8 @@ of result pages per store and search term, pages counted from 1.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerlens.functions.identity import (
@@ -18,9 +20,22 @@ from offerlens.functions.identity import (
 )
 from offerlens.operators.ranking import keep_first, top_k
 
-# How many result pages are read per search term, and the smallest candidate list.
-MAX_PAGES = {"amazon": 20, "takealot": 10}
-MIN_CANDIDATES = 30
+
+@dataclass(frozen=True)
+class Caps:
+    """How much of a search run's stored results is looked at; without a cap, everything.
+
+    ``max_pages`` maps a shop to the number of result pages read per search term. ``min_candidates`` is the least
+    length at which a term's candidate list is cut, and four times its quota if that is more.
+    """
+
+    max_pages: tuple[tuple[str, int], ...] = ()
+    min_candidates: int | None = None
+
+
+NO_CAPS = Caps()
+# The caps of a run against live shops, where every page costs a request.
+LIVE_CAPS = Caps((("amazon", 20), ("takealot", 10)), 30)
 
 GROUP = ["run_id", "store_id", "query_idx"]
 RANK = ["page_num", "pos"]
@@ -31,17 +46,19 @@ def is_product_link(store_id: Column, href: Column) -> Column:
     return F.when(store_id == "amazon", amazon).otherwise(href.contains("/PLID"))
 
 
-def canonical_links(links: DataFrame) -> DataFrame:
+def canonical_links(links: DataFrame, caps: Caps = NO_CAPS) -> DataFrame:
     """Add canonical ``url`` and the ``product_id`` by which a store tells its products apart."""
     store, href = F.col("store_id"), F.col("href")
-    max_page = F.when(store == "amazon", F.lit(MAX_PAGES["amazon"])).otherwise(F.lit(MAX_PAGES["takealot"]))
+    read = F.lit(True)
+    for shop, pages in caps.max_pages:
+        read = read & ((store != shop) | (F.col("page_num") <= pages))
     url = F.when(store == "amazon", unwrap_amazon_url(absolute(href, AMAZON_ZA))).otherwise(clean_takealot_url(href))
-    out = links.where((F.col("page_num") <= max_page) & is_product_link(store, href)).withColumn("url", url)
+    out = links.where(read & is_product_link(store, href)).withColumn("url", url)
     key = F.when(store == "amazon", extract_asin(F.col("url"))).otherwise(extract_plid(F.col("url")))
     return out.withColumn("product_id", F.coalesce(key, F.col("url")))
 
 
-def first_links(links: DataFrame) -> DataFrame:
+def first_links(links: DataFrame, caps: Caps = NO_CAPS) -> DataFrame:
     """Each product once per (run, store, query), at its first position.
 
     The shops' own rules differ in name only: one compares URLs, the other identifiers; the canonical
@@ -49,15 +66,15 @@ def first_links(links: DataFrame) -> DataFrame:
     """
     key = F.when(F.col("store_id") == "amazon", F.col("url")).otherwise(F.col("product_id"))
     order = [F.col(c) for c in RANK]
-    first = keep_first(canonical_links(links).withColumn("_key", key), [*GROUP, "_key"], order)
+    first = keep_first(canonical_links(links, caps).withColumn("_key", key), [*GROUP, "_key"], order)
     return first.where("url <> ''").drop("_key")
 
 
 def before_dry_page(first: DataFrame) -> DataFrame:
     """Drop what stands after the first page without a new link.
 
-    Page numbers of pages with new links must be 1, 2, 3, …; the first gap ends the list. There are at
-    most twenty pages per group, so the page facts are small and the links themselves are not ranked.
+    Page numbers of pages with new links must be 1, 2, 3, …; the first gap ends the list. The page facts
+    are few, so the links themselves are not ranked.
     """
     pages = first.groupBy(*GROUP, "page_num").agg(F.count("*").alias("new_links"))
     w = Window.partitionBy(*GROUP).orderBy("page_num")
@@ -67,11 +84,11 @@ def before_dry_page(first: DataFrame) -> DataFrame:
     return first.join(live, [*GROUP, "page_num"], "left_semi")
 
 
-def result_links(links: DataFrame, target_count: Column) -> DataFrame:
+def result_links(links: DataFrame, target_count: Column, caps: Caps = NO_CAPS) -> DataFrame:
     """Candidate list per (run, store, query): new links in page order up to a count.
 
     Adds ``rank`` (1-based). ``target_count`` is a column over the links.
     """
-    listed = before_dry_page(first_links(links))
+    listed = before_dry_page(first_links(links, caps))
     order = [F.col(c) for c in RANK]
     return top_k(listed, GROUP, order, target_count, ["product_id"]).withColumnRenamed("rn", "rank")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from offerlens.operators.allocate import allocate, candidate_prefix, store_targets, with_eligibility
-from offerlens.sources.candidates import result_links
+from offerlens.sources.candidates import LIVE_CAPS, NO_CAPS, result_links
 
 BASE = {"amazon": "https://www.amazon.co.za/dp/", "takealot": "https://www.takealot.com/x/"}
 HOSTS = ["https://www.amazon.co.za/dp/", "https://www.amazon.com/dp/"]
@@ -55,7 +55,7 @@ def listing(links, run, store, q, cap, used):
     return out
 
 
-def expected(runs, links, products):
+def expected(runs, links, products, capped=True):
     facts = {(p[0], p[1]): p for p in products}
     by_group = {}
     for l in links:
@@ -88,7 +88,7 @@ def expected(runs, links, products):
                 left = n_queries - q
                 share = (target - len(taken) + left - 1) // left
                 goal = len(taken) + share
-                urls = listing(by_group.get((run, store, q), []), run, store, q, max(4 * share, 30), used)
+                urls = listing(by_group.get((run, store, q), []), run, store, q, max(4 * share, 30) if capped else 10**9, used)
                 lists.append(urls)
                 for url in urls:
                     if len(taken) >= min(goal, target):
@@ -102,12 +102,12 @@ def expected(runs, links, products):
     return sorted(result)
 
 
-def run_spark(spark, runs, links, products):
+def run_spark(spark, runs, links, products, caps=LIVE_CAPS):
     r = spark.createDataFrame(runs, "run_id bigint, limit int, source string, min_price double, max_price double, n_queries int")
     l = spark.createDataFrame(links, "run_id bigint, store_id string, query_idx int, page_num int, pos int, href string")
     p = spark.createDataFrame(products, "store_id string, url string, is_valid boolean, price_numeric double")
-    candidates = with_eligibility(candidate_prefix(l, store_targets(r)), p)
-    rows = allocate(candidates, 4).select("run_id", "accept_idx", "store_id", "pass_no", "url").collect()
+    candidates = with_eligibility(candidate_prefix(l, store_targets(r), caps), p)
+    rows = allocate(candidates, max(x[5] for x in runs), caps).select("run_id", "accept_idx", "store_id", "pass_no", "url").collect()
     return sorted(tuple(x) for x in rows)
 
 
@@ -118,9 +118,10 @@ def test_runs_match_the_step_by_step_rules(spark):
     assert {x[3] for x in wanted} == {1, 2}  # both passes occur
 
 
-def test_other_seed(spark):
+def test_other_seed_and_no_caps(spark):
     data = make_runs(7)
     assert run_spark(spark, *data) == expected(*data)
+    assert run_spark(spark, *data, NO_CAPS) == expected(*data, capped=False)
 
 
 def test_quota_examples(spark):
@@ -139,6 +140,7 @@ def test_quota_examples(spark):
 
     assert counts(10, [5, 0, 9]) == ([4, 0, 6], [0, 0, 0])
     assert counts(10, [9, 2]) == ([5, 2], [3, 0])
+    assert counts(20, [4] * 6) == ([4, 4, 3, 3, 3, 3], [0] * 6)  # no term is left out
 
 
 def test_store_split(spark):
