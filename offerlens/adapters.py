@@ -231,6 +231,7 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "click", "toggle")
         .when(F.col("event_type").isin("view", "purchase"), "add")
         .when(F.col("event_type") == "signup", "clear")
+        .otherwise(F.col("event_type"))  # no click; the operators leave such events out
     )
     kind = F.col("event_id") % 6
     href = F.concat(
@@ -241,7 +242,7 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "events").select(
         "user_id", F.col("event_id").alias("seq"), action.alias("action"), href.alias("url")
-    ).where("action is not null")
+    )
 
 
 def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def lookup_url(c: Column) -> Column:
 
 def clean_page_title(c: Column) -> Column:
     """Page title without the shop suffix; null for error pages and empty titles."""
-    title = strip_u(F.get(F.split(c, r"(?i)\s*[:|]\s*Amazon\.", 2), F.lit(0)))
+    title = strip_u(F.get(F.split(c, r"(?iU)\s*[:|]\s*Amazon\.", 2), F.lit(0)))
     bad = r"(?i)robot check|page not found"
     return let(title, lambda t: F.when(present(t) & ~t.rlike(bad), t))
 
@@ -161,7 +161,7 @@ def urls_in_text(text: Column) -> Column:
     Every piece that looks like a shop link counts; a text without any is read as a list of
     links or identifiers on separate lines or between commas.
     """
-    found = find_all(text, r"(?i)(https?://\S*amazon\S+)")  # a list is only made where it is empty
+    found = find_all(text, r"(?iU)(https?://\S*amazon\S+)")  # a list is only made where it is empty
     listed = F.filter(F.transform(F.split(text, r"[\r\n,]+"), strip_u), lambda p: p != "")
     pieces = F.when(F.size(found) > 0, found).otherwise(listed)
     return ordered_unique(F.transform(pieces, unwrap_amazon_url))

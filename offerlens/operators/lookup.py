@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from offerlens.functions.identity import extract_asin, title_from_url
 from offerlens.functions.text import collapse_ws, first_nonempty
+from offerlens.operators.ranking import keep_first
 from offerlens.operators.routing import StoreRegistry
 from offerlens.schema import NO_RATING, NO_REVIEWS, PRICE_UNAVAILABLE, PRODUCT, UNKNOWN_AVAILABILITY
 from offerlens.sources.pages import finish, page_records
+from offerlens.storage import new_path
 
 
 def placeholder() -> dict[str, Column]:
     """Text columns of a record whose page is absent or unreadable; all others are null."""
-    url, takealot = F.col("url"), F.col("store_id") == "takealot"
+    url, takealot = F.col("url"), F.col("store_id") != "amazon"
     asin = extract_asin(url)
     name = F.coalesce(
         first_nonempty(title_from_url(url)),
@@ -36,7 +38,7 @@ def placeholder() -> dict[str, Column]:
         "store_id": F.col("store_id"),
         "source": F.col("source"),
         "product_id": F.when(takealot, F.col("product_id")).otherwise(F.coalesce(asin, F.lit("N/A"))),
-        "title": F.when(takealot, F.lit("Takealot Product")).otherwise(name),
+        "title": F.when(takealot, F.concat("source", F.lit(" Product"))).otherwise(name),
         "brand": F.when(~takealot, F.split_part(collapse_ws(name), F.lit(" "), F.lit(1))),
         "price": F.lit(PRICE_UNAVAILABLE),
         "bullet_points": F.array().cast("array<string>"),
@@ -45,15 +47,47 @@ def placeholder() -> dict[str, Column]:
     }
 
 
+def page_store(pages: DataFrame, registry: StoreRegistry, path: str | None = None, buckets: int = 1024) -> DataFrame:
+    """Stored pages under their canonical URL in folders of hash buckets, so that a lookup reads the buckets it needs.
+
+    Keeps ``url, html`` and ``fetched_at`` if there; adds ``canon`` and ``bucket``.
+    """
+    store = registry.route(F.col("url"))
+    canon = registry.canonical(store, F.col("url"))
+    keyed = pages.withColumn("canon", canon).withColumn("bucket", bucket_of(F.col("canon"), buckets))
+    path = path or new_path(pages.sparkSession, "pages")
+    keyed.repartition("bucket", F.pmod(F.xxhash64("url"), F.lit(8))).write.partitionBy("bucket").parquet(path)
+    return pages.sparkSession.read.schema(keyed.schema).parquet(path).withMetadata("bucket", {"buckets": buckets})
+
+
+def bucket_of(canon: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(canon), F.lit(buckets)).cast("int")
+
+
+def newest_pages(wanted: DataFrame, pages: DataFrame, registry: StoreRegistry) -> DataFrame:
+    """``(canon, html)`` of the wanted canonical URLs, the snapshot with the greatest ``fetched_at`` of each."""
+    keys = ["canon"]
+    if "canon" not in pages.columns:
+        pages = pages.withColumn("canon", registry.canonical(registry.route(F.col("url")), F.col("url")))
+    elif "bucket" in pages.columns:
+        wanted = wanted.withColumn("bucket", bucket_of(F.col("canon"), pages.schema["bucket"].metadata["buckets"]))
+        keys = ["canon", "bucket"]
+    found = pages.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    order = [F.col("fetched_at").desc_nulls_last()] if "fetched_at" in pages.columns else []
+    return keep_first(found, ["canon"], [*order, F.col("url"), F.xxhash64("html")]).select("canon", "html")
+
+
 def lookup_products(urls: DataFrame, pages: DataFrame, registry: StoreRegistry) -> DataFrame:
     """One product per distinct ``(url, store_id)``.
 
-    Only the pages asked for reach the extraction job, each once. Pages that are missing, blocked or hold
+    ``pages`` holds ``url, html``, optionally ``fetched_at``, or is a :func:`page_store`. Both sides meet under the
+    store's canonical URL, and the newest snapshot is taken. Only the pages asked for reach the extraction job. Pages that are missing, blocked or hold
     no valid product of the first shop give a placeholder record; the second shop's pages are taken as
     they are.
     """
     wanted = urls.select("url", "store_id").where("store_id is not null").distinct()
-    records = page_records(wanted.join(pages.select("url", "html"), "url", "left"), registry)
+    wanted = wanted.withColumn("canon", registry.canonical(F.col("store_id"), F.col("url")))
+    records = page_records(wanted.join(newest_pages(wanted, pages, registry), "canon", "left").drop("canon"), registry)
     valid = registry.is_valid(F.col("store_id"), skip=("takealot",))
     lost = F.col("reason").isNotNull() | ~valid
     records = records.withColumn("lost", lost)

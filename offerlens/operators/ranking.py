@@ -19,12 +19,14 @@ def top_k(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    k: Column,
+    k: Column | int,
     spread_on: list[str],
     count_distinct: bool = False,
     salts: int | None = None,
 ) -> DataFrame:
-    """First ``k`` rows of every group, ``k`` being a column that is constant within the group.
+    """First ``k`` rows of every group, ``k`` being a number or a column that is constant within the group.
+
+    For a number, ``row_number() <= k`` lets Spark keep ``k`` rows of a group per input partition before the shuffle.
 
     Each group is first cut into ``salts`` parts by a hash of ``spread_on``; only the best ``k`` of a
     part reach the final ranking, which is exact because no other row could be among the first ``k``.
@@ -32,6 +34,10 @@ def top_k(
     others stay as long as the count is not used up. Adds ``rn``, the 1-based count. The explicit
     repartition keeps a join before it free to split hot keys.
     """
+    if isinstance(k, int) and not count_distinct:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("rn", place).where(F.col("rn") <= k)
+    k = F.lit(k) if isinstance(k, int) else k
     salts = salts or spread(df)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts))).repartition(*keys, "_salt")
     first = Window.partitionBy(*keys, "_salt", *spread_on).orderBy(*order)

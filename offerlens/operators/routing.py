@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from offerlens.functions.identity import extract_asin, extract_plid, netloc
+from offerlens.functions.identity import clean_takealot_url, extract_asin, extract_plid, netloc, unwrap_amazon_url
 from offerlens.operators.filters import valid_amazon, valid_takealot
 
 
@@ -15,13 +15,18 @@ def _always(df_col: Callable[[str], Column]) -> Column:
     return F.lit(True)
 
 
+def _bare(url: Column) -> Column:
+    return F.regexp_replace(url, r"[?#].*\z", "")
+
+
 @dataclass(frozen=True)
 class StorePlugin:
     """One shop: its domains, its identifier rule and its validity rule.
 
     ``identifier`` maps a URL column to an identifier column. ``is_valid`` maps a column getter to a
     boolean column over product columns. ``selectors`` names the table of page selectors that the
-    extraction job uses (see ``offerlens.sources.shop_fields``).
+    extraction job uses (see ``offerlens.sources.shop_fields``). ``canonical`` maps a URL column to the form under
+    which all links to one page meet; without it, queries and fragments are cut.
     """
 
     store_id: str
@@ -30,6 +35,7 @@ class StorePlugin:
     identifier: Callable[[Column], Column]
     is_valid: Callable[[Callable[[str], Column]], Column] = _always
     selectors: str = "amazon"
+    canonical: Callable[[Column], Column] = _bare
 
 
 # Shops known from the start, in order of priority, with their domains.
@@ -40,6 +46,7 @@ AMAZON = StorePlugin(
     extract_asin,
     lambda c: valid_amazon(c("title"), c("price"), c("specs"), c("bullet_points"), c("image_url")),
     "amazon",
+    unwrap_amazon_url,
 )
 TAKEALOT = StorePlugin(
     "takealot",
@@ -48,6 +55,7 @@ TAKEALOT = StorePlugin(
     extract_plid,
     lambda c: valid_takealot(c("title"), c("price")),
     "takealot",
+    clean_takealot_url,
 )
 
 
@@ -106,6 +114,10 @@ class StoreRegistry:
         """Identifier of a URL by the rule of its own store."""
         return self._by_store(store_id, lambda p: p.identifier(url), "string")
 
+    def canonical(self, store_id: Column, url: Column) -> Column:
+        """URL in the form of its own store; URLs of unknown stores stay as they are."""
+        return F.coalesce(F.nullif(self._by_store(store_id, lambda p: p.canonical(url), "string"), F.lit("")), url)
+
     def is_valid(self, store_id: Column, skip: tuple[str, ...] = ()) -> Column:
         """Validity by the rule of each row's store; stores in ``skip`` are not tested."""
         rule = self._by_store(

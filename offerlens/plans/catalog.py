@@ -11,9 +11,9 @@ from offerlens.functions import identity as I, price as P
 from offerlens.functions.text import split_terms, strip_u
 from offerlens.operators import allocate as AL, classify as C, filters as FL, score as S, sections
 from offerlens.operators.ranking import keep_first, top_k
-from offerlens.operators.lookup import lookup_products
+from offerlens.operators.lookup import lookup_products, page_store
 from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegistry
-from offerlens.plans.search import compare, direct_run, search_run
+from offerlens.plans.search import compare, direct_rejects as direct_rejects_of, direct_run, search_run
 from offerlens.sinks import dataset as D
 from offerlens.sinks.markdown import markdown_lines
 from offerlens.sources import candidates as CA, urls as U
@@ -186,19 +186,19 @@ def cell_text(spark, sf):
     return A.offers(spark, sf).select("oid", cell(F.col("title")).alias("title"))
 
 
-def _user_turns(spark, sf):
-    return A.table(spark, sf, "conversations").where("role = 'user'")
+def _turns(spark, sf):
+    return A.table(spark, sf, "conversations")
 
 
 @query
 def search_terms(spark, sf):
     terms = I.search_terms(F.array(F.col("text"), F.lit("whey, casein")))
-    return _user_turns(spark, sf).select("conv_id", "turn", F.posexplode(terms).alias("pos", "term"))
+    return _turns(spark, sf).select("conv_id", "turn", F.posexplode(terms).alias("pos", "term"))
 
 
 @query
 def output_name(spark, sf):
-    return _user_turns(spark, sf).select("conv_id", "turn", I.output_name(split_terms(F.col("text"))).alias("file_name"))
+    return _turns(spark, sf).select("conv_id", "turn", I.output_name(split_terms(F.col("text"))).alias("file_name"))
 
 
 @query
@@ -208,7 +208,8 @@ def text_urls(spark, sf):
     linked = F.concat(
         F.col("text"), F.lit(" see HTTPS://www.amazon.co.za/x/dp/"), asin, F.lit("?a=1\nhttps://www.amazon.com/gp/product/"), asin, F.lit("\thttps://www.amazon.co.za/dp/"), asin
     )
-    text = F.when(F.col("doc_id") % 3 != 0, linked).otherwise(F.concat(asin, F.lit(", "), asin, F.lit("\n\nhttps://a.example/x?y=1,")))
+    listed = F.concat(F.col("text"), F.lit("\n"), asin, F.lit(", "), asin, F.lit("\n\nhttps://a.example/x?y=1,"))
+    text = F.when(F.col("doc_id") % 3 != 0, linked).otherwise(listed)
     docs = A.table(spark, sf, "documents").select("doc_id", text.alias("text"))
     return U.explode_text_urls(docs)
 
@@ -254,8 +255,11 @@ def store_identifier(spark, sf):
 
 @query
 def blocked_pages(spark, sf):
-    html = F.when(F.col("page_id") % 10 == 3, F.concat("html", F.lit("Robot Check"))).when(F.col("page_id") % 10 == 7, F.lit("")).otherwise(F.col("html"))
-    return A.table(spark, sf, "pages").select("page_id", FL.block_reason(html).alias("reason"))
+    """All pages, some with a bot check at their end, and an empty page for each."""
+    html = F.when(F.col("page_id") % 10 == 3, F.concat("html", F.lit("Robot Check"))).otherwise(F.col("html"))
+    pages = A.table(spark, sf, "pages")
+    both = pages.select("page_id", html.alias("html")).union(pages.select(-F.col("page_id") - 1, F.lit("")))
+    return both.select("page_id", FL.block_reason(F.col("html")).alias("reason"))
 
 
 @query
@@ -410,7 +414,7 @@ def flagship(spark, sf):
 def top_offers(spark, sf):
     """The ten cheapest priced listings of every store."""
     o = A.offers(spark, sf).withColumn("price_numeric", P.parse_price(F.col("price"))).where("price_numeric is not null")
-    return top_k(o, ["store_id"], [F.col("price_numeric"), F.col("oid")], F.lit(10), ["oid"]).select("store_id", "rn", "product_id", "price_numeric")
+    return top_k(o, ["store_id"], [F.col("price_numeric"), F.col("oid")], 10, ["oid"]).select("store_id", "rn", "product_id", "price_numeric")
 
 
 @query
@@ -602,6 +606,35 @@ def page_lookup(spark, sf):
     return found.select("url", "store_id", "product_id", "title", "price", "brand")
 
 
+@query
+def page_lookup_snapshots(spark, sf):
+    """The same lookup among pages stored under raw links, each with an older snapshot under its plain one."""
+    pages = A.shop_pages(spark, sf)
+    raw = F.when(F.col("url").contains("takealot"), F.concat("url", F.lit("?src=mail"))).otherwise(
+        F.concat(F.regexp_replace("url", "/dp/", "/Nice-Lamp/dp/"), F.lit("/ref=x?psc=1"))
+    )
+    newer = pages.select(raw.alias("url"), "html", F.lit(2).alias("fetched_at"))
+    older = pages.select("url", F.lit("<p>an older page</p>").alias("html"), F.lit(1).alias("fetched_at"))
+    store = page_store(newer.unionByName(older), StoreRegistry(), buckets=64)
+    part = F.col("pk").cast("string")
+    url = F.when(F.col("pk") % 2 == 0, F.concat(F.lit("https://www.amazon.co.za/dp/"), F.lpad(part, 10, "0"))).otherwise(
+        F.concat(F.lit("https://www.takealot.com/x/PLID"), part)
+    )
+    asked = A.offers(spark, sf).select(F.when(F.col("sk") % 2 == 0, url).otherwise(F.col("url")).alias("url"))
+    r = StoreRegistry()
+    found = lookup_products(asked.withColumn("store_id", r.route(F.col("url"))), store, r)
+    return found.select("url", "store_id", "product_id", "title", "price", "brand")
+
+
+@query
+def direct_rejects(spark, sf):
+    """Direct inputs that no shop can be found for, with the reason."""
+    text = F.when(F.col("oid") % 3 == 0, F.concat(F.lit("https://nowhere.example/"), "product_id")).when(
+        F.col("oid") % 3 == 1, F.concat(F.lit("free text "), "title")
+    ).otherwise(F.col("url"))
+    return direct_rejects_of(A.offers(spark, sf).select("oid", text.alias("input"))).select("oid", "input", "reason")
+
+
 @query
 def direct_products(spark, sf):
     """All listings' links and all page URLs given as direct inputs."""
@@ -673,10 +706,13 @@ def click_stream(spark, sf):
     """The click log replayed as a stream of files."""
     log, out = new_path(spark, "clicks"), new_path(spark, "lists")
     source = A.click_log(spark, sf)
-    source.repartitionByRange(4, "seq").write.parquet(log)
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 8).parquet(log)
+    edges = source.approxQuantile("seq", [0.33, 0.67], 0.01) or [0, 0]
+    for part in (F.col("seq") <= edges[0], (F.col("seq") > edges[0]) & (F.col("seq") <= edges[1]), F.col("seq") > edges[1]):
+        source.where(part).coalesce(1).write.mode("append").parquet(log)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(log)
     q = clicks.collect_stream(clicks.clean_clicks(stream), out, new_path(spark, "state"))
     q.awaitTermination()
+    assert q.lastProgress["batchId"] >= 2
     return clicks.latest_lists(spark, out)
 
 
@@ -685,9 +721,11 @@ def watch_stream(spark, sf):
     """Watched lists of page URLs, each file read as one batch."""
     pages = A.shop_pages(spark, sf)
     folder, out = new_path(spark, "watched"), new_path(spark, "products")
-    pages.select(F.concat(F.col("url"), F.lit(" "))).repartition(2, "url").write.text(folder)
-    stream = W.clean_lines(spark.readStream.option("maxFilesPerTrigger", 4).text(folder))
-    W.watch(stream, pages, out, new_path(spark, "state")).awaitTermination()
+    pages.select(F.concat(F.col("url"), F.lit(" "))).repartition(3).write.text(folder)
+    stream = W.clean_lines(spark.readStream.option("maxFilesPerTrigger", 1).text(folder))
+    q = W.watch(stream, pages, out, new_path(spark, "state"))
+    q.awaitTermination()
+    assert q.lastProgress["batchId"] >= 2
     return spark.read.parquet(out).select("product_id", "title", "price", "url")
 
 
@@ -696,8 +734,8 @@ def stream_dedupe(spark, sf):
     """Inputs that arrive in several files, each product once over the whole stream."""
     source, out = new_path(spark, "inputs"), new_path(spark, "unique")
     df = _inputs(spark, sf).select(F.col("input").alias("value"))
-    df.write.text(source)
-    unique = W.dedupe_stream(W.clean_lines(spark.readStream.text(source)))
+    df.repartition(3).write.text(source)
+    unique = W.dedupe_stream(W.clean_lines(spark.readStream.option("maxFilesPerTrigger", 1).text(source)))
     q = (
         unique.select("store_id", "unique_key")
         .writeStream.format("parquet")
@@ -707,4 +745,5 @@ def stream_dedupe(spark, sf):
         .start()
     )
     q.awaitTermination()
+    assert q.lastProgress["batchId"] >= 2
     return spark.read.schema("store_id string, unique_key string").parquet(out)

@@ -156,7 +156,7 @@ def _terms(parts: str) -> str:
     return f"""select conv_id, turn, term, min(p) as p from (
     select conv_id, turn, {strip('term')} as term, p from (
       select conv_id, turn, unnest(parts) as term, generate_subscripts(parts, 1) as p
-      from (select conv_id, turn, {parts} as parts from conversations where role = 'user')))
+      from (select conv_id, turn, {parts} as parts from conversations)))
   where term <> '' group by conv_id, turn, term"""
 
 ORACLES["search_terms"] = (
@@ -172,13 +172,18 @@ ORACLES["output_name"] = (
         select conv_id, turn, p, trim(regexp_replace(lower(term), '[^a-z0-9]+', '_', 'g'), '_') as part from ("""
     + _terms("string_split(text, ',')")
     + r""")) where part <> '' group by conv_id, turn) n on n.conv_id = c.conv_id and n.turn = c.turn
-      where c.role = 'user' group by c.conv_id, c.turn)"""
+      group by c.conv_id, c.turn)"""
 )
 ORACLES["text_urls"] = """with d as (select doc_id, lpad(cast(doc_id as varchar), 10, '0') as a from documents)
   select doc_id, 0 as pos, concat('https://www.amazon.co.za/dp/', a) as url from d where doc_id % 3 <> 0
   union all select doc_id, 1, concat('https://www.amazon.com/dp/', a) from d where doc_id % 3 <> 0
-  union all select doc_id, 0, a from d where doc_id % 3 = 0
-  union all select doc_id, 1, 'https://a.example/x' from d where doc_id % 3 = 0"""
+  union all select doc_id, cast(row_number() over (partition by doc_id order by p) - 1 as int), url from (
+    select doc_id, url, min(p) as p from (
+      select doc_id, split_part(""" + strip("piece") + """, '?', 1) as url, p from (
+        select doc_id, unnest(parts) as piece, generate_subscripts(parts, 1) as p from (
+          select doc_id, string_split_regex(concat(text, chr(10), a, ', ', a, chr(10), chr(10), 'https://a.example/x?y=1,'), '[\r\n,]+') as parts
+          from documents join d using (doc_id) where doc_id % 3 = 0)))
+    where url <> '' group by doc_id, url)"""
 ORACLES["url_list"] = offers("select 0 as part, href as input from offers union all select 1, 'https://www.takealot.com/x/PLID1'")
 
 # --- routing, filters --------------------------------------------------------------------------
@@ -194,8 +199,9 @@ ORACLES["route_offers"] = offers(
 ORACLES["url_matches_store"] = f"select page_id, coalesce({_PAGE_STORE} = 'example_com', false) as is_com, false as is_amazon from pages"
 ORACLES["store_identifier"] = rf"""select page_id, nullif(regexp_extract(url, '/(\d+)', 1), '') as product_id,
   replace({_PAGE_STORE}, 'example_', 'Example ') as store_name from pages"""
-ORACLES["blocked_pages"] = """select page_id, case when page_id % 10 = 7 then 'empty'
-  when page_id % 10 = 3 or contains(html, 'Robot Check') then 'blocked' end as reason from pages"""
+ORACLES["blocked_pages"] = """select page_id, case when html = '' then 'empty'
+  when page_id % 10 = 3 or contains(html, 'Robot Check') then 'blocked' end as reason from pages
+  union all select -page_id - 1, 'empty' from pages"""
 
 _VALID_AMAZON = """(trim(title) <> '' and not (trim(title) like 'Amazon Product (%)') and
   (price <> 'Price unavailable' or specs_text <> '' or bullets_text <> '' or image_url <> ''))"""
@@ -625,6 +631,11 @@ ORACLES["page_lookup"] = (
     coalesce(s.brand, case when {_IS_TAKEALOT} then null else 'Amazon' end) as brand
   from asked a left join stored s on s.url = a.url"""
 )
+ORACLES["page_lookup_snapshots"] = ORACLES["page_lookup"]
+ORACLES["direct_rejects"] = offers(
+    """select oid, case oid % 3 when 0 then concat('https://nowhere.example/', product_id) else concat('free text ', title) end as input,
+      'unknown shop' as reason from offers where oid % 3 <> 2"""
+)
 ORACLES["direct_products"] = (
     offers("")[:-1]
     + f""", {_STORED}, given as (select 0 as part, case when p_partkey % 2 = 0 then concat('https://www.amazon.co.za/dp/', lpad(cast(p_partkey as varchar), 10, '0'))

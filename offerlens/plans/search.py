@@ -58,23 +58,32 @@ def direct_run(
 ) -> DataFrame:
     """Given URLs and identifiers ``(input, …)`` -> one product per distinct input.
 
-    Inputs of unknown shops are left out unless ``unknown`` names the store whose rules they get.
+    Inputs that no page can be named for are those of :func:`direct_rejects`; inputs of unknown shops aren't, if ``unknown`` names the store whose rules they get.
     ``compat_key`` takes the identifier rules of all stores in turn for de-duplication. Price bounds are
     off unless given.
     """
     registry = registry or StoreRegistry()
+    df = addressed(inputs, registry, unknown).where("reason is null").drop("reason")
+    df = dedupe_inputs(df, order, store_id=None if compat_key else "store_id")
+    found = lookup_products(df, pages, registry)
+    return df.join(found, ["url", "store_id"]).where(in_price_range(F.col("price_numeric"), low, high))
+
+
+def addressed(inputs: DataFrame, registry: StoreRegistry, unknown: str | None = None) -> DataFrame:
+    """Add ``store_id``, the page's ``url`` and, where there is none, the ``reason``."""
     text = F.col("input")
-    bare = ~text.startswith("http")
     store = registry.route(text, unknown)
-    store = F.when(bare & lookup_url(text).isNotNull(), F.lit("amazon")).otherwise(store)
-    df = inputs.withColumn("store_id", store).where("store_id is not null")
-    df = dedupe_inputs(df, order, store_id=None if compat_key else "store_id")
+    store = F.when(~text.startswith("http") & lookup_url(text).isNotNull(), F.lit("amazon")).otherwise(store)
     target = F.when(F.col("store_id") == "amazon", unwrap_amazon_url(lookup_url(text))).otherwise(
-        F.substring_index(text, "?", 1)
+        registry.canonical(F.col("store_id"), text)
     )
-    df = df.withColumn("url", target).where("url is not null and url <> ''")
-    found = lookup_products(df, pages, registry)
-    return df.join(found, ["url", "store_id"]).where(in_price_range(F.col("price_numeric"), low, high))
+    reason = F.when(F.col("store_id").isNull(), "unknown shop").when(F.coalesce("url", F.lit("")) == "", "no address")
+    return inputs.withColumn("store_id", store).withColumn("url", target).withColumn("reason", reason)
+
+
+def direct_rejects(inputs: DataFrame, registry: StoreRegistry | None = None, unknown: str | None = None) -> DataFrame:
+    """The inputs that :func:`direct_run` has no page for, with a ``reason``."""
+    return addressed(inputs, registry or StoreRegistry(), unknown).where("reason is not null")
 
 
 def compare(products: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

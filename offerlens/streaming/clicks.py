@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from offerlens.functions.identity import clicked_url
 from offerlens.operators.ranking import with_group_facts
-from offerlens.storage import write_batch
+from offerlens.storage import drop_batch, write_batch
 
 
 def clean_clicks(events: DataFrame) -> DataFrame:
@@ -98,6 +98,8 @@ def collect_stream(events: DataFrame, out: str, checkpoint: str, **trigger) -> S
             kept = before.select("user_id", F.col("added_at").alias("seq"), F.lit("add").alias("action"), "url")
             now = kept.unionByName(now)
         write_batch(replay(now).unionByName(mark), out, batch_id)
+        if batch_id > 1:  # the last version but one is kept for a repeated batch
+            drop_batch(spark, out, batch_id - 2)
 
     return (
         events.writeStream.foreachBatch(process)
