@@ -208,6 +208,24 @@ def links(offer_table: DataFrame, terms: int = 3) -> DataFrame:
     ).select("run_id", "store_id", "query_idx", F.explode("pages").alias("page_num"), "pos", "href")
 
 
+def result_pages(link_table: DataFrame) -> DataFrame:
+    """The links of every result page written as HTML, between links to other things."""
+    link = F.concat(F.lit("<div><a class=x\n href='"), F.replace("href", F.lit("&"), F.lit("&amp;")), F.lit("'>item</a><a href=\"/help\">help</a></div>"))
+    keys = ["run_id", "store_id", "query_idx", "page_num"]
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", link.alias("a")))), lambda x: x["a"]), "")
+    html = F.concat(F.lit('<html><body><!-- <a href="/dp/0000000000">old</a> --><a href="/">home</a>'), body, F.lit("</body></html>"))
+    return link_table.groupBy(*keys).agg(html.alias("html"))
+
+
+def part_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of every part whose page :func:`shop_pages` writes."""
+    pk = F.col("p_partkey")
+    even = pk % 2 == 0
+    asin = F.lpad(pk.cast("string"), 10, "0")
+    href = F.when(even, F.concat(F.lit("/Nice-Lamp/dp/"), asin, F.lit("/ref=sr?a=1&b=2"))).otherwise(F.concat(F.lit("/x/PLID"), pk.cast("string"), F.lit("?src=s")))
+    return table(spark, sf_dir, "part").select(pk.alias("pk"), pk.alias("sk"), F.when(even, "amazon").otherwise("takealot").alias("store_id"), href.alias("href"))
+
+
 def comparisons(offer_table: DataFrame) -> DataFrame:
     """Every part is one comparison set of the listings that sell it."""
     context = F.element_at(F.array(*[F.lit(c) for c in CONTEXTS]), (F.col("pk") % len(CONTEXTS) + 1).cast("int"))

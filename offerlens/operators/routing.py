@@ -26,7 +26,8 @@ class StorePlugin:
     ``identifier`` maps a URL column to an identifier column. ``is_valid`` maps a column getter to a
     boolean column over product columns. ``selectors`` names the table of page selectors that the
     extraction job uses (see ``offerlens.sources.shop_fields``). ``canonical`` maps a URL column to the form under
-    which all links to one page meet; without it, queries and fragments are cut.
+    which all links to one page meet; without it, queries and fragments are cut. A shop whose pages no known table
+    fits brings its own as ``fields`` (same shape as those of ``shop_fields``), which then stands for ``selectors``.
     """
 
     store_id: str
@@ -36,6 +37,10 @@ class StorePlugin:
     is_valid: Callable[[Callable[[str], Column]], Column] = _always
     selectors: str = "amazon"
     canonical: Callable[[Column], Column] = _bare
+    fields: dict | None = None
+
+    def table_name(self) -> str:
+        return self.selectors if self.fields is None else f"own:{self.store_id}"
 
 
 # Shops known from the start, in order of priority, with their domains.
@@ -130,7 +135,15 @@ class StoreRegistry:
 
     def selectors(self, store_id: Column) -> Column:
         """Name of the selector table for the pages of a store."""
-        return self._by_store(store_id, lambda p: F.lit(p.selectors), "string")
+        return self._by_store(store_id, lambda p: F.lit(p.table_name()), "string")
+
+    def field_tables(self, known: dict[str, dict]) -> dict[str, dict]:
+        """The selector tables that the stores use; an unknown name is an error here, not in a task."""
+        tables = {**known, **{p.table_name(): p.fields for p in self._plugins.values() if p.fields is not None}}
+        lost = [p.store_id for p in self._plugins.values() if p.table_name() not in tables]
+        if lost:
+            raise ValueError(f"stores without a selector table: {lost}; known tables: {sorted(known)}")
+        return {name: tables[name] for name in {p.table_name() for p in self._plugins.values()}}
 
     def _by_store(self, store_id: Column, rule: Callable[[StorePlugin], Column], kind: str) -> Column:
         out = F.when(F.lit(False), F.lit(None).cast(kind))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from offerlens.functions.price import parse_price, parse_price_loose
 from offerlens.functions.text import let, round_tenths, search
 from offerlens.operators.ranking import rank_in_blocks, spread, with_group_facts
+from offerlens.storage import stored
 
 # Input positions per block: how much of one set may meet in one task.
 BLOCK = 1 << 16
@@ -200,8 +201,10 @@ def score(products: DataFrame, price_source: str = "loose", exclude_unpriced: bo
 def rank_scored(scored: DataFrame, block: int = BLOCK) -> DataFrame:
     """Position of every product in its set: best score first, ties in input order.
 
-    Scores are whole tenths, so a set falls into blocks of one score and a stretch of input positions.
+    Scores are whole tenths, so a set falls into blocks of one score and a stretch of input positions. The scored
+    rows are stored first, as blocks are sized and numbered from them.
     """
+    scored = stored(scored, "scored")
     tenths = F.coalesce(F.rint(F.col("overall_score") * -10).cast("int"), F.lit(0))
     blocks = [tenths, F.coalesce(F.floor(F.col("idx") / block), F.lit(0))]
     return rank_in_blocks(scored, ["comparison_id"], blocks, [F.col("idx")], "position")

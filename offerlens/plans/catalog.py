@@ -19,6 +19,7 @@ from offerlens.sinks.markdown import markdown_lines
 from offerlens.sources import candidates as CA, urls as U
 from offerlens.sources.pages import extract_products, finish
 from offerlens.sources.payload import payload_products
+from offerlens.sources.result_pages import page_links
 from offerlens.storage import new_path
 from offerlens.streaming import clicks, watch as W
 
@@ -382,6 +383,20 @@ def allocation_many_terms(spark, sf):
     return _search(spark, sf, CA.NO_CAPS, 8).select("run_id", "accept_idx", "store_id", "query_idx", "pass_no", "product_id")
 
 
+@query
+def result_page_links(spark, sf):
+    """Links read back from result pages written as HTML."""
+    return page_links(A.result_pages(A.links(A.offers(spark, sf)))).select("run_id", "store_id", "query_idx", "page_num", "pos", "href")
+
+
+@query
+def search_pages(spark, sf):
+    """The whole path: result pages, their links, product pages, extraction, filters, allocation."""
+    found = page_links(A.result_pages(A.links(A.part_listings(spark, sf))))
+    accepted = search_run(found, A.runs(spark, sf), pages=A.shop_pages(spark, sf))
+    return accepted.select("run_id", "accept_idx", "store_id", "query_idx", "pass_no", "product_id", "title", "price")
+
+
 @query
 def quota_pass(spark, sf):
     return _search(spark, sf).where("pass_no = 1").select("run_id", "store_id", "query_idx", "product_id")

@@ -648,6 +648,26 @@ ORACLES["direct_products"] = (
   from firsts left join stored s on s.url = case when t then f[2] else concat('https://', split_part(f[2], '/', 3), '/dp/', unique_key) end"""
 )
 
+ORACLES["result_page_links"] = offers(
+    """select run_id, store_id, query_idx, page_num, cast(2 * row_number() over (partition by run_id, store_id, query_idx, page_num order by pos, href) - 1 as int) as pos, href
+      from (select run_id, store_id, query_idx, case when stale and page > 3 then page + 1 else page end as page_num, pos, href from asked
+        union all select run_id, store_id, query_idx, 4, pos, href from asked where stale and page = 3)""",
+    _PLACED, _ASKED,
+)
+_PART_LISTINGS = """select p_partkey as pk, p_partkey as sk, case when p_partkey % 2 = 0 then 'amazon' else 'takealot' end as store_id,
+  case when p_partkey % 2 = 0 then lpad(cast(p_partkey as varchar), 10, '0') else concat('PLID', cast(p_partkey as varchar)) end as product_id,
+  case when p_partkey % 50 = 0 then concat('Amazon Product (', lpad(cast(p_partkey as varchar), 10, '0'), ')')
+    when p_partkey % 2 = 0 then concat(p_name, ' Refill 2 x 5 ml') else p_name end as title,
+  case when p_partkey % 50 = 0 then 'Price unavailable' else concat('R', cast(cast(round(p_retailprice * 100) as bigint) // 100 as varchar), '.',
+    lpad(cast(cast(round(p_retailprice * 100) as bigint) % 100 as varchar), 2, '0')) end as price,
+  'x' as specs_text, 'x' as bullets_text, '' as image_url,
+  case when p_partkey % 2 = 0 then concat('https://www.amazon.co.za/dp/', lpad(cast(p_partkey as varchar), 10, '0'))
+    else concat('https://www.takealot.com/x/PLID', cast(p_partkey as varchar)) end as url from part"""
+ORACLES["search_pages"] = "with " + ", ".join(
+    f"{n} as ({sql})" for n, sql in (("offers", _PART_LISTINGS), _RUNS, _TARGETS, *_BASE, *_allocation(capped=False))
+) + """ select n.run_id, accept_idx, n.store_id, query_idx, pass_no, n.product_id, title, price
+  from numbered n join offers o on o.product_id = n.product_id"""
+
 # --- sinks -------------------------------------------------------------------------------------
 
 ORACLES["json_document"] = offers(

@@ -64,7 +64,7 @@ def direct_run(
     """
     registry = registry or StoreRegistry()
     df = addressed(inputs, registry, unknown).where("reason is null").drop("reason")
-    df = dedupe_inputs(df, order, store_id=None if compat_key else "store_id")
+    df = dedupe_inputs(df, order, store_id=None if compat_key else "store_id", registry=registry)
     found = lookup_products(df, pages, registry)
     return df.join(found, ["url", "store_id"]).where(in_price_range(F.col("price_numeric"), low, high))
 

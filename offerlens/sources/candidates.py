@@ -19,6 +19,7 @@ from offerlens.functions.identity import (
     unwrap_amazon_url,
 )
 from offerlens.operators.ranking import keep_first, top_k
+from offerlens.storage import stored
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,6 @@ def result_links(links: DataFrame, target_count: Column, caps: Caps = NO_CAPS) -
 
     Adds ``rank`` (1-based). ``target_count`` is a column over the links.
     """
-    listed = before_dry_page(first_links(links, caps))
+    listed = before_dry_page(stored(first_links(links, caps), "links"))
     order = [F.col(c) for c in RANK]
     return top_k(listed, GROUP, order, target_count, ["product_id"]).withColumnRenamed("rn", "rank")

@@ -84,7 +84,7 @@ def raw_fields(pages: DataFrame, tables: dict[str, dict]) -> DataFrame:
             for html, name in zip(pdf["html"], pdf["selectors"]):
                 try:
                     rows.append(read_fields(html, tables[name]))
-                except (AssertionError, ValueError, RecursionError) as e:
+                except Exception as e:  # an unreadable page is a row with an error, whatever goes wrong
                     rows.append({"error": f"{type(e).__name__}: {e}"})
             raw = pd.DataFrame(rows, columns=raw_names, index=pdf.index, dtype=object)
             yield pd.concat([pdf[kept_names], raw], axis=1)
@@ -99,7 +99,7 @@ def page_records(pages: DataFrame, registry: StoreRegistry, tables: dict[str, di
     ``blocked`` or ``unreadable``. The loose price search and the currency marks look at the page in the
     JVM, so Python returns only the selected strings.
     """
-    tables = tables or FIELD_TABLES
+    tables = registry.field_tables(tables or FIELD_TABLES)
     if "store_id" not in pages.columns:
         pages = pages.withColumn("store_id", registry.route(F.col("url")))
     base = pages.select(

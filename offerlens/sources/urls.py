@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from offerlens.functions.identity import unique_key, urls_in_text
 from offerlens.functions.text import strip_u
 from offerlens.operators.ranking import keep_first
+from offerlens.operators.routing import StoreRegistry
 
 
 def read_url_list(spark: SparkSession, path: str, extra: list[str] | None = None) -> DataFrame:
@@ -32,13 +33,18 @@ def dedupe_inputs(
     text: str = "input",
     store_id: str | None = None,
     scope: tuple[str, ...] = (),
+    registry: StoreRegistry | None = None,
 ) -> DataFrame:
     """First input of every product, by identifier where the text holds one, else by the text.
 
-    ``scope`` names columns inside which the search for repeats happens.
+    ``scope`` names columns inside which the search for repeats happens. With a ``registry``, every store's own
+    identifier rule counts.
     """
     store = F.col(store_id) if store_id else None
-    keyed = inputs.withColumn("unique_key", unique_key(F.col(text), store))
+    key = unique_key(F.col(text), store)
+    if registry and store is not None:
+        key = F.coalesce(F.nullif(registry.identifier(store, F.col(text)), F.lit("")), F.col(text))
+    keyed = inputs.withColumn("unique_key", key)
     keys = [*scope, "unique_key"] + ([store_id] if store_id else [])
     return keep_first(keyed, keys, order)
 
