@@ -30,6 +30,7 @@ SEGMENTS = 32
 # All blanks become spaces, A-Z small.
 FOLD = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 14
+SMALL = 8  # rows of a cell whose pairs are compared by shifts of the whole batch
 #: Bits of a segment's count on which two random segments agree: -log2(1/16 + 1/4 + 1/16).
 SEGMENT_BITS = 1.415
 
@@ -108,6 +109,18 @@ def forest(fp: np.ndarray, other: np.ndarray | None = None) -> list[tuple[int, i
     return [(int(values[p]), int(values[q])) for p, q in links]
 
 
+def near_in_small(fp: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the same small cell within the radius, by comparing each row with the next ones."""
+    grid, left, right = places(fp), [], []
+    for d in range(1, SMALL):
+        a = np.flatnonzero(wanted[:-d] & (keys[:-d] == keys[d:]))
+        a = a[np.abs(grid[a] - grid[a + d]).sum(axis=1, dtype=np.int64) <= RADIUS]
+        a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= RADIUS]
+        left.append(a)
+        right.append(a + d)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def signed(v) -> np.ndarray:
     return np.asarray(v, np.uint64).view(np.int64)
 
@@ -139,11 +152,14 @@ def candidate_links(fps: DataFrame, blocks: int, cell_rows: int = 4096) -> DataF
             fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
             out: list[list] = []
-            # Runs of one row that touch no neighbouring batch need no look.
+            # Small cells that touch no neighbouring batch are searched all at once.
             starts = np.insert(ends[:-1], 0, 0)
-            inner = np.ones(len(ends), bool)
+            inner = ends - starts <= SMALL
             inner[0] = inner[-1] = False
-            busy = np.flatnonzero(~(inner & (ends - starts == 1)))
+            busy = np.flatnonzero(~inner)
+            a, b = near_in_small(fp, keys, np.repeat(inner, ends - starts))
+            if len(a):
+                out.append([signed(fp[a]), signed(fp[b]), np.full(len(a), False)])
             for r in busy.tolist():
                 a, b = int(starts[r]), int(ends[r])
                 if held and keys[a] == held_key:
@@ -169,7 +185,9 @@ def candidate_links(fps: DataFrame, blocks: int, cell_rows: int = 4096) -> DataF
                 yield [pa.array(signed([a for a, _ in links])), pa.array(signed([b for _, b in links]))]
 
     cells = map_rows(fps, keyed, "cell bigint, fp bigint")
-    sorted_cells = cells.repartition("cell").sortWithinPartitions("cell")
+    # A given number of partitions: the search is long for its few bytes, so tasks aren't to be merged by size.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_cells = cells.repartition(tasks, "cell").sortWithinPartitions("cell")
     found = stored(map_rows(sorted_cells, searched, "a bigint, b bigint, large boolean"), "cell-links")
     links = found.where("not large").select("a", "b")
     large = found.where("large").select(F.col("a").alias("cell"), F.col("b").alias("fp"))
