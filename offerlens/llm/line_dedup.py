@@ -24,6 +24,7 @@ from offerlens.storage import stored
 
 _BLANK = BLANK.encode()
 ROUNDS = 4  # bits set for each hash
+SALTS = 16
 
 
 def line_key(line: bytes) -> bytes:
@@ -83,8 +84,8 @@ class Growing:
         return found
 
     def add(self, h: np.ndarray) -> None:
-        if self.parts[-1].held > self.parts[-1].bits // 12:
-            self.parts.append(Bloom(4 * self.parts[-1].bits))
+        if self.parts[-1].held + len(h) > self.parts[-1].bits // 12:
+            self.parts.append(Bloom(max(4 * self.parts[-1].bits, 1 << (24 * len(h)).bit_length())))
         self.parts[-1].add(h)
 
 
@@ -170,8 +171,12 @@ def dedup_lines(
         .where(F.col("docs") >= min_docs)
         .select("line", "keeper")
     )
+    # A line that very many documents hold would fill one task of the join: the documents are parted by a salt, and
+    # the repeated lines, few beside their uses, go to every part.
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
     drops = (
-        suspected.join(repeated, "line")
+        suspected.withColumn("salt", salt)
+        .join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["line", "salt"])
         .where(F.col("doc") != F.col("keeper"))
         .groupBy(F.col("doc").alias("__doc"))
         .agg(F.collect_set("line").alias("__drop"))
