@@ -157,7 +157,7 @@ def judge(
     max_repeat_pct: int = 20,
     support: float = 0.75,
     steps: int = 3,
-    cut: float = 1 - 1e-6,
+    cut: float = 1 - 1e-9,
     min_rows: int = 100,
     text_col: str = "text",
     id_col: str = "doc_id",
