@@ -119,19 +119,24 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def sample(labelled: DataFrame, rows_per_lang: int) -> DataFrame:
-    """About ``rows_per_lang`` rows of each language, chosen by a hash of the id."""
-    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), rows_per_lang / F.count("*")).alias("share"))
+def sample(labelled: DataFrame, rows_per_lang: int, max_langs: int) -> DataFrame:
+    """About ``rows_per_lang`` rows of each of the ``max_langs`` most frequent languages, chosen by a hash of the id."""
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not sizes:
+        return labelled.limit(0)
+    # The shares are a literal: a join would bring all texts of a language to one task.
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, rows_per_lang / r.n))])
     unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(share, "lang").where(unit < F.col("share")).drop("share")
+    return labelled.where(unit < share[F.col("lang")])
 
 
 def train(
-    docs: DataFrame, rows_per_lang: int = 400, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
+    docs: DataFrame, rows_per_lang: int = 400, max_langs: int = 1000, text_col: str = "text", lang_col: str = "lang",
+    id_col: str = "doc_id",
 ) -> Model:
     """Fit on rows that aren't held out, with a language and a letter; every fifth of them sets the temperature.
 
-    ``rows_per_lang`` bounds the sample. Rows come to the driver as sparse counts of 2**14 features at most.
+    ``rows_per_lang`` and ``max_langs`` bound the sample. Rows come to the driver as sparse counts of 2**14 features at most.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold(F.col("id")) != 0, F.lit(False))
@@ -148,7 +153,7 @@ def train(
                         column.append(value)
             yield columns
 
-    found = map_rows(sample(labelled, rows_per_lang), counted, "id string, lang string, at array<int>, n array<bigint>")
+    found = map_rows(sample(labelled, rows_per_lang, max_langs), counted, "id string, lang string, at array<int>, n array<bigint>")
     rows = sorted(found.collect(), key=lambda r: (r.id, r.lang, r.at, r.n))
     langs = sorted({r.lang for r in rows})
     if not langs:
