@@ -208,6 +208,34 @@ def links(offer_table: DataFrame, terms: int = 3) -> DataFrame:
     ).select("run_id", "store_id", "query_idx", F.explode("pages").alias("page_num"), "pos", "href")
 
 
+def full_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per part with the fields that :func:`shop_pages` leaves out; every fiftieth is empty."""
+    pk, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    even = pk % 2 == 0
+    prime = F.when(pk % 4 == 0, F.lit("<i class='a-icon-prime'></i>")).otherwise(F.lit(""))
+    amazon = F.concat(
+        F.lit("<html><body><h1 id='title'><span id='productTitle'>"), F.col("p_name"), F.lit("</span></h1><span class='a-price'><span class='a-offscreen'>R90.00</span></span>"),
+        F.lit("<span class='a-price a-text-price'><span class='a-offscreen'>R"), (pk + 100).cast("string"), F.lit(".50</span></span>"),
+        F.lit("<div id='imageBlock'><img id='landingImage' data-old-hires='https://m.media-amazon.com/i/"), n, F.lit(".jpg' src='s.jpg'></div>"),
+        F.lit("<div id='altImages'><img src='https://m.media-amazon.com/i/b"), n, F.lit("._SS40_.jpg'><img src='https://m.media-amazon.com/i/sprite.png'></div>"),
+        F.lit("<div id='availability'><span>Only "), (pk % 9).cast("string"), F.lit(" left</span></div>"),
+        F.lit("<div id='important-information'><h4>Safety Information</h4><p>Keep dry.</p></div><div id='aplus_feature_div'><p>From the brand</p> number "), n,
+        F.lit("</div><div id='whatIsInTheBox_feature_div'><ul><li>Tool "), n, F.lit("</li><li>Case</li></ul></div>"),
+        F.lit("<div id='merchantInfoFeature_feature_div'><span>Sold by</span><span>Shop "), (pk % 7).cast("string"), F.lit("</span><span>Mover</span></div>"),
+        F.lit("<div id='productSupportAndReturnPolicy_feature_div'><span>Support</span><span>"), (pk % 30 + 1).cast("string"), F.lit(" Days Returnable</span></div>"),
+        prime, F.lit("<div id='socialProofingAsinFaceout_feature_div'>"), n, F.lit("+ bought</div></body></html>"),
+    )
+    takealot = F.concat(
+        F.lit("<html><body><h1>"), F.col("p_name"), F.lit("</h1><span class='currency'>R 90</span><s>R "), (pk + 100).cast("string"),
+        F.lit("</s><img src='https://media.takealot.com/covers_images/"), n, F.lit(".jpg'><div><table><tr><td>Seller</td><td>Shop "), (pk % 7).cast("string"),
+        F.lit("</td></tr><tr><td>What's in the box</td><td>Tub "), n, F.lit("</td></tr></table></div></body></html>"),
+    )
+    url = F.when(even, F.concat(F.lit("https://www.amazon.co.za/dp/"), F.lpad(n, 10, "0"))).otherwise(F.concat(F.lit("https://www.takealot.com/x/PLID"), n))
+    parts = table(spark, sf_dir, "part")
+    html = F.when(pk % 50 == 0, F.lit("")).otherwise(F.when(even, amazon).otherwise(takealot))
+    return parts.repartition(spread(parts), "p_partkey").select(url.alias("url"), html.alias("html"))
+
+
 def result_pages(link_table: DataFrame) -> DataFrame:
     """The links of every result page written as HTML, between links to other things."""
     link = F.concat(F.lit("<div><a class=x\n href='"), F.replace("href", F.lit("&"), F.lit("&amp;")), F.lit("'>item</a><a href=\"/help\">help</a></div>"))

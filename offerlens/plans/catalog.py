@@ -20,7 +20,7 @@ from offerlens.sources import candidates as CA, urls as U
 from offerlens.sources.pages import extract_products, finish
 from offerlens.sources.payload import payload_products
 from offerlens.sources.result_pages import page_links
-from offerlens.storage import new_path
+from offerlens.storage import new_path, stored
 from offerlens.streaming import clicks, watch as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -600,6 +600,18 @@ def page_extract(spark, sf):
     )
 
 
+@query
+def page_fields(spark, sf):
+    """Original prices, images, rich text, box contents, sellers, returns and popularity of pages, empty ones too."""
+    df = extract_products(A.full_pages(spark, sf), StoreRegistry())
+    return df.select(
+        "product_id", "title", "original_price", "image_url", F.array_join("gallery_images", " ").alias("gallery"), "availability",
+        "important_information", "aplus_content", F.array_join("whats_in_the_box", "|").alias("box"), F.col("seller_info.seller").alias("seller"),
+        F.col("seller_info.shipper").alias("shipper"), F.col("seller_info.is_prime").alias("is_prime"),
+        F.col("seller_info.return_policy").alias("return_policy"), "social_proof",
+    )
+
+
 @query
 def page_products(spark, sf):
     """Titles of the stored web pages read as three plugin stores."""
@@ -687,6 +699,25 @@ def markdown_report(spark, sf):
     return markdown_lines(_reports(spark, sf), F.lit(SCANNED_AT)).select("report_id", "section", "idx", "line", "text")
 
 
+@query
+def markdown_files(spark, sf):
+    """Reports written by a name that ends in ``.md``, read back line by line."""
+    path = new_path(spark, "reports") + ".md"
+    D.export(_reports(spark, sf), path, F.lit(SCANNED_AT))
+    return spark.read.text(path).select(F.col("report_id").cast("bigint").alias("report_id"), F.col("value").alias("text"))
+
+
+@query
+def rewritten_runs(spark, sf):
+    """Results of all runs stored, then those of every other run stored again with other content and once more."""
+    path = new_path(spark, "runs")
+    found = stored(_search(spark, sf).select("run_id", "accept_idx", "store_id", "query_idx", "pass_no", "product_id"), "found")
+    D.rewrite_runs(found, path)
+    D.rewrite_runs(found.where("run_id % 2 = 0 and accept_idx = 1"), path)
+    D.rewrite_runs(found.where("run_id % 2 = 0"), path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 @query
 def json_document(spark, sf):
     """The single-document form, written as text parts and read back as one line count per report."""

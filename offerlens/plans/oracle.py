@@ -668,6 +668,25 @@ ORACLES["search_pages"] = "with " + ", ".join(
 ) + """ select n.run_id, accept_idx, n.store_id, query_idx, pass_no, n.product_id, title, price
   from numbered n join offers o on o.product_id = n.product_id"""
 
+ORACLES["page_fields"] = """with p as (select *, cast(p_partkey as varchar) as n, p_partkey % 2 = 0 as even, p_partkey % 50 = 0 as bare from part)
+  select case when even then lpad(n, 10, '0') else concat('PLID', n) end as product_id,
+    case when bare then concat('Amazon Product (', lpad(n, 10, '0'), ')') else p_name end as title,
+    case when bare then '' when even then concat('R', cast(p_partkey + 100 as varchar), '.50') else concat('R ', cast(p_partkey + 100 as varchar)) end as original_price,
+    case when bare then '' when even then concat('https://m.media-amazon.com/i/', n, '.jpg') else concat('https://media.takealot.com/covers_images/', n, '.jpg') end as image_url,
+    case when bare then '' when even then concat('https://m.media-amazon.com/i/', n, '.jpg https://m.media-amazon.com/i/b', n, '.jpg')
+      else concat('https://media.takealot.com/covers_images/', n, '.jpg') end as gallery,
+    case when bare then 'Unknown' when even then concat('Only ', cast(p_partkey % 9 as varchar), ' left') else 'In stock' end as availability,
+    case when even and not bare then concat('Safety Information', chr(10), 'Keep dry.') else '' end as important_information,
+    case when bare then '' when even then concat('From the brand number ', n) end as aplus_content,
+    case when bare then '' when even then concat('Tool ', n, '|Case') else concat('Tub ', n) end as box,
+    case when bare then 'Amazon.co.za' else concat('Shop ', cast(p_partkey % 7 as varchar)) end as seller,
+    case when bare then 'Amazon.co.za' when even then 'Mover' else 'Takealot' end as shipper,
+    p_partkey % 4 = 0 and not bare as is_prime,
+    case when bare then 'Standard 30-day return policy' when even then concat(cast(p_partkey % 30 + 1 as varchar), ' Days Returnable')
+      else 'Takealot 30-day return policy' end as return_policy,
+    case when bare then '' when even then concat(n, '+ bought') end as social_proof
+  from p"""
+
 # --- sinks -------------------------------------------------------------------------------------
 
 ORACLES["json_document"] = offers(
@@ -744,3 +763,5 @@ ORACLES["watch_stream"] = f"""select case when p_partkey % 2 = 0 then lpad(cast(
 ORACLES["stream_dedupe"] = offers(
     "select store_id, product_id as unique_key from offers"
 )
+ORACLES["markdown_files"] = f"select report_id, text from ({ORACLES['markdown_report']})"
+ORACLES["rewritten_runs"] = ORACLES["allocation_full"]
