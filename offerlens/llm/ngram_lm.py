@@ -63,18 +63,18 @@ def part_bounds(parts: int) -> np.ndarray:
 
 
 def pack_hashes(h: np.ndarray) -> bytes:
-    """Sorted hashes as differences of as few bytes as the largest one needs."""
-    steps = np.diff(h, prepend=np.uint64(0))
+    """Sorted hashes: the first, then differences of as few bytes as the largest one needs."""
+    steps = np.diff(h)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + h[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_hashes(data: bytes) -> np.ndarray:
-    width = data[0]
-    short = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    width, first = data[0], np.frombuffer(data[1:9], "<u8")
+    short = np.frombuffer(data, np.uint8, offset=min(9, len(data))).reshape(-1, width)
     steps = np.zeros((len(short), 8), np.uint8)
     steps[:, :width] = short
-    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+    return np.cumsum(np.concatenate([first, steps.reshape(-1).view("<u8")]), dtype=np.uint64)
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -85,6 +85,21 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data[:-1]), f"<u{data[-1]}").astype(np.int64)
 
 
+def pack_codes(codes: np.ndarray, words: int) -> tuple[bytes, np.ndarray]:
+    """Word numbers by falling frequency, byte by byte compressed; and the old number of each new one."""
+    old = np.argsort(-np.bincount(codes, minlength=words), kind="stable")
+    new = np.empty(words, np.uint32)
+    new[old] = np.arange(words, dtype=np.uint32)
+    planes = new[codes].astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(codes).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True), old
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(n)
+
+
 def block_scores(words: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray, order: int, alpha: float) -> np.ndarray:
     """Sum of log scores of each document; counts are those of all other documents."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -141,10 +156,10 @@ def lm_scores(
         def flush() -> Iterator[list]:
             block = uuid.uuid4().hex
             digest = np.fromiter(map(xxhash.xxh64_intdigest, vocab), np.uint64, len(vocab))
-            at = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            at = np.concatenate(codes)
             doc = np.repeat(np.arange(len(lengths)), lengths)
-            body = zlib.compress(at.astype("<i4").tobytes(), 1)
-            yield [[block], [TEXT_ROW], [body], [digest.tobytes()], pa.array([ids], pa.list_(id_arrow)), [lengths]]
+            body, order_of = pack_codes(at, len(vocab))
+            yield [[block], [TEXT_ROW], [body], [digest[order_of].tobytes()], pa.array([ids], pa.list_(id_arrow)), [lengths]]
             grams = np.concatenate([h for _, h in ngram_hashes(digest[at], doc, order)])
             hashes, counts = np.unique(grams, return_counts=True)
             cuts = np.append(np.searchsorted(hashes, part_bounds(parts)), len(hashes)).tolist()
@@ -203,8 +218,7 @@ def lm_scores(
 
         def flush() -> list:
             body, extra, ids, lengths = text
-            at = np.frombuffer(zlib.decompress(body), "<i4")
-            words, size = np.frombuffer(extra, np.uint64)[at], np.array(lengths, np.int64)
+            words, size = np.frombuffer(extra, np.uint64)[unpack_codes(body)], np.array(lengths, np.int64)
             doc = np.repeat(np.arange(len(size)), size)
             hashes = np.unique(np.concatenate([h for _, h in ngram_hashes(words, doc, order)]))
             total = np.concatenate(counts) if counts else np.zeros(0, np.int64)
