@@ -14,6 +14,7 @@ from offerlens.llm.common import WORD
 from offerlens.storage import stored
 
 HASH_BITS, STEP_BITS = 60, 10
+SALTS = 16  # parts of a source in the join, as one source may hold a third of all rows
 WEIGHTS = (5, 2, 1)  # by the sources' order, repeating
 
 
@@ -63,11 +64,13 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 
     The boundary document is taken if that comes nearer to the budget.
     """
+    sized = sized.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
     # low: start of the boundary bucket; rest: what is left of the budget there
     bounds = stored(budgets.select("src", F.lit(0).cast("bigint").alias("low"), F.col("rest").cast("double").alias("rest")), "mix-bounds")
     for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         width = 1 << shift + STEP_BITS
-        inside = sized.join(bounds, "src").where((F.col("h") >= F.col("low")) & (F.col("h") - F.col("low") < F.lit(width)))
+        salted = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        inside = sized.join(salted, ["src", "salt"]).where((F.col("h") >= F.col("low")) & (F.col("h") - F.col("low") < F.lit(width)))
         bucket = F.shiftright(F.col("h") - F.col("low"), shift).alias("bucket")
         sums = inside.groupBy("src", bucket).agg(
             F.sum("size").alias("size"), F.count("*").alias("docs"), F.first("low").alias("low"), F.first("rest").alias("rest")
