@@ -29,7 +29,7 @@ def test_decisions_take_effect(spark, tmp_path):
     common = "This line stands in very many documents"
     rows = [(i, text(lang := rnd.choice(["en", "de"])), lang, f"s{i % 3}", 0) for i in range(60)]
     copy = rows[10][1]
-    rows += [(100, copy, "en", "s0", 0)]
+    rows += [(100, copy, "en", "s0", 0), (None, copy, "en", "s0", 0), (None, text("de"), "de", None, None)]
     rows += [(200 + i, f"{common}\n{text('en')}", "en", "s1", 0) for i in range(6)]
     rows += [(300, f"{text('de')} {passage} {text('de')}", "de", "s2", 0), (301, passage, "en", "s2", 0), (302, None, None, None, None), (303, "12 34", "en", "s0", 5)]
     spark.createDataFrame([(1, passage), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -39,9 +39,9 @@ def test_decisions_take_effect(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         docs = spark.createDataFrame(out.collect(), out.schema)
         seen[name] = {r.doc_id: r for r in docs.collect()}
-    assert {302, 303}.isdisjoint(seen["language"]) and len(seen["language"]) == len(rows) - 2
+    assert {302, 303}.isdisjoint(seen["language"]) and len(seen["language"]) == len(rows) - 3  # two rows share the null id
     assert [i for i in range(200, 206) if common in seen["lines"][i].text] == [205]
-    assert 10 in seen["near_duplicates"] and 100 not in seen["near_duplicates"]
+    assert 10 in seen["near_duplicates"] and 100 not in seen["near_duplicates"] and None in seen["near_duplicates"]
     assert 301 not in seen["benchmark"] and "item7" not in seen["benchmark"][300].text
     assert seen["benchmark"][300].n_chars == len(seen["benchmark"][300].text)
     assert set(range(60)) <= set(seen["benchmark"])
