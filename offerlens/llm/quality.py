@@ -20,6 +20,7 @@ DIMENSIONS = 5
 #: Least standard deviation of each transformed statistic; below, differences don't matter.
 FLOORS = (0.3, 0.1, 0.3, 0.1, 0.1)
 BINS = 16  # distance bins for each doubling
+SALTS = 16  # parts of a group in a join, as one source may hold a third of all rows
 SIDES = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
 
 
@@ -86,9 +87,13 @@ def grouped(rows: DataFrame, min_rows: int) -> DataFrame:
     return rows.join(names, ["gl", "gs"], "left").withColumn("grp", F.coalesce("grp", F.lit("*")))
 
 
-def distance(rows: DataFrame, shape: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance ``d2`` under the mean and the triangular root of each group's covariance."""
-    df = rows.join(shape, "grp")
+def distance(rows: DataFrame, shape: DataFrame, how: str = "inner") -> DataFrame:
+    """Squared Mahalanobis distance ``d2`` under the mean and the triangular root of each group's covariance.
+
+    ``rows`` have a ``salt``; the groups' rows, few beside theirs, go to every salt.
+    """
+    salted = shape.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    df = rows.join(salted, ["grp", "salt"], how)
     for i in range(DIMENSIONS):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
@@ -174,11 +179,10 @@ def judge(
     stats = statistics(docs.select(*columns), "text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     facts = stored(stats.select("*", failed.alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(vector())]), "quality-facts")
-    rows = grouped(facts, min_rows)
-    shape = fit(stored(rows.where("not base_failed").select("grp", *[f"x{i}" for i in range(DIMENSIONS)]), "quality-rows"), support, steps)
-    good = distance(rows, shape.where(F.col("rows") >= min_rows)).select("*", (F.col("d2") * F.col("scale")).alias("scaled"))
-    bare = rows.join(shape.where(F.col("rows") >= min_rows).select("grp"), "grp", "left_anti").withColumn("scaled", F.lit(None).cast("double"))
+    axes = [f"x{i}" for i in range(DIMENSIONS)]
+    rows = grouped(facts, min_rows).withColumn("salt", F.pmod(F.xxhash64("id", *axes), F.lit(SALTS)).cast("int"))
+    shape = fit(stored(rows.where("not base_failed").select("grp", "salt", *axes), "quality-rows"), support, steps)
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "scaled"]
-    found = good.select(*names).union(bare.select(*names))
+    found = distance(rows, shape.where(F.col("rows") >= min_rows), "left").withColumn("scaled", F.col("d2") * F.col("scale")).select(*names)
     kept = ~F.col("base_failed") & F.coalesce(F.col("scaled") <= chi_square(cut), F.lit(True))
     return found.select(F.col("id").alias(id_col), *names[1:-1], kept.alias("kept"), F.col("scaled").alias("d2"))
