@@ -30,6 +30,7 @@ SEGMENTS = 32
 # All blanks become spaces, A-Z small.
 FOLD = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 14
+SALTS = 16
 SMALL = 8  # rows of a cell whose pairs are compared by shifts of the whole batch
 #: Bits of a segment's count on which two random segments agree: -log2(1/16 + 1/4 + 1/16).
 SEGMENT_BITS = 1.415
@@ -271,12 +272,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     copies = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "copies")
     links = candidate_links(copies.select("fp"), blocks_for(copies.count()), cell_rows)
     tree = components(links)
-    linked = copies.join(tree.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    group = linked.join(
-        linked.where(F.col("root") != F.col("fp")).select("root").distinct().withColumn("joined", F.lit(True)), "root", "left"
-    )
-    smallest = group.where("joined").groupBy("root").agg(F.min("first").alias("least"))
-    ids = group.join(smallest, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    linked = tree.select(F.col("node").alias("fp"), "root")
+    smallest = linked.join(copies, "fp").groupBy("root").agg(F.min("first").alias("least"))
+    # The fingerprints of one component may be many: they are parted by a salt, and its id goes to every part.
+    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_print = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"])
+    ids = copies.join(by_print.select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return prints.join(ids, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
