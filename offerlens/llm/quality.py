@@ -20,7 +20,7 @@ DIMENSIONS = 5
 #: Least standard deviation of each transformed statistic; below, differences don't matter.
 FLOORS = (0.3, 0.1, 0.3, 0.1, 0.1)
 BINS = 16  # distance bins for each doubling
-SALTS = 16  # parts of a group in a join, as one source may hold a third of all rows
+SALT_ROWS = 500  # rows of a part of a group in a join, as one group may hold all rows
 SIDES = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
 
 
@@ -78,21 +78,39 @@ def key(c: Column) -> Column:
 
 
 def grouped(rows: DataFrame, min_rows: int) -> DataFrame:
-    """Add ``grp``: language and source, or the language's small sources together, or all small rest together."""
-    sizes = rows.where("not base_failed").groupBy("gl", "gs").agg(F.count("*").alias("n"))
-    small = F.col("n") < min_rows
-    pooled = F.sum(F.when(small, F.col("n"))).over(W.partitionBy("gl"))
-    name = F.when(~small, F.concat("gl", F.lit("\n"), "gs")).when(pooled >= min_rows, F.concat("gl", F.lit("\n*")))
-    names = sizes.select("gl", "gs", F.coalesce(name, F.lit("*")).alias("grp"))
-    return rows.join(names, ["gl", "gs"], "left").withColumn("grp", F.coalesce("grp", F.lit("*")))
+    """Add ``levels``: the groups ``(grp, salts)`` whose estimates a row counts for, its own first.
+
+    The levels are language and source, language, and all rows. A row's own group is its first one with ``min_rows`` rows
+    that pass the base rules. A level above the sources holds all rows below it, those of large groups too; it is left out
+    where no row needs it.
+    """
+    passed = F.count_if(~F.col("base_failed"))
+    sizes = stored(rows.groupBy("gl", "gs").agg(passed.alias("n"), F.count("*").alias("rows")), "quality-sizes")
+    langs = sizes.groupBy("gl").agg(F.sum("n").alias("ln"), F.sum("rows").alias("lrows"), (F.min("n") < min_rows).alias("lused"))
+    whole = langs.agg(F.sum("ln").alias("cn"), F.sum("lrows").alias("crows"), (F.min("ln") < min_rows).alias("cused"))
+    level = lambda ok, name, n: F.when(ok, F.struct(name.alias("grp"), F.ceil(n / SALT_ROWS).cast("int").alias("salts")))
+    lang = F.concat(F.length("gl").cast("string"), F.lit("\n"), "gl")
+    levels = F.array_compact(F.array(
+        level(F.col("n") >= min_rows, F.concat(lang, "gs"), F.col("rows")),
+        level(F.col("lused") & (F.col("ln") >= min_rows), lang, F.col("lrows")),
+        level(F.col("cused") & (F.col("cn") >= min_rows), F.lit("*"), F.col("crows")),
+    ))
+    names = stored(sizes.join(langs, "gl").crossJoin(whole).select("gl", "gs", levels.alias("levels")), "quality-groups")
+    return rows.join(names, ["gl", "gs"])
+
+
+def in_level(level: Column, *by: str) -> list[Column]:
+    """``grp``, ``salts`` and a row's ``salt`` in that group."""
+    salts = F.coalesce(level["salts"], F.lit(64))  # rows without a group don't fill one partition
+    return [level["grp"].alias("grp"), salts.alias("salts"), F.pmod(F.xxhash64(*by), salts).cast("int").alias("salt")]
 
 
 def distance(rows: DataFrame, shape: DataFrame, how: str = "inner") -> DataFrame:
     """Squared Mahalanobis distance ``d2`` under the mean and the triangular root of each group's covariance.
 
-    ``rows`` have a ``salt``; the groups' rows, few beside theirs, go to every salt.
+    ``rows`` have a ``salt`` below their group's ``salts``; the groups' rows, few beside theirs, go to every salt.
     """
-    salted = shape.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = shape.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     df = rows.join(salted, ["grp", "salt"], how)
     for i in range(DIMENSIONS):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
@@ -104,13 +122,13 @@ def distance(rows: DataFrame, shape: DataFrame, how: str = "inner") -> DataFrame
 
 
 def roots(moments: DataFrame) -> DataFrame:
-    """``(grp, m*, c*_*)`` -> ``(grp, m*, l*_*)``: Cholesky factors as columns; ``FLOORS`` keep them regular."""
+    """``(grp, salts, m*, c*_*)`` -> ``(grp, salts, m*, l*_*)``: Cholesky factors as columns; ``FLOORS`` keep them regular."""
     df = moments.withColumns({f"c{i}_{i}": F.greatest(F.col(f"c{i}_{i}"), F.lit(0.0)) + FLOORS[i] ** 2 for i in range(DIMENSIONS)})
     for j in range(DIMENSIONS):
         left = lambda i: sum((-F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.col(f"c{j}_{i}"))  # noqa: E731, B023
         df = df.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(left(j), F.lit(1e-6))))
         df = df.withColumns({f"l{i}_{j}": left(i) / F.col(f"l{j}_{j}") for i in range(j + 1, DIMENSIONS)})
-    return df.select("grp", *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{j}_{i}" for i, j in SIDES])
+    return df.select("grp", "salts", *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{j}_{i}" for i, j in SIDES])
 
 
 def chi_square(p: float, d: int = DIMENSIONS) -> float:
@@ -120,12 +138,12 @@ def chi_square(p: float, d: int = DIMENSIONS) -> float:
 
 
 def fit(rows: DataFrame, support: float, steps: int) -> DataFrame:
-    """``(grp, x*)`` -> ``(grp, m*, l*_*, scale)``, one row for each group; ``scale`` brings the median to chi-square's."""
+    """``(grp, salts, salt, x*)`` -> ``(grp, salts, m*, l*_*, scale)``, one row for each group; ``scale`` brings the median to chi-square's."""
     quartiles = rows.groupBy("grp").agg(
-        *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMENSIONS)]
+        F.max("salts").alias("salts"), *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMENSIONS)]
     )
     start = quartiles.select(
-        "grp", *[F.get(f"q{i}", F.lit(1)).alias(f"m{i}") for i in range(DIMENSIONS)],
+        "grp", "salts", *[F.get(f"q{i}", F.lit(1)).alias(f"m{i}") for i in range(DIMENSIONS)],
         *[
             (((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}")
             for i, j in SIDES
@@ -135,25 +153,25 @@ def fit(rows: DataFrame, support: float, steps: int) -> DataFrame:
     in_order = W.partitionBy("grp").orderBy("bin")
     for _ in range(steps):
         sums = distance(rows, shape).groupBy("grp", "bin").agg(
-            F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMENSIONS)],
+            F.max("salts").alias("salts"), F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMENSIONS)],
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in SIDES],
         )
         before = F.coalesce(F.sum("n").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         near = sums.withColumn("before", before).withColumn("all", F.sum("n").over(W.partitionBy("grp"))).where(F.col("before") < support * F.col("all"))
         added = near.groupBy("grp").agg(
-            F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in SIDES]
+            F.max("salts").alias("salts"), F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in SIDES]
         )
         mean = lambda i: F.col(f"s{i}") / F.col("n")
         moments = added.select(
-            "grp", *[mean(i).alias(f"m{i}") for i in range(DIMENSIONS)],
+            "grp", "salts", *[mean(i).alias(f"m{i}") for i in range(DIMENSIONS)],
             *[(F.col(f"s{i}_{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}_{j}") for i, j in SIDES],
         )
         shape = stored(roots(moments), "quality-shape")
     counts = distance(rows, shape).groupBy("grp", "bin").agg(F.count("*").alias("n"))
     middle = counts.withColumn("upto", F.sum("n").over(in_order)).withColumn("all", F.sum("n").over(W.partitionBy("grp")))
-    medians = middle.where(F.col("upto") * 2 >= F.col("all")).groupBy("grp").agg(F.min("bin").alias("bin"), F.first("all").alias("rows"))
+    medians = middle.where(F.col("upto") * 2 >= F.col("all")).groupBy("grp").agg(F.min("bin").alias("bin"))
     scale = F.lit(chi_square(0.5)) / F.pow(F.lit(2.0), (F.col("bin") + 1) / BINS)
-    return stored(shape.join(medians.select("grp", F.least(scale, F.lit(1.0)).alias("scale"), "rows"), "grp"), "quality-fit")
+    return stored(shape.join(medians.select("grp", F.least(scale, F.lit(1.0)).alias("scale")), "grp"), "quality-fit")
 
 
 def judge(
@@ -171,8 +189,9 @@ def judge(
 ) -> DataFrame:
     """One row for each row of ``docs``: id, the statistics, ``base_failed``, ``kept`` and ``d2`` (scaled distance).
 
-    Rows that fail the base rules are out and don't count for the estimates. Groups of less than ``min_rows`` such rows
-    are pooled by language, then overall; where even that is too small, nothing more is rejected and ``d2`` is null.
+    Rows that fail the base rules are out and don't count for the estimates. Where a source has less than ``min_rows`` rows
+    that pass them, its rows are measured against their whole language, large sources included; where the language has less,
+    against all rows. Only where the whole table has less, nothing more is rejected and ``d2`` is null.
     A null language or source is a value of its own. Null texts have no words. Other columns are ignored.
     """
     columns = [F.col(id_col).alias("id"), key(F.col(lang_col)).alias("gl"), key(F.col(source_col)).alias("gs"), F.col(text_col).alias("text")]
@@ -180,9 +199,11 @@ def judge(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     facts = stored(stats.select("*", failed.alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(vector())]), "quality-facts")
     axes = [f"x{i}" for i in range(DIMENSIONS)]
-    rows = grouped(facts, min_rows).withColumn("salt", F.pmod(F.xxhash64("id", *axes), F.lit(SALTS)).cast("int"))
-    shape = fit(stored(rows.where("not base_failed").select("grp", "salt", *axes), "quality-rows"), support, steps)
+    rows = grouped(facts, min_rows)
+    fitted = rows.where("not base_failed").select("id", *axes, F.explode("levels").alias("level"))
+    shape = fit(stored(fitted.select(*axes, *in_level(F.col("level"), "id", *axes)), "quality-rows"), support, steps)
+    own = rows.select("*", *in_level(F.get("levels", F.lit(0)), "id", *axes)).drop("salts", "levels")
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "scaled"]
-    found = distance(rows, shape.where(F.col("rows") >= min_rows), "left").withColumn("scaled", F.col("d2") * F.col("scale")).select(*names)
+    found = distance(own, shape, "left").withColumn("scaled", F.col("d2") * F.col("scale")).select(*names)
     kept = ~F.col("base_failed") & F.coalesce(F.col("scaled") <= chi_square(cut), F.lit(True))
     return found.select(F.col("id").alias(id_col), *names[1:-1], kept.alias("kept"), F.col("scaled").alias("d2"))

@@ -76,3 +76,21 @@ def test_small_tables_reject_by_base_rules_only(spark):
 def test_quantiles():
     for p, want in ((0.5, 4.351), (0.95, 11.07), (0.999, 20.52)):
         assert abs(Q.chi_square(p) - want) < 0.02 * want
+
+
+def test_small_groups_are_judged_by_their_language_then_by_all_rows(spark):
+    rows, word = made()
+    symbols = lambda: " ".join("#$%&" + word(7) for _ in range(200))
+    junk = [(4000 + i, symbols(), "en", "new") for i in range(40)] + [(4100, symbols(), "rare", "big"), (4101, symbols(), None, None)]
+    alone = [(4200, " ".join(word(7) for _ in range(200)), "rare", "big")]
+    found = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows + junk + alone, DOCS), min_rows=60).collect()}
+    assert len(found) == len(rows + junk + alone) and all(r.d2 is not None for r in found.values())
+    assert not any(found[i].kept or found[i].base_failed for i, *_ in junk)
+    assert found[4200].kept and sum(found[i].kept for i, *_ in rows) >= 0.99 * len(rows)
+
+
+def test_levels_hold_the_large_groups_too(spark):
+    rows = [("en", "a", i >= 5) for i in range(9)] + [("en", "b", i == 0) for i in range(2)] + [("de", "a", False)] + [("fr", "a", False)] * 4
+    table = spark.createDataFrame(rows, "gl string, gs string, base_failed boolean")
+    found = {(r.gl, r.gs): [v.grp for v in r.levels] for r in Q.grouped(table, 4).collect()}
+    assert found == {("en", "a"): ["2\nena", "2\nen", "*"], ("en", "b"): ["2\nen", "*"], ("de", "a"): ["*"], ("fr", "a"): ["2\nfra", "*"]}
