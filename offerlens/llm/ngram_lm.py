@@ -7,6 +7,9 @@ Count tables are partitioned by hash; exploded n-grams are joined to them and su
 2. A partition sums the counts of an n-gram over all blocks and answers each block that asked for it.
 3. A block joins the answers to its documents' n-grams and sums the scores of each document.
 
+A block is named by its partition of the input and its number there. The input is a plain scan of files or a table stored
+first, so a task that runs again, after an executor is lost, makes the same blocks under the same names.
+
 Rows of a frequent n-gram are as many as blocks; no step needs all documents that hold it. N-grams and answers travel
 as packed arrays in order of their hashes, each row of a bounded size.
 """
@@ -14,16 +17,17 @@ as packed arrays in order of their hashes, each row of a bounded size.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from offerlens.llm.common import id_type, map_rows, texts
+from offerlens.storage import stored
 
 FOLD = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The n-gram of no words; it is counted once for each word, so its count is the size of the corpus.
@@ -132,6 +136,14 @@ def block_scores(words: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, cou
     return np.bincount(doc, weights=score, minlength=len(lengths)) if len(words) else np.zeros(len(lengths))
 
 
+def repeats(docs: DataFrame) -> bool:
+    """Whether each partition has the same rows in the same order when it is read again: a plain scan of files."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
 def lm_scores(
     docs: DataFrame, order: int = 2, alpha: float = 0.4, block_words: int = 2_000_000, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
@@ -151,10 +163,11 @@ def lm_scores(
         lengths: list[int] = []
         codes: list[np.ndarray] = []
         vocab: dict[bytes, int] = {}
-        held = 0
+        held = made = 0
+        task = TaskContext.get().partitionId()
 
         def flush() -> Iterator[list]:
-            block = uuid.uuid4().hex
+            block = f"{task}-{made}"
             digest = np.fromiter(map(xxhash.xxh64_intdigest, vocab), np.uint64, len(vocab))
             at = np.concatenate(codes)
             doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -178,7 +191,7 @@ def lm_scores(
                 held += len(own)
                 if held >= block_words or len(ids) >= 100_000:
                     yield from flush()
-                    ids, lengths, codes, vocab, held = [], [], [], {}, 0
+                    ids, lengths, codes, vocab, held, made = [], [], [], {}, 0, made + 1
         if ids:
             yield from flush()
 
@@ -214,7 +227,7 @@ def lm_scores(
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[list]:
         """Rows arrive by block: its documents first, then the answers in order of their hashes."""
-        text, counts = None, []
+        now, text, counts = None, None, []
 
         def flush() -> list:
             body, extra, ids, lengths = text
@@ -222,21 +235,29 @@ def lm_scores(
             doc = np.repeat(np.arange(len(size)), size)
             hashes = np.unique(np.concatenate([h for _, h in ngram_hashes(words, doc, order)]))
             total = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            if len(total) != len(hashes):
+                raise ValueError(f"block {now}: {len(total)} answers for {len(hashes)} n-grams")
             return [ids, lengths, block_scores(words, size, hashes, total, order, alpha).tolist()]
 
         for batch in it:
             for i in range(batch.num_rows):
-                if batch.column(1)[i].as_py() == TEXT_ROW:
+                block, is_text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() == TEXT_ROW
+                if (block == now) == is_text:
+                    raise ValueError(f"block {block}: its documents are " + ("there twice" if is_text else "missing"))
+                if is_text:
                     if text:
                         yield flush()
                     ids = batch.column(4).slice(i, 1).flatten()
                     text, counts = (batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), ids, batch.column(5)[i].as_py()), []
+                    now = block
                 else:
                     counts.append(unpack_counts(batch.column(2)[i].as_py()))
         if text:
             yield flush()
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not repeats(base):
+        base = stored(base, "lm-documents")
     # A block's documents go anywhere; spread by the block, they don't fill one partition.
     where = F.when(F.col("part") == TEXT_ROW, F.xxhash64("block")).otherwise(F.col("part").cast("bigint"))
     asked = map_rows(base, blocks, layout).repartition(parts, where).sortWithinPartitions("part")

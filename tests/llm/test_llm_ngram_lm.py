@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.llm import ngram_lm as N
+from offerlens.llm.common import map_rows
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,3 +64,29 @@ def test_packing():
         assert (N.unpack_counts(N.pack_counts(c)) == c).all()
     bounds = N.part_bounds(7)
     assert bounds[0] == 0 and (np.diff(bounds) > 0).all()
+
+
+def test_a_task_that_runs_again_names_its_blocks_alike(spark, monkeypatch):
+    frames = []
+    monkeypatch.setattr(N, "map_rows", lambda *given: frames.append(map_rows(*given)) or frames[-1])
+    docs = [(i, f"a b w{i % 7} c " * (i % 5)) for i in range(60)]
+    N.lm_scores(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), block_words=20)
+    blocks = lambda: sorted((r.block, r.part, bytes(r.body), r.ids) for r in frames[0].collect())
+    first = blocks()
+    assert first == blocks() and len({b for b, part, *_ in first if part == N.TEXT_ROW}) > 3
+
+
+def test_only_plain_scans_repeat(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert N.repeats(docs.select("text", "id").where("id > 1"))
+    assert not any(N.repeats(t) for t in (docs.repartition(2), docs.distinct(), docs.limit(1), docs.where("rand() < 0.5"), docs.select(F.rand())))
+
+
+@pytest.mark.parametrize("lost", ["part = 0", f"part = {N.TEXT_ROW}"])
+def test_missing_rows_are_errors(spark, monkeypatch, lost):
+    drop = lambda df, run, ddl: map_rows(df.where(f"not ({lost})") if run.__name__ == "scored" else df, run, ddl)
+    monkeypatch.setattr(N, "map_rows", drop)
+    docs = [(i, f"a b w{i} c d e f g") for i in range(20)]
+    with pytest.raises(Exception, match="block"):
+        N.lm_scores(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
