@@ -9,7 +9,8 @@ holds is bounded whatever the size of the benchmark.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from offerlens.llm.common import Sent, add_columns, texts
 from offerlens.storage import stored
 
+SPANS = "__spans"
 WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 # Letters of ASCII become small, other ASCII characters but digits become blanks, the rest stays.
 FOLD = bytes(
@@ -140,11 +142,14 @@ class Automaton:
         return spans, found
 
 
-def automata(benchmark: DataFrame, window: int, item_col: str, text_col: str, max_shard_bytes: int) -> Iterable[Automaton]:
+def shard_count(benchmark: DataFrame, text_col: str, max_shard_bytes: int) -> int:
+    return -(-(benchmark.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0) // max_shard_bytes)
+
+
+def automata(benchmark: DataFrame, window: int, item_col: str, text_col: str, max_shard_bytes: int, shards: int | None = None) -> Iterable[Automaton]:
     """One automaton for each shard of the items, built one after the other."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-size // max_shard_bytes)
+    shards = shard_count(items, "text", max_shard_bytes) if shards is None else shards
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).collect() if shards > 1 else items.collect()
         yield Automaton([(r.item, r.text.encode() if r.text is not None else None) for r in part], window)
@@ -223,6 +228,42 @@ def clean(text: bytes, machine: Automaton) -> bytes:
     return text
 
 
+def clean_in_rounds(docs: DataFrame, machines: Callable[[], Iterable[Automaton]], text_col: str) -> DataFrame:
+    """``clean`` with one shard's automaton in a task at a time; ``n_cut`` counts the words cut.
+
+    A round unites the spans of all shards on the uncut text, as one automaton of all items would find them, and cuts once.
+    Documents that were hit are looked at again, by all shards, until a round hits nothing.
+    """
+    done, rest = None, docs
+    while True:
+        for k, automaton in enumerate(machines()):
+            sent = Sent(docs.sparkSession, automaton)
+
+            def scan(batch: pa.RecordBatch, sent=sent, first=k == 0) -> list:
+                before = [None] * batch.num_rows if first else batch.column(batch.schema.get_field_index(SPANS)).to_pylist()
+                return [[
+                    [{"start": a, "end": b} for a, b in merged(sent.value.scan(item_words(text))[0] + [(s["start"], s["end"]) for s in old or []])]
+                    for text, old in zip(texts(batch, text_col), before)
+                ]]
+
+            rest = stored(add_columns(rest, scan, f"{SPANS} array<struct<start:bigint,end:bigint>>"), "hits")
+        clear = rest.where(F.size(SPANS) == 0).drop(SPANS)
+        done = clear if done is None else done.unionByName(clear)
+        hit = rest.where(F.size(SPANS) > 0)
+        if hit.isEmpty():
+            return done
+
+        def strip(batch: pa.RecordBatch) -> list:
+            kept, gone = [], []
+            at = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (SPANS, "n_cut")]
+            for text, spans, before in zip(texts(batch, text_col), *at):
+                kept.append(cut(text, [(s["start"], s["end"]) for s in spans]).decode())
+                gone.append(before + sum(s["end"] - s["start"] for s in spans))
+            return [kept, gone]
+
+        rest = add_columns(hit, strip, f"{text_col} string, n_cut bigint").drop(SPANS)
+
+
 def remove_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -235,20 +276,22 @@ def remove_contamination(
     """Cut the hit stretches out of the texts; drop documents of which more than ``max_coverage`` of the words goes.
 
     Returns the columns of ``docs`` and ``n_cut`` (long), the number of words cut; an input column of this name is
-    replaced. Texts without a hit stay as they are, null and empty ones too.
+    replaced. Texts without a hit stay as they are, null and empty ones too. The size of shards changes no result.
     """
     out = docs.withColumn("n_cut", F.lit(0).cast("bigint"))
-    for k, automaton in enumerate(automata(benchmark, window, item_col, "text", max_shard_bytes)):
-        sent = Sent(docs.sparkSession, automaton)
-        if k:
-            out = stored(out, "cleaned")
-
-        def strip(batch: pa.RecordBatch, sent=sent) -> list:
+    shards = shard_count(benchmark, "text", max_shard_bytes)
+    machines = partial(automata, benchmark, window, item_col, "text", max_shard_bytes, shards)
+    if shards > 1:
+        out = clean_in_rounds(out, machines, text_col)
+    elif shards:
+        sent = Sent(docs.sparkSession, *machines())
+
+        def strip(batch: pa.RecordBatch) -> list:
             kept, gone = [], []
-            for text, before in zip(texts(batch, text_col), batch.column(batch.schema.get_field_index("n_cut")).to_pylist()):
+            for text in texts(batch, text_col):
                 left = text if text is None else clean(text, sent.value)
                 kept.append(left if left is None else left.decode())
-                gone.append(before if left is text else before + len(item_words(text)) - len(item_words(left)))
+                gone.append(0 if left is text else len(item_words(text)) - len(item_words(left)))
             return [kept, gone]
 
         out = add_columns(out, strip, f"{text_col} string, n_cut bigint")

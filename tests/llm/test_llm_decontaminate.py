@@ -90,3 +90,21 @@ def test_empty_tables(spark):
     assert find_contamination(docs, spark.createDataFrame([(1, "a b")], "item_id int, text string")).count() == 0
     assert [(r.n_words, r.n_hit, r.items) for r in find_contamination(some, bench).collect()] == [(2, 0, [])]
     assert remove_contamination(some, bench).columns == [*some.columns, "n_cut"]
+
+
+def test_shards_change_nothing_in_cut_texts(spark):
+    p = lambda a, b: " ".join(f"p{i}" for i in range(a, b + 1))
+    items = [(str(k), p(a, b)) for k, (a, b) in enumerate([(1, 15), (11, 22), (30, 41), (34, 45), (38, 50)])]
+    _, more = corpus(11)
+    items += [(f"m{k}", t) for k, (_, t) in enumerate(more)]
+    docs = ["u " * 40 + p(1, 22) + " v" * 40, "u " * 9 + p(30, 50) + " v" * 9, p(1, 22) + " w" * 15]
+    # The cut of the inner passage brings together a window of another item.
+    docs += ["u " * 40 + p(1, 6) + " " + p(34, 45) + " " + p(7, 15) + " v" * 40, "u " * 40 + p(34, 40) + " " + p(11, 22) + " " + p(41, 45) + " v" * 40]
+    docs += corpus(11)[0] + [None, "", "no hit", p(1, 22)]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole, parts = (
+        {r.doc_id: (r.text, r.n_cut) for r in remove_contamination(table, bench, max_coverage=0.6, max_shard_bytes=shard).collect()} for shard in (1 << 20, 30)
+    )
+    assert parts == whole and parts[0] == ("u " * 40 + "\n" + " v" * 40, 22) and 2 in parts
+    assert all(not brute(t, items, 10)[1] for t, _ in parts.values())
