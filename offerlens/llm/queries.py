@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from offerlens.llm import decontaminate, language, line_dedup, mixing, ngram_lm, quality, simhash, toxicity, url_filter, warc
-from offerlens.llm.common import fold
+from offerlens.llm import decontaminate, language, line_dedup, merkle, mixing, ngram_lm, pii, quality, repair, simhash, toxicity, url_filter, warc
+from offerlens.llm.common import ascii_lower, fold
 from offerlens.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,9 +102,78 @@ def op10_mixing(spark, sf):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _listed(spans) -> Column:
+    """Spans as ``kind:start:end``, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op11_pii(spark, sf):
+    found = pii.find_pii(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
+
+
+@query
+def op12_merkle(spark, sf):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(table(spark, sf, "documents"), tampered=F.when(tampered, merkle.leaf(text=ascii_lower(F.col("text")))))
+    return merkle.verify(found, F.coalesce("tampered", "leaf"))
+
+
+@query
+def op13_repair(spark, sf):
+    return repair.audit(repair.damage(table(spark, sf, "conversations")), "gone")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _crc32(ascii_text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    byte = f"list_transform(range(1, length({ascii_text}) + 1), lambda p: cast(ascii({ascii_text}[p]) as bigint))"
+    bits = "list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {byte}), lambda c, b: {bits}), 4294967295)"
+
+
+def _tree(first: str, name: str, levels: int) -> tuple[str, str, str]:
+    """CTEs of the trees over ``first(tree, pos, n, hash, leaf, path)``, the leaves at their roots, and the roots.
+
+    Each level keeps, per leaf, the node that the leaf has reached and what stood beside it on the way.
+    """
+    ctes, last = [], first
+    for k in range(levels):
+        runs, up = f"{name}_runs{k}", f"{name}_up{k}"
+        ctes.append(f"""{runs} as (
+    select tree, pos // 16 run, string_agg(hash, '' order by pos) slots from (select distinct tree, pos, hash from {last} where n > 1) group by 1, 2),
+{up} as (
+    select tree, run pos, (n + 15) // 16 n, sha256(slots) hash, leaf, list_append(path, {{
+        'before': substr(slots, 1, 64 * (l.pos % 16)), 'after': substr(slots, 64 * (l.pos % 16 + 1) + 1)}}) path
+    from {last} l join {runs} r using (tree) where n > 1 and run = l.pos // 16
+    union all select * from {last} where n = 1)""")
+        last = up
+    return ",\n".join(ctes), last, f"(select distinct tree, hash from {last})"
+
+
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")
+) + ")"
+_EMPTY_PATH = "cast([] as struct(before varchar, after varchar)[])"
+_DOC_LEVELS, _DOC_PATHS, _DOC_ROOTS = _tree("doc", "doc", 8)
+_TOP_LEVELS, _TOP_PATHS, _TOP_ROOTS = _tree("top", "top", 8)
+
+# States of a repaired conversation: n(othing), s(ystem), u(ser), a(ssistant).
+_INSERTS = """('n', 'n', 0, '', null), ('n', 'u', 5, 'I', 'user:'), ('n', 'a', 10, 'II', 'user:' || chr(10) || 'assistant:'),
+    ('s', 's', 0, '', null), ('s', 'u', 5, 'I', 'user:'), ('s', 'a', 10, 'II', 'user:' || chr(10) || 'assistant:'),
+    ('u', 'u', 0, '', null), ('u', 'a', 5, 'I', 'assistant:'), ('a', 'a', 0, '', null), ('a', 'u', 5, 'I', 'user:')"""
+_OWN = """('n', 's', 's', 'K', 0, null), ('n', 'u', 'u', 'K', 0, null), ('s', 'u', 'u', 'K', 0, null), ('a', 'u', 'u', 'K', 0, null),
+    ('u', 'a', 'a', 'K', 0, null), ('n', null, 'u', 'R', 1, 'user'), ('s', null, 'u', 'R', 1, 'user'), ('a', null, 'u', 'R', 1, 'user'),
+    ('u', null, 'a', 'R', 1, 'assistant'), ('n', null, 'n', 'D', 2, null), ('s', null, 's', 'D', 2, null),
+    ('u', null, 'u', 'D', 2, null), ('a', null, 'a', 'D', 2, null)"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": rf"""
 with word as (
@@ -197,4 +266,68 @@ select doc_id, size, source_size, target,
     cast(size * (whole + case when rest > 0 and (upto < at_end
         or upto = at_end and at_end - rest < rest - coalesce(before, 0)) then 1 else 0 end) as bigint) taken
 from running r join last l on r.source is not distinct from l.source""",
+    "op12_merkle": f"""
+with leaf as (
+    select doc_id, source, {_LEAF.format(text='text')} hash, case when {_crc32('cast(doc_id as varchar)')} % 5 = 0
+        then {_LEAF.format(text=_LOWER.format('text'))} end tampered, row_number() over (order by doc_id, text) as id
+    from documents),
+doc as (
+    select coalesce('=' || source, '') tree, row_number() over (partition by source order by doc_id nulls first, hash, id) - 1 as pos,
+        count(*) over (partition by source) n, hash, {{'id': id, 'doc_id': doc_id, 'hash': hash, 'tampered': tampered}} leaf, {_EMPTY_PATH} path
+    from leaf),
+{_DOC_LEVELS},
+top as (
+    select 1 tree, row_number() over (order by s.tree) - 1 as pos, count(*) over () n, hash, s.tree leaf, {_EMPTY_PATH} path from {_DOC_ROOTS} s),
+{_TOP_LEVELS},
+whole as (
+    select d.leaf.doc_id doc_id, d.leaf.hash leaf, d.hash subroot, t.hash root, list_concat(d.path, t.path) path, coalesce(d.leaf.tampered, d.leaf.hash) claimed
+    from {_DOC_PATHS} d join {_TOP_PATHS} t on t.leaf = d.tree),
+folded as (
+    select *, list_reduce(list_prepend({{'before': '', 'after': claimed}}, path),
+        lambda h, s: {{'before': '', 'after': sha256(s.before || h.after || s.after)}}).after folded_root from whole)
+select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda s: s.before || s.after), ''), '')) proof_sha256,
+    folded_root, folded_root = root verified
+from folded""",
+    "op13_repair": f"""
+with recursive raw as (
+    select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t,
+        {_crc32("(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))")} % 20 fault
+    from conversations),
+damaged as (
+    select conv_id, turn, case when fault = 4 then 'user' else r end r,
+        case when fault = 1 then '' when fault = 2 then replace(replace(replace(t, '.', ''), '!', ''), '?', '') else t end t,
+        unnest(case when fault = 3 then [1, 2] else [1] end) again
+    from raw where fault <> 0),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, r, t, again) i, trim(t, {_BLANKS}) bare from damaged),
+marked as (
+    select *, lag(r[1]) over (partition by conv_id order by i) || r[1] pair,
+        case when bare = '' then 'b' when row_number() over (partition by conv_id, r, t order by i) > 1 then 'd'
+            when right(bare, 1) not in ('.', '!', '?') then 't' else '' end fault
+    from placed),
+facts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) n, count(*) filter (fault = 'b') blank,
+        count(*) filter (fault = 'd') duplicate, count(*) filter (fault = 't') truncated, count(*) filter (pair not in ('su', 'ua', 'au')) illegal
+    from marked group by 1),
+ins as (from (values {_INSERTS}) v(before, mid, cost, letters, added)),
+own as (from (values {_OWN}) v(mid, initial, after, letter, cost, role)),
+path as (
+    select distinct conv_id, 0::bigint i, 'n' state, {{'cost': 0::bigint, 'audit': '', 'repaired': null::varchar}} best from raw
+    union all
+    select m.conv_id, m.i, own.after, min({{
+        'cost': cast(best.cost + ins.cost + own.cost + case when letter <> 'D' and fault = 't' then 5 else 0 end as bigint),
+        'audit': best.audit || letters || letter,
+        'repaired': nullif(concat_ws(chr(10), best.repaired, added, case when letter <> 'D' then coalesce(role, r) || ':' || t end), '')}})
+    from path p join marked m on m.conv_id is not distinct from p.conv_id and m.i = p.i + 1
+        join ins on before = state join own on own.mid = ins.mid
+    where (letter = 'D' or fault not in ('b', 'd')) and (initial is null or initial = r[1])
+    group by 1, 2, 3),
+ended as (
+    select p.conv_id, min({{'cost': best.cost + tail.cost, 'audit': best.audit || letters, 'repaired': concat_ws(chr(10), best.repaired, added)}}) best
+    from path p left join facts f on f.conv_id is not distinct from p.conv_id
+        join (from ins where mid = 'a' or before = 'n' and mid = 'n') tail on before = state
+    where i = coalesce(n, 0) and (state <> 'n' or mid = 'n') group by 1)
+select e.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+    coalesce(illegal, 0) illegal, cast(best.cost as bigint) cost, best.audit as audit, sha256(best.repaired) repaired_sha256
+from ended e left join facts f on f.conv_id is not distinct from e.conv_id""",
 }
