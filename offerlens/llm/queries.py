@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from offerlens.llm import decontaminate, language, line_dedup, merkle, mixing, ngram_lm, pii, quality, repair, simhash, toxicity, url_filter, warc
-from offerlens.llm.common import ascii_lower, fold
+from offerlens.llm.common import ascii_lower, fold, id_type
 from offerlens.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,9 +84,9 @@ def op7_simhash(spark, sf):
 
 @query
 def op8_warc(spark, sf):
-    path = new_path(spark, "warc")
-    warc.write_archive(table(spark, sf, "pages"), path)
-    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    path, pages = new_path(spark, "warc"), table(spark, sf, "pages")
+    warc.write_archive(pages, path)
+    return warc.read_archive(spark, path, id_type(pages, "page_id")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query

@@ -14,6 +14,7 @@ LONG = "<p>é</p>" * 30
 def pages():
     rows = [(5, "http://a/5", LONG), (3, "http://a/3", LONG), (9, None, LONG), (3, "http://a/again", LONG), (None, "http://a/none", LONG)]
     rows += [(10, "http://b", "short"), (11, "http://b", "short"), (12, "x\r\nEvil: 1", None), (13, "", ""), (14, "u", "a\r\n\r\nb" * 50), (15, "u", "z" * 300_000)]
+    rows += [(30, "http://a/\u0085X-Page-ID: 77", "p" * 120), (31, "b\u2028X-Page-ID: x\u2029WARC-Type: revisit", "r" * 120), (32, "c\x0bX-Page-ID: 1\x0c", "v")]
     rows += [(None, "n1", "q" * 200), (None, "n2", "q" * 200), (20, "e", "é" * 50), (21, "e", "é" * 50), (22, "e", "y" * 99), (23, "e", "y" * 99)]
     return rows
 
@@ -36,6 +37,36 @@ def test_round_trip(spark, tmp_path):
     assert kinds[(11, "http://b")] == kinds[(23, "e")] == kinds[(None, "n2")] == ("response", None)
     assert kinds[(21, "e")] == ("revisit", 20)
     assert kinds[(12, "x%0D%0AEvil: 1")] == ("response", None)
+    assert kinds[(30, "http://a/\u0085X-Page-ID: 77")] == kinds[(31, "b\u2028X-Page-ID: x\u2029WARC-Type: revisit")] == ("response", None)
+    assert kinds[(32, "c\x0bX-Page-ID: 1\x0c")] == ("response", None)
+
+
+def test_text_ids(spark, tmp_path):
+    ids = ["a", "", "x\r\ny", "50%0A", "%25", "é\u2028z", " s ", None]
+    rows = [(i, f"u{n}", LONG if n < 5 else f"{n}") for n, i in enumerate(ids)]
+    warc.write_archive(spark.createDataFrame(rows, PAGES.replace("page_id bigint", "page_id string")), str(tmp_path))
+    found = {r.url: (r.page_id, r.refers_to) for r in warc.read_archive(spark, str(tmp_path), "string").collect()}
+    assert found == {f"u{n}": (i, "" if n < 5 and i else None) for n, i in enumerate(ids)}
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    rows = [(1, "u", LONG), (1, "u", LONG), (1, "v", LONG), (None, "u", LONG), (None, None, "x"), (None, None, "x"), (2, "w", LONG), (None, "-", "x"), (None, "", "x")]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), str(tmp_path))
+    heads = [bytes(r.record).split(b"\r\n\r\n")[0].decode() for r in warc.read_records(spark, str(tmp_path)).collect()]
+    line = lambda head, name: next((x.split(": ", 1)[1] for x in head.split("\r\n") if x.startswith(name + ":")), None)
+    ids = [line(h, "WARC-Record-ID") for h in heads]
+    assert len(set(ids)) == len(rows)
+    for h in heads:
+        if line(h, "WARC-Type") == "revisit":
+            first = heads[ids.index(line(h, "WARC-Refers-To"))]
+            assert line(first, "WARC-Type") == "response" and line(first, "X-Page-ID") == line(h, "X-Refers-To-Page") == "1"
+
+
+def test_many_records_of_small_payloads(spark, tmp_path):
+    rows = [(i, f"u{i}", "" if i % 3 else f"{i % 5}") for i in range(300)]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), str(tmp_path))
+    found = warc.read_archive(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, bytes(r.block).decode()) for r in found) == [(i, h) for i, _, h in rows]
 
 
 def test_record_bytes_and_export(spark, tmp_path):
