@@ -86,3 +86,10 @@ def id_type(df: DataFrame, name: str) -> str:
 def fold(doc_id: Column) -> Column:
     """Fold of a document, 0 to 4, from its id alone; fold 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, on: str, by: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Rows joined with facts, unique in ``on``, that many rows may share: rows part by a hash of ``by``, facts go to each part."""
+    parted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    everywhere = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return parted.join(everywhere, [on, "_salt"], how).drop("_salt")

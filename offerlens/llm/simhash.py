@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from offerlens.llm.common import add_columns, map_rows, texts
+from offerlens.llm.common import add_columns, map_rows, salted_join, texts
 from offerlens.storage import stored
 
 SHINGLE = 4
@@ -30,7 +30,6 @@ SEGMENTS = 32
 # All blanks become spaces, A-Z small.
 FOLD = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 14
-SALTS = 16
 SMALL = 8  # rows of a cell whose pairs are compared by shifts of the whole batch
 #: Bits of a segment's count on which two random segments agree: -log2(1/16 + 1/4 + 1/16).
 SEGMENT_BITS = 1.415
@@ -61,21 +60,21 @@ def places(fp: np.ndarray) -> np.ndarray:
     return np.stack([(pairs >> np.uint64(2 * i)) & np.uint64(3) for i in range(SEGMENTS)], axis=1).astype(np.int8)
 
 
-def blocks_for(n: int, cell: int = 32) -> int:
+def blocks_for(n: int, radius: int = RADIUS, cell: int = 32) -> int:
     """Least number of groups by which a cell of the grid is expected to hold ``cell`` of ``n`` fingerprints or fewer."""
-    for blocks in range(RADIUS + 2, 13):
-        if n / 2 ** (SEGMENT_BITS * SEGMENTS * (blocks - RADIUS) / blocks) <= cell:
+    for blocks in range(radius + 2, radius + 8):
+        if n / 2 ** (SEGMENT_BITS * SEGMENTS * (blocks - radius) / blocks) <= cell:
             return blocks
-    return 12
+    return radius + 8
 
 
-def cell_keys(fp: np.ndarray, blocks: int) -> np.ndarray:
+def cell_keys(fp: np.ndarray, blocks: int, radius: int = RADIUS) -> np.ndarray:
     """The keys of the grid cells of each fingerprint, one column for each choice of groups."""
     grid = places(fp).astype(np.uint64)
     groups = np.array_split(np.arange(SEGMENTS), blocks)
     codes = np.stack([(grid[:, g] << (2 * np.arange(len(g), dtype=np.uint64))).sum(axis=1, dtype=np.uint64) for g in groups], axis=1)
-    out = np.empty((len(fp), comb(blocks, blocks - RADIUS)), np.uint64)
-    for j, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
+    out = np.empty((len(fp), comb(blocks, blocks - radius)), np.uint64)
+    for j, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         key = np.full(len(fp), j + 1, np.uint64)
         for b in chosen:
             key = (key ^ codes[:, b]) * np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +83,7 @@ def cell_keys(fp: np.ndarray, blocks: int) -> np.ndarray:
     return out
 
 
-def forest(fp: np.ndarray, other: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(fp: np.ndarray, other: np.ndarray | None = None, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that join whatever is within the radius: inside ``fp``, or between ``fp`` and ``other``.
 
     The search spreads over what isn't reached yet, so a dense group costs little more than one look at each row.
@@ -102,21 +101,21 @@ def forest(fp: np.ndarray, other: np.ndarray | None = None) -> list[tuple[int, i
             rest = np.flatnonzero(left if side is None else left & (side != side[p]))
             if not len(rest):
                 continue
-            near = rest[np.abs(grid[rest] - grid[p]).sum(axis=1, dtype=np.int64) <= RADIUS]
-            near = near[np.bitwise_count(values[near] ^ values[p]) <= RADIUS]
+            near = rest[np.abs(grid[rest] - grid[p]).sum(axis=1, dtype=np.int64) <= radius]
+            near = near[np.bitwise_count(values[near] ^ values[p]) <= radius]
             left[near] = False
             links.extend((p, int(q)) for q in near)
             queue.extend(near.tolist())
     return [(int(values[p]), int(values[q])) for p, q in links]
 
 
-def near_in_small(fp: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near_in_small(fp: np.ndarray, keys: np.ndarray, wanted: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the same small cell within the radius, by comparing each row with the next ones."""
     grid, left, right = places(fp), [], []
     for d in range(1, SMALL):
         a = np.flatnonzero(wanted[:-d] & (keys[:-d] == keys[d:]))
-        a = a[np.abs(grid[a] - grid[a + d]).sum(axis=1, dtype=np.int64) <= RADIUS]
-        a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= RADIUS]
+        a = a[np.abs(grid[a] - grid[a + d]).sum(axis=1, dtype=np.int64) <= radius]
+        a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= radius]
         left.append(a)
         right.append(a + d)
     return np.concatenate(left), np.concatenate(right)
@@ -126,7 +125,7 @@ def signed(v) -> np.ndarray:
     return np.asarray(v, np.uint64).view(np.int64)
 
 
-def candidate_links(fps: DataFrame, blocks: int, cell_rows: int = 4096) -> DataFrame:
+def candidate_links(fps: DataFrame, blocks: int, cell_rows: int = 4096, radius: int = RADIUS) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``(fp)``, enough to join all that are within the radius."""
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -134,7 +133,7 @@ def candidate_links(fps: DataFrame, blocks: int, cell_rows: int = 4096) -> DataF
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
-                keys = cell_keys(part, blocks)
+                keys = cell_keys(part, blocks, radius)
                 yield [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part, keys.shape[1]).view(np.int64))]
 
     def searched(it: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -145,7 +144,7 @@ def candidate_links(fps: DataFrame, blocks: int, cell_rows: int = 4096) -> DataF
             fp = np.concatenate(parts)
             if large:
                 return [[signed(np.full(len(fp), key, np.int64).view(np.uint64)), signed(fp), np.full(len(fp), True)]]
-            links = forest(fp)
+            links = forest(fp, radius=radius)
             return [[signed([a for a, _ in links]), signed([b for _, b in links]), np.full(len(links), False)]] if links else []
 
         for batch in it:
@@ -158,7 +157,7 @@ def candidate_links(fps: DataFrame, blocks: int, cell_rows: int = 4096) -> DataF
             inner = ends - starts <= SMALL
             inner[0] = inner[-1] = False
             busy = np.flatnonzero(~inner)
-            a, b = near_in_small(fp, keys, np.repeat(inner, ends - starts))
+            a, b = near_in_small(fp, keys, np.repeat(inner, ends - starts), radius)
             if len(a):
                 out.append([signed(fp[a]), signed(fp[b]), np.full(len(a), False)])
             for r in busy.tolist():
@@ -181,7 +180,7 @@ def candidate_links(fps: DataFrame, blocks: int, cell_rows: int = 4096) -> DataF
         """Rows arrive by (cell, part, other part)."""
         for key, rows in runs(it):
             first = rows[:, 0] == 1
-            links = forest(rows[first, 1]) if key[1] == key[2] else forest(rows[first, 1], rows[~first, 1])
+            links = forest(rows[first, 1], None if key[1] == key[2] else rows[~first, 1], radius)
             if links:
                 yield [pa.array(signed([a for a, _ in links])), pa.array(signed([b for _, b in links]))]
 
@@ -227,7 +226,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Links ``(a, b)`` -> ``(node, root)`` for every linked node, ``root`` the smallest node of its component.
 
     Every round points each node to its smallest neighbour, follows the pointers some steps and contracts the links
-    to those between the joined groups. Tables are written between steps; a hub's links meet in a ``min``.
+    to those between the joined groups. Tables are written between steps; a hub's links meet in a ``min``, and what is
+    known of a hub goes to the parts of its links.
     """
     edges, tree = stored(links.where("a <> b"), f"{name}-links"), None
     while True:
@@ -236,18 +236,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         for _ in range(2):
             step = stored(step, f"{name}-step")
             above = step.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            step = step.join(above, "up").select("node", F.col("top").alias("up"))
+            step = salted_join(step, above, "up", F.col("node")).select("node", F.col("top").alias("up"))
         step = stored(step, f"{name}-step")
         if tree is None:
             tree = step.select("node", F.col("up").alias("root"))
         else:
             moved = step.select(F.col("node").alias("root"), "up")
-            tree = tree.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+            tree = salted_join(tree, moved, "root", F.col("node"), "left").select("node", F.coalesce("up", "root").alias("root"))
         tree = stored(tree, f"{name}-tree")
         a = step.select(F.col("node").alias("a"), F.col("up").alias("a2"))
         b = step.select(F.col("node").alias("b"), F.col("up").alias("b2"))
         edges = stored(
-            edges.join(a, "a").join(b, "b").where("a2 <> b2")
+            salted_join(salted_join(edges, a, "a", F.col("b")), b, "b", F.col("a")).where("a2 <> b2")
             .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(),
             f"{name}-links",
         )
@@ -255,29 +255,52 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return tree
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cell_rows: int = 4096) -> DataFrame:
+def component_ids(copies: DataFrame, cell_rows: int = 4096, radius: int = RADIUS) -> DataFrame:
+    """Distinct fingerprints ``(fp, first)`` -> ``(fp, component_id)``, the least ``first`` of what is linked."""
+    links = candidate_links(copies.select("fp"), blocks_for(copies.count(), radius), cell_rows, radius)
+    linked = components(links).select(F.col("node").alias("fp"), "root")
+    smallest = linked.join(copies, "fp").groupBy("root").agg(F.min("first").alias("least"))
+    by_print = salted_join(linked, smallest, "root", F.col("fp")).select("fp", "least")
+    return copies.join(by_print, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+
+
+def _printed(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    return add_columns(docs, lambda batch: [pa.array(signed([fingerprint(t, shingle) for t in texts(batch, text_col)]))], "fp bigint")
+
+
+def near_duplicates(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cell_rows: int = 4096, shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
     """One row for each row of ``docs``: ``(id, fingerprint, component_id)``.
 
-    ``fingerprint`` has 16 lower-case hex digits. Documents link when their fingerprints differ in four bits or
+    ``fingerprint`` has 16 lower-case hex digits. Documents link when their fingerprints differ in ``radius`` bits or
     fewer; ``component_id`` is the smallest id reachable. Null, empty and blank texts have the fingerprint zero and
     are linked like any other. Rows with a null id get a component, but give their id to none; it is null where no row of the
     component has an id. Repeated rows stay. Other columns are ignored; an empty table gives an empty one.
     """
-
-    def printed(batch: pa.RecordBatch) -> list:
-        return [pa.array(signed([fingerprint(t) for t in texts(batch, "text")]))]
-
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = stored(add_columns(base, printed, "fp bigint").select("id", "fp"), "fingerprints")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    prints = stored(_printed(base, "text", shingle).select("id", "fp", "row"), "fingerprints")
     copies = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "copies")
-    links = candidate_links(copies.select("fp"), blocks_for(copies.count()), cell_rows)
-    tree = components(links)
-    linked = tree.select(F.col("node").alias("fp"), "root")
-    smallest = linked.join(copies, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    # The fingerprints of one component may be many: they are parted by a salt, and its id goes to every part.
-    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by_print = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"])
-    ids = copies.join(by_print.select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(ids, "fp").select(
+    ids = component_ids(copies, cell_rows, radius)
+    return salted_join(prints, ids, "fp", F.col("row")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row with the smallest id stays, of several one.
+
+    Rows are told apart by their place, not by their id: equal rows leave one, and where an id names two texts, each is
+    judged by its own. Rows without an id all stay, as nothing names them. All columns are kept.
+    """
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("words"))
+    rows = stored(_printed(held.withColumn("row", F.monotonically_increasing_id()), "words", shingle).drop("words"), "printed")
+    copies = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "copies")
+    ids = component_ids(copies, radius=radius).withColumnRenamed("component_id", "component")
+    # Only the rows of a component's smallest id can stay; where several have it, the first of them does.
+    owners = rows.select("id", "fp", "row").where("id is not null")
+    placed = stored(salted_join(owners, ids, "fp", F.col("row")).select("row", "component", (F.col("id") == F.col("component")).alias("least")), "placed")
+    kept = placed.where("least").groupBy("component").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("kept"))
+    gone = placed.join(kept, "row", "left").where("kept is null").select("row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")

@@ -47,6 +47,19 @@ def test_decisions_take_effect(spark, tmp_path):
     assert set(range(60)) <= set(seen["benchmark"])
 
 
+def test_one_row_of_a_group_stays(spark):
+    """Equal rows leave one; an id that names two texts loses only the one that is a copy."""
+    rnd = random.Random(2)
+    text = lambda: " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(60))
+    one, two, three, four = text(), text(), text(), text()
+    rows = [(1, one), (1, one), (5, one), (7, two), (7, three), (3, three), (None, four), (None, four), (9, "é"), (9, "é"), (9, None), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, "Row") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, `ROW` string")
+    out = P.drop_near_duplicates(spark, docs, TINY)
+    assert out.columns == P.COLUMNS
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert left == sorted([(1, one), (7, two), (3, three), (None, four), (None, four), (9, "é"), (2, None)], key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")

@@ -124,3 +124,17 @@ def test_documents(spark):
     key = lambda r: (str(r[0]), r[1], str(r[2]))
     assert sorted(map(tuple, found.collect()), key=key) == sorted(((i, "%016x" % v, c) for (i, _), v, c in zip(rows, values, want)), key=key)
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_other_radius(spark):
+    """The radius is an argument: groups by all pairs at two and at seven bits."""
+    values = sorted(set(family(4, 60, 9)))
+    rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp bigint")
+    for radius in (2, 7):
+        links = candidate_links(rows, blocks_for(len(values), radius), radius=radius)
+        found = {r.node & (1 << 64) - 1: r.root for r in components(links).collect()}
+        close = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= radius]
+        assert set(found) == {v for pair in close for v in pair}
+        assert all(found[a] == found[b] for a, b in close)
+        edges = {frozenset((r.a & (1 << 64) - 1, r.b & (1 << 64) - 1)) for r in links.collect()}
+        assert {e for e in edges if len(e) == 2} <= {frozenset(pair) for pair in close}
