@@ -35,10 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; so do all without an id, as nothing names them."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    """The document with the smallest id of each group stays, once; so do all without an id, as nothing names them."""
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
