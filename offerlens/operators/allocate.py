@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerlens.operators.filters import in_price_range
@@ -11,6 +12,8 @@ from offerlens.storage import stored
 
 # Order in which stores are filled.
 STORE_ORDER = {"amazon": 0, "takealot": 1}
+# The store that leaves products already taken out of a term's list before it looks for the list's end.
+HIDES_USED = "amazon"
 # Search terms worked off in one plan; then the rows are stored, as the plan grows with each.
 TERMS_PER_PLAN = 4
 
@@ -60,9 +63,90 @@ def with_eligibility(candidates: DataFrame, products: DataFrame) -> DataFrame:
     return candidates.join(products, ["store_id", "url"], "left").withColumn("eligible", ok)
 
 
+def within_reach(candidates: DataFrame) -> DataFrame:
+    """What decides an allocation without caps: of each run and store, rows bounded by targets and terms, not by links.
+
+    * Of each term, the first ``target`` eligible products, each at its first eligible link. Whatever earlier terms took, they
+      took ``t <= target`` products, so among these are the first ``target - t`` that are left: enough for the term's
+      quota and, later, for the rollover.
+    * The number of the term's pages before the first that is missing.
+    * ``thin`` rows: the first store's list ends at a page of which every product is taken. Only a product that is within
+      reach of an earlier term can be; pages made of such products alone are kept whole.
+
+    No term's links meet in one task: first links are chosen by product, the prefix from salted parts, and pages are
+    counted by partial aggregates. Columns: ``run_id, store_id, query_idx, page_num, pos, url, product_id, target, n_queries,
+    thin, n_pages``.
+    """
+    columns = [*GROUP, *RANK, "url", "product_id", "target", "n_queries"]
+    rows = stored(candidates.select(*columns, "eligible"), "candidates")
+    order = [F.col(c) for c in RANK]
+    first = keep_first(rows.where("eligible"), [*GROUP, "product_id"], order)
+    near = stored(top_k(first, GROUP, order, F.col("target"), ["product_id"]).select(*columns), "near")
+
+    page = [*GROUP, "page_num"]
+    pages = rows.groupBy(*page).agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy(*GROUP).orderBy("page_num"))
+    unbroken = pages.withColumn("nth", nth).where("nth = page_num").groupBy(*GROUP).agg(F.max("page_num").alias("n_pages"))
+
+    taken_by = near.where(F.col("store_id") == HIDES_USED).groupBy("run_id", "store_id", "product_id").agg(F.min("query_idx").alias("since"))
+    earlier = F.coalesce(F.col("since") < F.col("query_idx"), F.lit(False))
+    marked = rows.where(F.col("store_id") == HIDES_USED).join(taken_by, ["run_id", "store_id", "product_id"], "left").withColumn("earlier", earlier)
+    dry = marked.groupBy(*page).agg(F.bool_and("earlier").alias("all")).where("all").select(*page)
+    thin = marked.where("earlier").join(dry, page, "left_semi").select(*columns)
+    both = near.withColumn("thin", F.lit(False)).unionByName(thin.withColumn("thin", F.lit(True)))
+    return both.join(unbroken, GROUP)
+
+
+PICKED = "run_id {run}, store_id string, query_idx int, url string, pass_no int"
+
+
+def allocate_all(candidates: DataFrame) -> DataFrame:
+    """:func:`allocate` without caps, in one pass over what is :func:`within_reach`, however many terms there are.
+
+    How much a term may take depends on what earlier terms took, so a run and store is worked off by one task; its rows are
+    bounded by the run's limit and terms.
+    """
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["query_idx", "page_num", "pos", "url"])
+        run, store = group.run_id.iloc[0], group.store_id.iloc[0]
+        target, n_queries = int(group.target.iloc[0]), int(group.n_queries.iloc[0])
+        used, picked, lists = set(), [], []
+
+        def take(query: int, url: str, product: str, number: int) -> None:
+            used.add(product)
+            picked.append((run, store, query, url, number))
+
+        for query, term in group.groupby("query_idx", sort=True):
+            missing, left = target - len(picked), max(n_queries - query, 1)
+            if missing <= 0:
+                break
+            quota = -(-missing // left)
+            end = term.n_pages.iloc[0]
+            for page, products in term[term.thin].groupby("page_num", sort=True).product_id:
+                if used.issuperset(products):
+                    end = min(end, page - 1)
+                    break
+            listed = term[~term.thin & (term.page_num <= end)]
+            lists.append([(int(query), url, product) for url, product in zip(listed.url, listed.product_id)])
+            fresh = [row for row in lists[-1] if row[2] not in used]
+            for row in fresh[:quota]:
+                take(*row, 1)
+        for row in (row for rows in lists for row in rows):
+            if len(picked) < target and row[2] not in used:
+                take(*row, 2)
+        return pd.DataFrame(picked, columns=["run_id", "store_id", "query_idx", "url", "pass_no"])
+
+    run_type = candidates.schema["run_id"].dataType.simpleString()
+    picked = within_reach(candidates).groupBy("run_id", "store_id").applyInPandas(fold, PICKED.format(run=run_type))
+    return in_result_order(candidates.join(picked, [*GROUP, "url"]))
+
+
 def allocate(candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS) -> DataFrame:
     """Accepted candidates with ``pass_no`` (1 quota, 2 rollover) and ``accept_idx`` per run.
 
+    Without a cap on candidates, see :func:`allocate_all`.
+
     ``n_queries`` is the largest number of terms of any run (no term is left out for it).
     Needs ``run_id, store_id, query_idx, page_num, pos, product_id, eligible, target, n_queries``, one
     row per product and query, already cut by :func:`candidate_prefix`. How much a query may take
@@ -71,6 +155,8 @@ def allocate(candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS) -> Dat
     (run, store), so one shuffle of the bounded candidate rows serves every step; it has the session's
     full width, as the rows are few but sorted many times.
     """
+    if caps.min_candidates is None:
+        return allocate_all(candidates)
     rank = ", ".join(RANK)
     group = "partition by run_id, store_id"
     df = candidates.repartition(spread(candidates), "run_id", "store_id").selectExpr(
@@ -96,11 +182,9 @@ def allocate(candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS) -> Dat
         df = df.selectExpr(
             "*", f"_seen and dense_rank() over ({group}, _seen order by page_num) = page_num as _live"
         )
-        listed = "_live and _quota > 0"
-        if caps.min_candidates is not None:
-            cap = f"greatest(4 * _quota, {caps.min_candidates})"
-            listed = f"{listed} and row_number() over ({group}, _live order by {rank}) <= {cap}"
-        df = df.selectExpr("*", f"{listed} as _listed")
+        cap = f"greatest(4 * _quota, {caps.min_candidates})"
+        in_cap = f"row_number() over ({group}, _live order by {rank}) <= {cap}"
+        df = df.selectExpr("*", f"_live and _quota > 0 and {in_cap} as _listed")
         # A product may stand in one list under two URLs; only its first can be taken.
         df = df.selectExpr("*", "_listed and eligible and not _used as _fit")
         df = df.selectExpr(

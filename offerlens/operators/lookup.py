@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from offerlens.functions.identity import extract_asin, title_from_url
 from offerlens.functions.text import collapse_ws, first_nonempty
@@ -10,7 +12,7 @@ from offerlens.operators.ranking import keep_first
 from offerlens.operators.routing import StoreRegistry
 from offerlens.schema import NO_RATING, NO_REVIEWS, PRICE_UNAVAILABLE, PRODUCT, UNKNOWN_AVAILABILITY
 from offerlens.sources.pages import finish, page_records
-from offerlens.storage import new_path
+from offerlens.storage import new_path, stored
 
 
 def placeholder() -> dict[str, Column]:
@@ -47,32 +49,55 @@ def placeholder() -> dict[str, Column]:
     }
 
 
-def page_store(pages: DataFrame, registry: StoreRegistry, path: str | None = None, buckets: int = 1024) -> DataFrame:
-    """Stored pages under their canonical URL in folders of hash buckets, so that a lookup reads the buckets it needs.
+def page_store(
+    pages: DataFrame, registry: StoreRegistry, path: str | None = None, buckets: int = 1024, name: str | None = None
+) -> DataFrame:
+    """Stored pages as a table clustered by their canonical URL, of which a lookup reads the buckets it needs.
 
-    Keeps ``url, html`` and ``fetched_at`` if there; adds ``canon`` and ``bucket``.
+    Keeps the columns of ``pages`` and adds ``canon`` and ``bucket``, the number of the bucket. A bucket is a folder of its
+    own with the pages sorted by ``canon``: a filter on its number leaves the other folders unread, and a join or window by
+    ``canon`` doesn't shuffle the pages. ``name`` is the table's name in the session's catalog; a later
+    application finds the pages again by :func:`open_page_store`.
     """
-    store = registry.route(F.col("url"))
-    canon = registry.canonical(store, F.col("url"))
+    spark = pages.sparkSession
+    canon = registry.canonical(registry.route(F.col("url")), F.col("url"))
     keyed = pages.withColumn("canon", canon).withColumn("bucket", bucket_of(F.col("canon"), buckets))
-    path = path or new_path(pages.sparkSession, "pages")
-    keyed.repartition("bucket", F.pmod(F.xxhash64("url"), F.lit(8))).write.partitionBy("bucket").parquet(path)
-    return pages.sparkSession.read.schema(keyed.schema).parquet(path).withMetadata("bucket", {"buckets": buckets})
+    name, path = name or f"pages_{uuid.uuid4().hex}", path or new_path(spark, "pages")
+    clustered = keyed.repartition(buckets, "canon").write.partitionBy("bucket").bucketBy(buckets, "canon").sortBy("canon")
+    clustered.option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name).withMetadata("bucket", {"buckets": buckets})
+
+
+def open_page_store(spark: SparkSession, path: str, schema: str, buckets: int = 1024, name: str | None = None) -> DataFrame:
+    """The table that :func:`page_store` wrote to ``path``; ``schema`` is the DDL of its pages' own columns."""
+    name = name or f"pages_{uuid.uuid4().hex}"
+    spark.sql(
+        f"create table {name} ({schema}, canon string, bucket int) using parquet partitioned by (bucket) "
+        f"clustered by (canon) sorted by (canon) into {int(buckets)} buckets location '{path}'"
+    )
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name).withMetadata("bucket", {"buckets": buckets})
 
 
 def bucket_of(canon: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(canon), F.lit(buckets)).cast("int")
+    """The bucket that Spark's own clustering gives a value."""
+    return F.pmod(F.hash(canon), F.lit(buckets))
 
 
 def newest_pages(wanted: DataFrame, pages: DataFrame, registry: StoreRegistry) -> DataFrame:
-    """``(canon, html)`` of the wanted canonical URLs, the snapshot with the greatest ``fetched_at`` of each."""
-    keys = ["canon"]
+    """``(canon, html)`` of the wanted canonical URLs, the snapshot with the greatest ``fetched_at`` of each.
+
+    Of a :func:`page_store` only the buckets asked for are read; their numbers, at most as many as there are buckets,
+    go into the filter as constants.
+    """
     if "canon" not in pages.columns:
         pages = pages.withColumn("canon", registry.canonical(registry.route(F.col("url")), F.col("url")))
     elif "bucket" in pages.columns:
-        wanted = wanted.withColumn("bucket", bucket_of(F.col("canon"), pages.schema["bucket"].metadata["buckets"]))
-        keys = ["canon", "bucket"]
-    found = pages.join(wanted.select(*keys).distinct(), keys, "left_semi")
+        buckets = pages.schema["bucket"].metadata["buckets"]
+        asked = sorted(r.bucket for r in wanted.select(bucket_of(F.col("canon"), buckets).alias("bucket")).distinct().collect())
+        if len(asked) < buckets:
+            pages = pages.where(F.col("bucket").isin(asked))
+    found = pages.join(wanted.select("canon").distinct(), "canon", "left_semi")
     order = [F.col("fetched_at").desc_nulls_last()] if "fetched_at" in pages.columns else []
     return keep_first(found, ["canon"], [*order, F.col("url"), F.xxhash64("html")]).select("canon", "html")
 
@@ -87,6 +112,8 @@ def lookup_products(urls: DataFrame, pages: DataFrame, registry: StoreRegistry)
     """
     wanted = urls.select("url", "store_id").where("store_id is not null").distinct()
     wanted = wanted.withColumn("canon", registry.canonical(F.col("store_id"), F.col("url")))
+    if "bucket" in pages.columns:
+        wanted = stored(wanted, "asked")  # read for the buckets, then for the pages
     records = page_records(wanted.join(newest_pages(wanted, pages, registry), "canon", "left").drop("canon"), registry)
     valid = registry.is_valid(F.col("store_id"), skip=("takealot",))
     lost = F.col("reason").isNotNull() | ~valid

@@ -419,8 +419,8 @@ def run_counts(spark, sf):
 
 @query
 def flagship(spark, sf):
-    """A whole search run: links, candidates, filters, allocation, and the accepted products."""
-    return _search(spark, sf).select(
+    """A whole search run: links, candidates, filters, allocation, and the accepted products; all stored links count."""
+    return _search(spark, sf, CA.NO_CAPS).select(
         "run_id", "accept_idx", "store_id", "product_id", "title", "price", "price_numeric", F.size("specs").alias("spec_count")
     )
 
@@ -742,6 +742,10 @@ def json_dataset(spark, sf):
 # --- streams -----------------------------------------------------------------------------------
 
 
+# Files that a stream's batch reads.
+_FILES = 8
+
+
 @query
 def click_replay(spark, sf):
     return clicks.replay(clicks.clean_clicks(A.click_log(spark, sf)))
@@ -749,26 +753,36 @@ def click_replay(spark, sf):
 
 @query
 def click_stream(spark, sf):
-    """The click log replayed as a stream of files."""
+    """The click log replayed as a stream of five batches or more, each user's events in order of the log."""
     log, out = new_path(spark, "clicks"), new_path(spark, "lists")
-    source = A.click_log(spark, sf)
-    edges = source.approxQuantile("seq", [0.33, 0.67], 0.01) or [0, 0]
-    for part in (F.col("seq") <= edges[0], (F.col("seq") > edges[0]) & (F.col("seq") <= edges[1]), F.col("seq") > edges[1]):
-        source.where(part).coalesce(1).write.mode("append").parquet(log)
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(log)
-    q = clicks.collect_stream(clicks.clean_clicks(stream), out, new_path(spark, "state"))
+    source = clicks.clean_clicks(A.click_log(spark, sf))
+    edges = source.approxQuantile("seq", [0.2, 0.4, 0.6, 0.8], 0.01) or [0] * 4
+    fifth = sum(F.when(F.col("seq") > edge, 1).otherwise(0) for edge in edges)
+    for i in range(5):  # files of one step hold whole users, so any cut between batches keeps their order
+        source.where(fifth == i).repartition("user_id").write.mode("append").parquet(log)
+    files = len(spark.read.schema(source.schema).parquet(log).inputFiles())
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", max(1, files // 5)).parquet(log)
+    q = clicks.collect_stream(stream, out, new_path(spark, "state"))
     q.awaitTermination()
-    assert q.lastProgress["batchId"] >= 2
+    assert q.lastProgress["batchId"] >= 4 and clicks.late_clicks(spark, out).isEmpty()
     return clicks.latest_lists(spark, out)
 
 
+@query
+def click_rejects(spark, sf):
+    """Events of the log that name no click on a product, with the reason."""
+    return clicks.click_rejects(A.click_log(spark, sf)).select("user_id", "seq", "action", "reason")
+
+
 @query
 def watch_stream(spark, sf):
     """Watched lists of page URLs, each file read as one batch."""
     pages = A.shop_pages(spark, sf)
     folder, out = new_path(spark, "watched"), new_path(spark, "products")
-    pages.select(F.concat(F.col("url"), F.lit(" "))).repartition(3).write.text(folder)
-    stream = W.clean_lines(spark.readStream.option("maxFilesPerTrigger", 1).text(folder))
+    urls = pages.select(F.concat(F.col("url"), F.lit(" ")).alias("value"))
+    urls.repartition(3 * _FILES).write.text(folder)
+    pages = page_store(pages, StoreRegistry(), buckets=64)
+    stream = W.clean_lines(spark.readStream.option("maxFilesPerTrigger", _FILES).text(folder))
     q = W.watch(stream, pages, out, new_path(spark, "state"))
     q.awaitTermination()
     assert q.lastProgress["batchId"] >= 2
@@ -780,8 +794,8 @@ def stream_dedupe(spark, sf):
     """Inputs that arrive in several files, each product once over the whole stream."""
     source, out = new_path(spark, "inputs"), new_path(spark, "unique")
     df = _inputs(spark, sf).select(F.col("input").alias("value"))
-    df.repartition(3).write.text(source)
-    unique = W.dedupe_stream(W.clean_lines(spark.readStream.option("maxFilesPerTrigger", 1).text(source)))
+    df.repartition(3 * _FILES).write.text(source)
+    unique = W.dedupe_stream(W.clean_lines(spark.readStream.option("maxFilesPerTrigger", _FILES).text(source)))
     q = (
         unique.select("store_id", "unique_key")
         .writeStream.format("parquet")

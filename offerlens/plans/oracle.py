@@ -401,8 +401,9 @@ def _allocation(terms: int = 3, capped: bool = True) -> tuple[tuple[str, str], .
 
 
 _ALLOCATED = (_RUNS, _TARGETS, *_BASE, *_allocation())
+_UNCAPPED = (_RUNS, _TARGETS, *_BASE, *_allocation(capped=False))
 _EVERY = "run_id, accept_idx, store_id, query_idx, pass_no, product_id"
-ORACLES["allocation_uncapped"] = offers(f"select {_EVERY} from numbered", _RUNS, _TARGETS, *_BASE, *_allocation(capped=False))
+ORACLES["allocation_uncapped"] = offers(f"select {_EVERY} from numbered", *_UNCAPPED)
 _MANY = tuple(
     (name, sql.replace("case when run_id % 5 = 0 then 2 else 3 end as nq", "run_id % 8 + 1 as nq").replace("% 3 as query_idx", "% 8 as query_idx")
      .replace("(pk + sk) % 3", "(pk + sk) % 8").replace("<> pk % 3", "<> pk % 8"))
@@ -420,7 +421,7 @@ ORACLES["run_counts"] = offers(
 ORACLES["flagship"] = offers(
     f"""select n.run_id, accept_idx, n.store_id, n.product_id, title, price, {parse_price('price')} as price_numeric, {N_SPECS} as spec_count
       from numbered n join offers o on o.product_id = n.product_id""",
-    *_ALLOCATED,
+    *_UNCAPPED,
 )
 ORACLES["top_offers"] = offers(
     f"""select store_id, rn, product_id, p as price_numeric from (
@@ -753,6 +754,10 @@ _REPLAY = """with recursive log as (select user_id, event_id as seq, event_id %
   select user_id, concat('https://www.amazon.com/nice-item/dp/', lpad(cast(kind as varchar), 10, 'B0')) as url, added_at from final where added_at >= 0"""
 ORACLES["click_replay"] = _REPLAY
 ORACLES["click_stream"] = _REPLAY
+ORACLES["click_rejects"] = """select user_id, event_id as seq,
+    case event_type when 'click' then 'toggle' when 'view' then 'add' when 'purchase' then 'add' when 'signup' then 'clear' else event_type end as action,
+    case when event_type not in ('click', 'view', 'purchase', 'signup') then 'unknown action' else 'no product link' end as reason
+  from events where event_type not in ('click', 'view', 'purchase', 'signup') or (event_type <> 'signup' and event_id % 6 = 5)"""
 ORACLES["watch_stream"] = f"""select case when p_partkey % 2 = 0 then lpad(cast(p_partkey as varchar), 10, '0') else concat('PLID', cast(p_partkey as varchar)) end as product_id,
   case when p_partkey % 50 = 0 then concat('Amazon Product (', lpad(cast(p_partkey as varchar), 10, '0'), ')')
     when p_partkey % 2 = 0 then concat(p_name, ' Refill 2 x 5 ml') else p_name end as title,

@@ -49,9 +49,3 @@ def clear(spark: SparkSession) -> None:
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write one micro-batch under its own number; a repeated batch replaces itself."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
-    """Delete what a micro-batch wrote."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

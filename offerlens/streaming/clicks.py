@@ -6,21 +6,38 @@ unless it is there, ``toggle`` removes it if it is there and else adds it, ``cle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from offerlens.functions.identity import clicked_url
-from offerlens.operators.ranking import with_group_facts
-from offerlens.storage import drop_batch, write_batch
+from offerlens.operators.ranking import keep_first, with_group_facts
+from offerlens.storage import write_batch
 
 
-def clean_clicks(events: DataFrame) -> DataFrame:
-    """Events with canonical links; clicks on anything but products are dropped."""
-    return events.withColumn("url", F.when(F.col("action") != "clear", clicked_url(F.col("url")))).where(
-        "action = 'clear' or (action in ('add', 'toggle') and url is not null)"
+def _reason(link: Column) -> Column:
+    """Why an event can't be replayed; null for those that can."""
+    return (
+        F.when(F.col("user_id").isNull(), "no user")
+        .when(F.col("seq").isNull(), "no place in the log")
+        .when(~F.coalesce(F.col("action").isin("add", "toggle", "clear"), F.lit(False)), "unknown action")
+        .when((F.col("action") != "clear") & link.isNull(), "no product link")
     )
 
 
+def clean_clicks(events: DataFrame) -> DataFrame:
+    """Events with canonical links, without those of :func:`click_rejects`."""
+    link = clicked_url(F.col("url"))
+    return events.where(_reason(link).isNull()).withColumn("url", F.when(F.col("action") != "clear", link))
+
+
+def click_rejects(events: DataFrame) -> DataFrame:
+    """The events that :func:`clean_clicks` leaves out, as they came, with a ``reason``."""
+    return events.withColumn("reason", _reason(clicked_url(F.col("url")))).where("reason is not null")
+
+
 # Stretch of ``seq`` that may meet in one task.
 BLOCK = 1 << 20
 
@@ -78,39 +95,112 @@ def export_lists(lists: DataFrame, path: str) -> None:
     )
 
 
-LISTS = "user_id bigint, url string, added_at bigint"
+CHANGES = "user_id bigint, url string, added_at bigint, seq bigint, action string, late boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def collect_stream(events: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the lists up to date over a stream of clean events whose ``seq`` grows from batch to batch.
+def list_keeper() -> StatefulProcessor:
+    """State of one (user, part of the links): a map of links to their places, and the last event's ``seq``.
+
+    A batch reads and writes the map entries of the links it touches; only ``clear`` goes through the whole map.
+    """
 
-    Every micro-batch replays the earlier lists, as adds at their old places, together with its own
-    events and writes the next version under ``out/batch_id=N``; a repeated batch replaces itself. A row
-    without a user marks the version, so that empty lists have a version too.
+    class ListKeeper(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.places = handle.getMapState("places", "url string", "added_at bigint")
+            self.last = handle.getValueState("last", "seq bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            events = sorted((e for frame in rows for e in zip(frame.seq.tolist(), frame.action.tolist(), frame.url.tolist())), key=lambda e: e[0])
+            seen = self.last.get()
+            last, late = (seen[0] if seen else None), []
+            before: dict[str, int | None] = {}  # places in the state, of the links read so far
+            now: dict[str, int | None] = {}
+
+            def read(url: str) -> None:
+                if url not in now:
+                    before[url] = self.places.getValue((url,))[0] if self.places.containsKey((url,)) else None
+                    now[url] = before[url]
+
+            for seq, action, url in events:
+                if last is not None and seq <= last:
+                    late.append((seq, action, url))
+                    continue
+                last = seq
+                if action == "clear":
+                    for (held,), (place,) in list(self.places.iterator()):
+                        before.setdefault(held, place)
+                    now = dict.fromkeys([*before, *now])
+                    continue
+                read(url)
+                if now[url] is None:
+                    now[url] = seq
+                elif action == "toggle":
+                    now[url] = None
+            if last is not None:
+                self.last.update((last,))
+            changed = [(url, place) for url, place in now.items() if place != before.get(url)]
+            for url, place in changed:
+                if place is None:
+                    self.places.removeKey((url,))
+                else:
+                    self.places.updateValue((url,), (place,))
+            rows_out = [(key[0], url, place, last, None, False) for url, place in changed]
+            rows_out += [(key[0], url, None, seq, action, True) for seq, action, url in late]
+            yield pd.DataFrame(rows_out, columns=["user_id", "url", "added_at", "seq", "action", "late"], dtype=object)
+
+        def close(self) -> None:
+            pass
+
+    return ListKeeper()
+
+
+def list_changes(events: DataFrame, parts: int = 16) -> DataFrame:
+    """A stream of clean events -> what each micro-batch changes in the users' lists.
+
+    A row names a link that is new in its user's list, or moved, with its place ``added_at``; null means that it left.
+    State is kept by (user, part of the links), so a busy user's links are spread over ``parts`` keys; an event that clears
+    goes to all of them. The ``seq`` of a user's events has to grow from batch to batch: one that isn't behind the last
+    comes back with ``late`` and its action, and changes nothing; so an event delivered twice counts once.
+    """
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    own = F.array(F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int"))
+    spread = events.select("user_id", "seq", "action", "url", F.explode(F.when(F.col("action") == "clear", every).otherwise(own)).alias("part"))
+    return spread.groupBy("user_id", "part").transformWithStateInPandas(list_keeper(), CHANGES, "Append", "None")
+
+
+def collect_stream(events: DataFrame, out: str, checkpoint: str, parts: int = 16, **trigger) -> StreamingQuery:
+    """Write the changes of each micro-batch under ``out/batch_id=N``; a repeated batch replaces itself.
+
+    Only links that changed are written, whatever the lists hold. State lies in RocksDB, on disk beside the task and in
+    the checkpoint, not in the executors' heaps.
     """
     spark = events.sparkSession
-    mark = spark.range(1).selectExpr(*[f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in LISTS.split(", ")])
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        now = batch.select("user_id", "seq", "action", "url")
-        if batch_id > 0:
-            before = spark.read.schema(LISTS).parquet(f"{out}/batch_id={batch_id - 1}").where("user_id is not null")
-            kept = before.select("user_id", F.col("added_at").alias("seq"), F.lit("add").alias("action"), "url")
-            now = kept.unionByName(now)
-        write_batch(replay(now).unionByName(mark), out, batch_id)
-        if batch_id > 1:  # the last version but one is kept for a repeated batch
-            drop_batch(spark, out, batch_id - 2)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:  # a query keeps the settings it was started with
+        return (
+            list_changes(events, parts)
+            .writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, out, batch_id))
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-    return (
-        events.writeStream.foreachBatch(process)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+
+def _written(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(CHANGES + ", batch_id bigint").parquet(out)
 
 
 def latest_lists(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version that :func:`collect_stream` wrote."""
-    versions = spark.read.schema(LISTS + ", batch_id bigint").parquet(out)
-    newest = versions.where("user_id is null").agg(F.max("batch_id").alias("batch_id"))
-    return versions.where("user_id is not null").join(F.broadcast(newest), "batch_id").drop("batch_id")
+    """The lists ``(user_id, url, added_at)`` after the last batch that :func:`collect_stream` wrote."""
+    last = keep_first(_written(spark, out).where("not late"), ["user_id", "url"], [F.desc("batch_id")])
+    return last.where("added_at is not null").select("user_id", "url", "added_at")
+
+
+def late_clicks(spark: SparkSession, out: str) -> DataFrame:
+    """Events that came after a later one of their user, and were left out; clears stand there once for each part."""
+    return _written(spark, out).where("late").select("user_id", "seq", "action", "url").distinct()

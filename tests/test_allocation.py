@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from offerlens.operators.allocate import allocate, candidate_prefix, store_targets, with_eligibility
+from offerlens.operators.allocate import allocate, candidate_prefix, store_targets, with_eligibility, within_reach
 from offerlens.sources.candidates import LIVE_CAPS, NO_CAPS, result_links
 
 BASE = {"amazon": "https://www.amazon.co.za/dp/", "takealot": "https://www.takealot.com/x/"}
@@ -124,6 +125,40 @@ def test_other_seed_and_no_caps(spark):
     assert run_spark(spark, *data, NO_CAPS) == expected(*data, capped=False)
 
 
+@pytest.mark.parametrize("seed", [11, 12, 13, 14])
+def test_no_caps(spark, seed):
+    data = make_runs(seed, 40)
+    assert run_spark(spark, *data, NO_CAPS) == expected(*data, capped=False)
+
+
+def test_a_list_ends_at_a_page_of_taken_products(spark):
+    """The second term's second page holds only what the first term took; what stands behind it isn't listed."""
+    url = lambda k: f"{BASE['amazon']}{k:010d}"
+    links = [(1, "amazon", 0, 1, k, url(k)) for k in range(4)]
+    links += [(1, "amazon", 1, 1, 0, url(10)), (1, "amazon", 1, 2, 0, url(0)), (1, "amazon", 1, 2, 1, url(1)), (1, "amazon", 1, 3, 0, url(11))]
+    products = [("amazon", url(k), k != 10, 1.0) for k in (0, 1, 2, 3, 10, 11)]
+    for limit in (4, 20):
+        runs = [(1, limit, "amazon", None, None, 2)]
+        found = run_spark(spark, runs, links, products, NO_CAPS)
+        assert found == expected(runs, links, products, capped=False)
+        assert not [r for r in found if r[4] == url(11)]
+
+
+def test_a_run_with_most_links_stays_spread(spark):
+    """What meets in one task is bounded by the run's limit and terms, whatever its links are."""
+    links = [(1, "takealot", q, 1 + k // 40, k % 40, f"{BASE['takealot']}PLID{q}{k}") for q in range(2) for k in range(4000)]
+    links += [(1, "amazon", q, 1 + k // 40, k % 40, f"{BASE['amazon']}{q}{k:09d}") for q in range(2) for k in range(2000)]
+    products = [(store, u, True, 1.0) for _, store, _, _, _, u in links]
+    runs = [(1, 10, "both", None, None, 2)]
+    r = spark.createDataFrame(runs, "run_id bigint, limit int, source string, min_price double, max_price double, n_queries int")
+    l = spark.createDataFrame(links, "run_id bigint, store_id string, query_idx int, page_num int, pos int, href string")
+    p = spark.createDataFrame(products, "store_id string, url string, is_valid boolean, price_numeric double")
+    candidates = with_eligibility(candidate_prefix(l, store_targets(r), NO_CAPS), p)
+    assert candidates.count() == len(links)
+    assert within_reach(candidates).count() <= 2 * 2 * 5 + 5
+    assert run_spark(spark, runs, links, products, NO_CAPS) == expected(runs, [x for x in links if x[3] < 20], products, capped=False)
+
+
 def test_quota_examples(spark):
     def links_for(sizes):
         return [

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.operators.lookup import lookup_products, page_store
+from offerlens.operators.lookup import lookup_products, newest_pages, open_page_store, page_store
 from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegistry
 from offerlens.plans.search import direct_rejects, direct_run
 from offerlens.sources.pages import extract_products
@@ -32,6 +32,34 @@ def test_raw_links_meet_and_the_newest_snapshot_counts(spark, stored):
     assert found == {"B000000001": "New lamp", "PLID7": "Cup", "PLID8": "Takealot Product"}
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_a_lookup_reads_the_buckets_it_needs(spark, tmp_path, broadcast):
+    rows = [(f"https://www.takealot.com/x/PLID{i}", f"<h1>Cup {i}</h1>", at) for i in range(200) for at in (1, 2)]
+    pages = spark.createDataFrame(rows, "url string, html string, fetched_at int")
+    page_store(pages, StoreRegistry(), str(tmp_path / "store"), buckets=64)
+    store = open_page_store(spark, str(tmp_path / "store"), "url string, html string, fetched_at int", buckets=64)
+    assert store.count() == 400
+    canon = StoreRegistry().canonical(F.lit("takealot"), F.col("url"))
+    wanted = pages.where("url like '%PLID5' or url like '%PLID77'").select(canon.alias("canon"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = newest_pages(wanted, store, StoreRegistry())
+        plan = executed(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.html for r in found.collect()) == ["<h1>Cup 5</h1>", "<h1>Cup 77</h1>"]
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line and "bucket" in line)
+    assert "bucket" in scan.split("PartitionFilters:")[1].split("]")[0] and (" IN " in scan or "INSET" in scan)
+    # The pages themselves go through no exchange: what is shuffled or broadcast has no html.
+    assert not [line for line in plan.split("Initial Plan")[0].splitlines() if "Exchange" in line and "html" in line]
+
+
 def test_one_product_for_each_input_and_rejects_for_the_rest(spark):
     pages = spark.createDataFrame([("https://www.amazon.co.za/a/dp/B000000001/r", PAGE.format("Lamp", 20)), ("https://www.amazon.co.za/dp/B000000001?x", PAGE.format("Lamp", 20))], "url string, html string")
     inputs = spark.createDataFrame([("B000000001",), ("https://www.amazon.co.za/dp/B000000001?tag=1",), ("https://nowhere.example/1",), ("some words",), (None,)], "input string")

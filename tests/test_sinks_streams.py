@@ -98,14 +98,43 @@ def test_click_replay(spark):
 
 
 def test_click_stream_equals_batch(spark, tmp_path):
-    events = random_clicks(300)
+    """Six batches; the last has one user's events only and writes nothing of others."""
+    events = random_clicks(600)
+    last_seq = events[-1][1]
+    events += [(3, last_seq + 1, "add", "new"), (3, last_seq + 2, "toggle", "u1"), (3, last_seq + 3, "add", "other"), (3, last_seq + 4, "toggle", "other")]
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for k in range(3):
-        spark.createDataFrame(events[k * 100 : (k + 1) * 100], CLICKS).coalesce(1).write.mode("append").parquet(source)
+    for k in range(6):
+        rows = events[k * 120 : (k + 1) * 120] if k < 5 else events[600:]
+        spark.createDataFrame(rows, CLICKS).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(CLICKS).option("maxFilesPerTrigger", 1).parquet(source)
-    clicks.collect_stream(stream, out, str(tmp_path / "state")).awaitTermination()
+    query = clicks.collect_stream(stream, out, str(tmp_path / "state"))
+    query.awaitTermination()
     found = clicks.latest_lists(spark, out).collect()
     assert sorted((r.user_id, r.url, r.added_at) for r in found) == replay_plain(events)
+    assert clicks.late_clicks(spark, out).isEmpty()
+    sixth = spark.read.parquet(f"{out}/batch_id=5").collect()
+    assert {(r.user_id, r.url) for r in sixth} == {(3, "new"), (3, "u1")}
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 6
+
+
+def test_late_and_repeated_clicks(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[(1, 1, "add", "a"), (1, 2, "add", "b")], [(1, 2, "add", "b"), (1, 5, "clear", None)], [(1, 3, "toggle", "a"), (1, 6, "add", "b"), (2, 1, "add", "a")]]
+    for rows in batches:
+        spark.createDataFrame(rows, CLICKS).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(CLICKS).option("maxFilesPerTrigger", 1).parquet(source)
+    clicks.collect_stream(stream, out, str(tmp_path / "state"), parts=4).awaitTermination()
+    assert sorted(map(tuple, clicks.latest_lists(spark, out).collect())) == [(1, "b", 6), (2, "a", 1)]
+    assert sorted(map(tuple, clicks.late_clicks(spark, out).collect())) == [(1, 2, "add", "b"), (1, 3, "toggle", "a")]
+
+
+def test_click_rejects(spark):
+    good = "https://www.amazon.com/x/dp/B000000001/ref=1"
+    rows = [(None, 1, "add", good), (1, None, "add", good), (1, 2, "open", good), (1, 3, None, good), (1, 4, "add", "https://e.org/"), (1, 5, "toggle", None), (1, 6, "clear", None), (1, 7, "add", good)]
+    events = spark.createDataFrame(rows, CLICKS)
+    assert [r.seq for r in clicks.clean_clicks(events).orderBy("seq").collect()] == [6, 7]
+    lost = [(r.seq, r.reason) for r in clicks.click_rejects(events).orderBy("seq").collect()]
+    assert lost == [(None, "no place in the log"), (1, "no user"), (2, "unknown action"), (3, "unknown action"), (4, "no product link"), (5, "no product link")]
 
 
 def test_watch(spark, tmp_path):
