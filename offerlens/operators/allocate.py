@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -97,48 +99,54 @@ def within_reach(candidates: DataFrame) -> DataFrame:
     return both.join(unbroken, GROUP)
 
 
-PICKED = "run_id {run}, store_id string, query_idx int, url string, pass_no int"
-
-
 def allocate_all(candidates: DataFrame) -> DataFrame:
     """:func:`allocate` without caps, in one pass over what is :func:`within_reach`, however many terms there are.
 
-    How much a term may take depends on what earlier terms took, so a run and store is worked off by one task; its rows are
-    bounded by the run's limit and terms.
+    How much a term may take depends on what earlier terms took, so a run and store is worked off by one task, its rows
+    in order; they are bounded by the run's limit and terms.
     """
+    keys = ["run_id", "store_id"]
+    read = [*keys, "query_idx", *RANK, "url", "product_id", "target", "n_queries", "thin", "n_pages"]
+    written = [*keys, "query_idx", "url", "pass_no"]
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["query_idx", "page_num", "pos", "url"])
-        run, store = group.run_id.iloc[0], group.store_id.iloc[0]
-        target, n_queries = int(group.target.iloc[0]), int(group.n_queries.iloc[0])
+    def pick(run, store, terms: dict[int, list], target: int, n_queries: int) -> list[tuple]:
         used, picked, lists = set(), [], []
 
         def take(query: int, url: str, product: str, number: int) -> None:
             used.add(product)
             picked.append((run, store, query, url, number))
 
-        for query, term in group.groupby("query_idx", sort=True):
+        for query, rows in terms.items():
             missing, left = target - len(picked), max(n_queries - query, 1)
             if missing <= 0:
                 break
-            quota = -(-missing // left)
-            end = term.n_pages.iloc[0]
-            for page, products in term[term.thin].groupby("page_num", sort=True).product_id:
-                if used.issuperset(products):
-                    end = min(end, page - 1)
-                    break
-            listed = term[~term.thin & (term.page_num <= end)]
-            lists.append([(int(query), url, product) for url, product in zip(listed.url, listed.product_id)])
-            fresh = [row for row in lists[-1] if row[2] not in used]
-            for row in fresh[:quota]:
+            open_pages = {page for page, _, product, thin, _ in rows if thin and product not in used}
+            end = min([rows[0][-1] + 1, *(page for page, _, _, thin, _ in rows if thin and page not in open_pages)])
+            lists.append([(query, url, product) for page, url, product, thin, _ in rows if not thin and page < end])
+            for row in [row for row in lists[-1] if row[2] not in used][: -(-missing // left)]:
                 take(*row, 1)
         for row in (row for rows in lists for row in rows):
             if len(picked) < target and row[2] not in used:
                 take(*row, 2)
-        return pd.DataFrame(picked, columns=["run_id", "store_id", "query_idx", "url", "pass_no"])
-
-    run_type = candidates.schema["run_id"].dataType.simpleString()
-    picked = within_reach(candidates).groupBy("run_id", "store_id").applyInPandas(fold, PICKED.format(run=run_type))
+        return picked
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, terms, size = None, {}, (0, 0)
+        for frame in frames:
+            out = []
+            for run, store, query, page, _, url, product, target, n_queries, thin, n_pages in zip(*(frame[c].tolist() for c in read)):
+                if (run, store) != group:
+                    out += pick(*group, terms, *size) if group else []
+                    group, terms, size = (run, store), {}, (target, n_queries)
+                terms.setdefault(query, []).append((page, url, product, thin, n_pages))
+            yield pd.DataFrame(out, columns=written, dtype=object)
+        if group:
+            yield pd.DataFrame(pick(*group, terms, *size), columns=written, dtype=object)
+
+    rows = within_reach(candidates)
+    ordered = rows.repartition(spread(rows), *keys).sortWithinPartitions(*keys, "query_idx", *RANK, "url").select(*read)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema} | {"pass_no": "int"}
+    picked = ordered.mapInPandas(fold, ", ".join(f"{c} {types[c]}" for c in written))
     return in_result_order(candidates.join(picked, [*GROUP, "url"]))
 
 
