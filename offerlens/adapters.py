@@ -245,6 +245,26 @@ def result_pages(link_table: DataFrame) -> DataFrame:
     return link_table.groupBy(*keys).agg(html.alias("html"))
 
 
+def odd_result_pages(link_table: DataFrame) -> DataFrame:
+    """The links of every result page, each written in one of the ways that browsers read."""
+    href = F.replace("href", F.lit("&"), F.lit("&amp;"))
+    coded = F.replace(F.replace(href, F.lit("="), F.lit("&#61;")), F.lit("/"), F.lit("&#x2F;"))
+    wrap = lambda before, value, after: F.concat(F.lit(before), value, F.lit(after))
+    ways = [
+        wrap("<a title='a>b' href=\"", href, '">item</a>'),
+        wrap("<a class='x'href='", href, "'>item</a>"),
+        wrap("<A\nHREF = ", href, " data-x=1>item"),
+        wrap('<a href="', coded, '"/>item'),
+        wrap('<a data-href="/dp/0000000000" href="\t', href, '\n" href="/dp/0000000001">item</a>'),
+        wrap("<textarea><a href='/dp/0000000002'></textarea><!--><a href='", href, "'>item</a>"),
+    ]
+    way = F.element_at(F.array(*ways), (F.pmod(F.hash("href"), F.lit(len(ways))) + 1).cast("int"))
+    keys = ["run_id", "store_id", "query_idx", "page_num"]
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "href", way.alias("a")))), lambda x: F.concat(x["a"], F.lit("<a href=/help>help</a>"))), "")
+    noise = "<!doctype html><title><a href='/dp/0000000003'></title><script>'<a href=\"/dp/0000000004\">'</script><a href='/'>home</a>"
+    return link_table.groupBy(*keys).agg(F.concat(F.lit(noise), body, F.lit("<a href='/dp/0000000005")).alias("html"))
+
+
 def part_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing of every part whose page :func:`shop_pages` writes."""
     pk = F.col("p_partkey")

@@ -389,6 +389,12 @@ def result_page_links(spark, sf):
     return page_links(A.result_pages(A.links(A.offers(spark, sf)))).select("run_id", "store_id", "query_idx", "page_num", "pos", "href")
 
 
+@query
+def result_page_forms(spark, sf):
+    """Links read back from result pages whose anchors are written in many ways."""
+    return page_links(A.odd_result_pages(A.links(A.offers(spark, sf)))).select("run_id", "store_id", "query_idx", "page_num", "pos", "href")
+
+
 @query
 def search_pages(spark, sf):
     """The whole path: result pages, their links, product pages, extraction, filters, allocation."""

@@ -655,6 +655,7 @@ ORACLES["result_page_links"] = offers(
         union all select run_id, store_id, query_idx, 4, pos, href from asked where stale and page = 3)""",
     _PLACED, _ASKED,
 )
+ORACLES["result_page_forms"] = ORACLES["result_page_links"]
 _PART_LISTINGS = """select p_partkey as pk, p_partkey as sk, case when p_partkey % 2 = 0 then 'amazon' else 'takealot' end as store_id,
   case when p_partkey % 2 = 0 then lpad(cast(p_partkey as varchar), 10, '0') else concat('PLID', cast(p_partkey as varchar)) end as product_id,
   case when p_partkey % 50 = 0 then concat('Amazon Product (', lpad(cast(p_partkey as varchar), 10, '0'), ')')

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from offerlens.sources import anchors as reader
 from offerlens.sources.candidates import is_product_link
 
-# An anchor's address, in either kind of quotes or none.
-ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-COMMENT = r"(?s)<!--.*?-->|(?i)<(script|style)\b.*?</\1\s*>"
-# Entities that occur in addresses.
-ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#x2F;", "/"), ("&#47;", "/"), ("&amp;", "&"))
+# The tokeniser travels with the job, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(reader)
 
 
-def hrefs(html: Column) -> Column:
-    """Addresses of all anchors, in order; comments, scripts and styles have none."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), COMMENT, "")
-    found = F.transform(F.regexp_extract_all(bare, F.lit(ANCHOR), F.lit(1)), lambda a: F.btrim(F.btrim(a, F.lit("\"'"))))
+def hrefs(pages: DataFrame, column: str = "html", out: str = "hrefs") -> DataFrame:
+    """``pages`` with the addresses of all anchors of ``column``, in order, in its place; null pages have none."""
+    kept = [f for f in pages.schema.fields if f.name not in (column, out)]
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.StringType()))])
+    names, arrow, anchors = [f.name for f in kept], to_arrow_schema(schema), reader.anchors
 
-    def plain(a: Column) -> Column:
-        for entity, char in ENTITIES:
-            a = F.replace(a, F.lit(entity), F.lit(char))
-        return a
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(anchors(html)) for html in batch.column(column).to_pylist()]
+            columns = [batch.column(n).cast(arrow.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow.field(out).type)], schema=arrow)
 
-    return F.transform(found, plain)
+    return pages.select(*names, column).mapInArrow(run, schema)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -33,5 +38,5 @@ def page_links(pages: DataFrame) -> DataFrame:
     term's list like a page that was never stored. Null pages have no links.
     """
     keys = ["run_id", "store_id", "query_idx", "page_num"]
-    links = pages.select(*keys, F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
+    links = hrefs(pages.select(*keys, "html")).select(*keys, F.posexplode("hrefs").alias("pos", "href"))
     return links.where(is_product_link(F.col("store_id"), F.col("href")))

@@ -1,5 +1,7 @@
 """Page lookup, result pages, rejects and plugin stores."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from offerlens.operators.lookup import lookup_products, newest_pages, open_page_
 from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegistry
 from offerlens.plans.search import direct_rejects, direct_run
 from offerlens.sources.pages import extract_products
+from offerlens.sources.anchors import anchors
 from offerlens.sources.result_pages import hrefs, page_links
 from offerlens.sources.shop_fields import FIELD_TABLES
 
@@ -85,7 +88,44 @@ def test_links_of_result_pages(spark, evaluate):
         '<a href="/first/dp/B000000001?a=1&amp;b=2">x</a><A class=q HREF=\'/gp/product/B000000002\'>y</A><!-- <a href="/dp/B000000003">no</a> -->'
         '<script>var a = \'<a href="/dp/B000000004">\';</script><a data-x="1" href=/dp/B000000005>z</a><a name="top">t</a><abbr href="/dp/B000000006">'
     )
-    assert evaluate(hrefs, [html, None, ""]) == [["/first/dp/B000000001?a=1&b=2", "/gp/product/B000000002", "/dp/B000000005"], [], []]
+    assert [list(anchors(h)) for h in (html, None, "")] == [["/first/dp/B000000001?a=1&b=2", "/gp/product/B000000002", "/dp/B000000005"], [], []]
     pages = spark.createDataFrame([(1, "amazon", 0, 1, html + '<a href="/help">h</a>'), (1, "takealot", 0, 1, html), (1, "amazon", 0, 2, None)], "run_id int, store_id string, query_idx int, page_num int, html string")
     rows = page_links(pages).orderBy("pos").collect()
     assert [(r.store_id, r.pos) for r in rows] == [("amazon", 0), ("amazon", 1), ("amazon", 2)]
+
+
+@pytest.mark.parametrize(
+    ("html", "found"),
+    [
+        ("<a title='a>b' href='/1'>", ["/1"]),
+        ("<a class='x'href='/1'>", ["/1"]),
+        ("<a href='/1?a&#61;2&nbsp;'>", ["/1?a=2\u00a0"]),
+        ("<a href=/1?a=1&copy=2&amp;b=3&lt>", ["/1?a=1&copy=2&b=3<"]),
+        ("<a\thref = \"/1\"/><a/href=/2><A HREF=/3>", ["/1", "/2", "/3"]),
+        ("<a href='/1' href='/2'><a data-href='/3'><a name=x><abbr href='/4'><a href><a href=''>", ["/1", "", ""]),
+        ("<a =href=/0 href=/1>", ["/1"]),
+        ("<img alt='<a href=/0>'><a href=/1>", ["/1"]),
+        ("<!-- <a href=/0> --><!--><a href=/1><!---><a href=/2><!-- --!><a href=/3><!-- <a href=/0>", ["/1", "/2", "/3"]),
+        ("<!doctype html><?x <a href=/0><a href=/1></a href=/0><a href=/2", ["/1"]),
+        ("<script>'<a href=/0>'</scripty></SCRIPT ><a href=/1><style><a href=/0>", ["/1"]),
+        ("<a href=' /1\n/2 '><a href='/3", ["/1/2"]),
+        ("a < b <a href=/1> <3 <> <a href=\"/2'>x</a><a href='/0'>\">", ["/1", "/2'>x</a><a href='/0'>"]),
+        ("<plaintext><a href=/0>", []),
+    ],
+)
+def test_anchor_forms(html, found):
+    assert list(anchors(html)) == found
+
+
+def test_anchor_scan_is_linear():
+    start = time.time()
+    for piece in ("<a ", "<a href='", "<", "<!--", "<script>", "<a x=", "&amp", "<a href=/1>", "<a " + "x " * 50):
+        sum(1 for _ in anchors(piece * 200_000))
+        sum(1 for _ in anchors("<a href='" + piece * 200_000))
+    assert time.time() - start < 60
+
+
+def test_hrefs_keep_other_columns(spark):
+    pages = spark.createDataFrame([(1, None, "k"), (2, "<a href=/1><a href=/2>", None)], "id int, html string, note string")
+    assert sorted(map(tuple, hrefs(pages).collect())) == [(1, "k", []), (2, None, ["/1", "/2"])]
+    assert hrefs(pages.limit(0)).count() == 0
