@@ -119,24 +119,31 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def sample(labelled: DataFrame, rows_per_lang: int, max_langs: int) -> DataFrame:
-    """About ``rows_per_lang`` rows of each of the ``max_langs`` most frequent languages, chosen by a hash of the id."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+def sample(labelled: DataFrame, rows_per_lang: int, rows: int) -> DataFrame:
+    """About ``rows_per_lang`` rows of each language, fewer of each where that makes more than ``rows`` in all, one at least.
+
+    Rows are chosen by a hash of the id; the row of the least hash that has a letter always belongs to them.
+    """
+    unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    least = F.min(F.when(F.col("text").rlike(r"\p{L}"), unit))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), least.alias("least")).orderBy("lang").collect()  # a row for each language
     if not sizes:
         return labelled.limit(0)
-    # The shares are a literal: a join would bring all texts of a language to one task.
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, rows_per_lang / r.n))])
-    unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.where(unit < share[F.col("lang")])
+    each = min(rows_per_lang, max(1, rows // len(sizes)))
+    # The bounds are a literal: a join would bring all texts of a language to one task.
+    bound = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, max(min(1.0, each / r.n), (r.least or 0.0) + 2.0**-31))])
+    return labelled.where(unit < bound[F.col("lang")])
 
 
 def train(
-    docs: DataFrame, rows_per_lang: int = 400, max_langs: int = 1000, text_col: str = "text", lang_col: str = "lang",
+    docs: DataFrame, rows_per_lang: int = 400, rows: int = 20_000, text_col: str = "text", lang_col: str = "lang",
     id_col: str = "doc_id",
 ) -> Model:
     """Fit on rows that aren't held out, with a language and a letter; every fifth of them sets the temperature.
 
-    ``rows_per_lang`` and ``max_langs`` bound the sample. Rows come to the driver as sparse counts of 2**14 features at most.
+    ``rows_per_lang`` and ``rows`` bound the sample; every language that has a labelled row with a letter is in it. Rows come to the
+    driver as packed sparse counts of 2**14 features at most, 12 bytes each. The model holds 2**14 weights for each language.
+    Repeated rows count as often as they occur.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold(F.col("id")) != 0, F.lit(False))
@@ -149,28 +156,29 @@ def train(
                 if has_letter(text):
                     n = counts(text)
                     at = np.flatnonzero(n)
-                    for column, value in zip(columns, (str(doc), lang, at.astype(np.int32).tolist(), n[at].tolist())):
+                    for column, value in zip(columns, (str(doc), lang, at.astype(np.int32).tobytes(), n[at].astype(np.int64).tobytes())):
                         column.append(value)
             yield columns
 
-    found = map_rows(sample(labelled, rows_per_lang, max_langs), counted, "id string, lang string, at array<int>, n array<bigint>")
-    rows = sorted(found.collect(), key=lambda r: (r.id, r.lang, r.at, r.n))
-    langs = sorted({r.lang for r in rows})
+    found = map_rows(sample(labelled, rows_per_lang, rows), counted, "id string, lang string, at binary, n binary")
+    found = sorted(found.collect(), key=lambda r: (r.id, r.lang, bytes(r.at), bytes(r.n)))
+    langs = sorted({r.lang for r in found})
     if not langs:
         return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0))
     seen = np.zeros(1 << BITS)
-    for r in rows:
-        seen[r.at] += 1
-    model = Model(langs, np.log((1 + len(rows)) / (1 + seen)) + 1, np.zeros((1 << BITS, len(langs))), np.zeros(len(langs)))
+    for r in found:
+        seen[np.frombuffer(r.at, np.int32)] += 1
+    model = Model(langs, np.log((1 + len(found)) / (1 + seen)) + 1, np.zeros((1 << BITS, len(langs))), np.zeros(len(langs)))
 
     def scaled(r) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(r.at)
-        v = (1 + np.log(np.array(r.n))) * model.idf[at]
+        at = np.frombuffer(r.at, np.int32)
+        v = (1 + np.log(np.frombuffer(r.n, np.int64))) * model.idf[at]
         return at, v / np.linalg.norm(v)
 
-    vectors = [scaled(r) for r in rows]
-    labels = np.array([langs.index(r.lang) for r in rows])
-    apart = np.arange(len(rows)) % 5 == 4
+    number = {lang: i for i, lang in enumerate(langs)}
+    vectors = [scaled(r) for r in found]
+    labels = np.array([number[r.lang] for r in found])
+    apart = np.arange(len(found)) % 5 == 4
     chosen = np.flatnonzero(~apart)
     model.weights, model.bias = ftrl([vectors[i] for i in chosen], labels[chosen], len(langs))
     if apart.any():

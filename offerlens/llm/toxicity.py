@@ -148,8 +148,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def learn_lexicon(sums: DataFrame, bad: int, good: int, min_docs: int = 3, size: int = 2000) -> Lexicon:
-    """``(term, n, k)`` -> terms that go with label 1, by the likelihood ratio; ``size`` terms at most."""
+def learn_lexicon(sums: DataFrame, bad: int, good: int, min_docs: int = 3) -> Lexicon:
+    """``(term, n, k)`` -> all terms that go with label 1, by the likelihood ratio; the training sample bounds their number."""
     if not bad or not good:
         return Lexicon({})
     odds = F.log((F.col("k") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("k") + 0.5) / (good + 1.0))
@@ -157,7 +157,7 @@ def learn_lexicon(sums: DataFrame, bad: int, good: int, min_docs: int = 3, size:
     base = bad / (bad + good)
     ratio = 2 * (part(F.col("k"), F.col("n") * base) + part(F.col("n") - F.col("k"), F.col("n") * (1 - base)))
     best = sums.where((F.col("k") >= min_docs) & (F.col("k") > 0.5 * F.col("n"))).select("term", odds.alias("odds"), ratio.alias("ratio"))
-    chosen = best.where("odds > 1 and ratio > 11").orderBy(F.desc("ratio"), "term").limit(size).collect()
+    chosen = best.where("odds > 1 and ratio > 11").collect()
     return Lexicon({bytes(r.term): float(r.odds) for r in chosen})
 
 

@@ -66,3 +66,71 @@ def test_penalty_and_temperature():
     assert (logits.argmax(axis=1) == labels).mean() > 0.95
     noisy = np.where(rng.random(300) < 0.3, (labels + 1) % 3, labels)
     assert L.fit_temperature(logits, noisy) == pytest.approx(4 * L.fit_temperature(logits / 4, noisy), rel=0.2)
+
+
+def plain_counts(text):
+    """Hashed n-grams one by one: digits are one character, blanks another."""
+    low = "".join("0" if c in "0123456789" else " " if c in " \t\n\x0b\x0c\r" else c for c in text.lower())
+    out = {}
+    for n in L.ORDERS:
+        for i in range(len(low) - n + 1):
+            h = 0
+            for k, c in enumerate(low[i : i + n]):
+                h = (h * 0x01000193 + ord(c) + k + 1) % 2**32
+            at = (h * 0x9E3779B1) % 2**32 >> 32 - L.BITS
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_counts_against_single_grams():
+    rng = np.random.default_rng(2)
+    alphabet = list("abcXYZ éß😀0 9\n\t.") + ["\u2028"]
+    for n in (0, 1, 2, 3, 50, L.CHUNK - 1, L.CHUNK, L.CHUNK + 2, 2 * L.CHUNK + 1):
+        text = "".join(rng.choice(alphabet, n))
+        total = L.counts(text)
+        assert {int(i): int(total[i]) for i in np.flatnonzero(total)} == plain_counts(text)
+
+
+def test_training_against_plain_arithmetic():
+    """Follow-the-regularised-leader and the score, one weight at a time."""
+    rng = np.random.default_rng(3)
+    rows, labels, classes = [], [], 3
+    for i in range(40):
+        at = np.unique(rng.integers(0, 30, 6))
+        rows.append((at, rng.random(len(at))))
+        labels.append(int(rng.integers(0, classes)))
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = {}, {}
+
+    def weight(key, l1, l2):
+        if abs(z.get(key, 0.0)) <= l1:
+            return 0.0
+        return -(z[key] - np.sign(z[key]) * l1) / ((beta + np.sqrt(n[key])) / alpha + l2)
+
+    def score(at, v):
+        raw = [sum(x * weight((f, k), l1, l2) for f, x in zip(at.tolist(), v)) + weight(("bias", k), 0.0, 0.0) for k in range(classes)]
+        e = np.exp(np.array(raw) - max(raw))
+        return e / e.sum()
+
+    order = np.random.default_rng(0)
+    for _ in range(4):
+        for i in order.permutation(len(rows)):
+            at, v = rows[i]
+            p = score(at, v)
+            step = {("bias", k): (p[k] - (k == labels[i]), 0.0, 0.0) for k in range(classes)}
+            step |= {(f, k): (x * (p[k] - (k == labels[i])), l1, l2) for f, x in zip(at.tolist(), v) for k in range(classes)}
+            moves = {key: (g, (np.sqrt(n.get(key, 0.0) + g * g) - np.sqrt(n.get(key, 0.0))) / alpha * weight(key, a, b)) for key, (g, a, b) in step.items()}
+            for key, (g, shift) in moves.items():
+                z[key] = z.get(key, 0.0) + g - shift
+                n[key] = n.get(key, 0.0) + g * g
+    weights, bias = L.ftrl(rows, np.array(labels), classes)
+    for f in range(30):
+        assert weights[f] == pytest.approx([weight((f, k), l1, l2) for k in range(classes)], abs=1e-9)
+    assert bias == pytest.approx([weight(("bias", k), 0.0, 0.0) for k in range(classes)], abs=1e-9)
+
+
+def test_every_language_stays_in_a_bounded_sample(spark):
+    """More languages than the sample has rows for: each still has one."""
+    rows = [(1000 * k + i, f"w{chr(97 + k % 26)}{k}x " * 3 if i % 3 else "12", f"l{k:03d}", "s") for k in range(120) for i in range(9)]
+    model = L.train(spark.createDataFrame(rows + rows[:20], DOCS), rows=60)
+    assert model.langs == [f"l{k:03d}" for k in range(120)]
