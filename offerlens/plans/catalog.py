@@ -795,6 +795,26 @@ def watch_stream(spark, sf):
     return spark.read.parquet(out).select("product_id", "title", "price", "url")
 
 
+@query
+def watch_saved_again(spark, sf):
+    """Lists of page URLs in folders; two are saved again between polls, with other pages, and drop their old products."""
+    pages = A.shop_pages(spark, sf)
+    folder, out = new_path(spark, "lists"), new_path(spark, "polls")
+    number = F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint") % 40
+    listed = pages.select("url", F.floor(number / 10).alias("list"), (number % 10).alias("part"))
+    save = lambda rows, mode: rows.select("list", F.col("url").alias("value")).write.mode(mode).partitionBy("list").text(folder)
+    store = page_store(pages, StoreRegistry(), buckets=64)
+    name = F.regexp_extract("path", "/list=([0-9]+)/", 1)
+    save(listed.where("part < 6"), "append")
+    W.poll_lists(spark, folder, store, out, 0, name)
+    again = listed.where("list in (1, 2) and part >= 3")
+    for n in (1, 2):
+        again.where(F.col("list") == n).select(F.col("url").alias("value")).write.mode("overwrite").text(f"{folder}/list={n}")
+    W.poll_lists(spark, folder, store, out, 1, name)
+    W.poll_lists(spark, folder, store, out, 2, name)
+    return W.latest_products(spark, out).select("list", "product_id", "title", "price", "url")
+
+
 @query
 def stream_dedupe(spark, sf):
     """Inputs that arrive in several files, each product once over the whole stream."""

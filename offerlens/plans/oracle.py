@@ -766,6 +766,9 @@ ORACLES["watch_stream"] = f"""select case when p_partkey % 2 = 0 then lpad(cast(
     lpad(cast(cast(round(p_retailprice * 100) as bigint) % 100 as varchar), 2, '0')) end as price,
   case when p_partkey % 2 = 0 then concat('https://www.amazon.co.za/dp/', lpad(cast(p_partkey as varchar), 10, '0'))
     else concat('https://www.takealot.com/x/PLID', cast(p_partkey as varchar)) end as url from part"""
+ORACLES["watch_saved_again"] = ORACLES["watch_stream"].replace("select ", "select cast(p_partkey % 40 // 10 as varchar) as list, ", 1) + (
+    " where case when p_partkey % 40 // 10 in (1, 2) then p_partkey % 10 >= 3 else p_partkey % 10 < 6 end"
+)
 ORACLES["stream_dedupe"] = offers(
     "select store_id, product_id as unique_key from offers"
 )

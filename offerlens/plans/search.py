@@ -55,16 +55,17 @@ def direct_run(
     compat_key: bool = False,
     low: float | None = None,
     high: float | None = None,
+    scope: tuple[str, ...] = (),
 ) -> DataFrame:
     """Given URLs and identifiers ``(input, …)`` -> one product per distinct input.
 
     Inputs that no page can be named for are those of :func:`direct_rejects`; inputs of unknown shops aren't, if ``unknown`` names the store whose rules they get.
     ``compat_key`` takes the identifier rules of all stores in turn for de-duplication. Price bounds are
-    off unless given.
+    off unless given. ``scope`` names columns of the inputs within which repeats are dropped, such as the list they are from.
     """
     registry = registry or StoreRegistry()
     df = addressed(inputs, registry, unknown).where("reason is null").drop("reason")
-    df = dedupe_inputs(df, order, store_id=None if compat_key else "store_id", registry=registry)
+    df = dedupe_inputs(df, order, store_id=None if compat_key else "store_id", scope=scope, registry=registry)
     found = lookup_products(df, pages, registry)
     return df.join(found, ["url", "store_id"]).where(in_price_range(F.col("price_numeric"), low, high))
 

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,53 @@ def test_watch(spark, tmp_path):
     assert sorted(r.url for r in rows) == sorted(urls) and all(r.price.startswith("R") for r in rows)
 
 
+def test_a_list_saved_again_replaces_its_products(spark, tmp_path):
+    pages = A.shop_pages(spark, TINY)
+    urls = [r.url for r in pages.where("url like '%PLID%'").orderBy("url").limit(4).collect()]
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+
+    def save(name, lines, at):
+        (folder / name).write_text("\n".join(lines))
+        os.utime(folder / name, (at, at))
+
+    def poll(n):
+        W.poll_lists(spark, str(folder), pages, out, n)
+        rows = W.latest_products(spark, out).collect()
+        return sorted((r.list.rsplit("/", 1)[1], urls.index(r.url)) for r in rows)
+
+    save("a.txt", [urls[0], urls[1] + "?x=1", urls[1], " "], 1000)
+    save("b.txt", [urls[0]], 1000)
+    assert poll(0) == [("a.txt", 0), ("a.txt", 1), ("b.txt", 0)]
+    save("a.txt", [urls[1], urls[2]], 2000)
+    assert poll(1) == [("a.txt", 1), ("a.txt", 2), ("b.txt", 0)]
+    assert poll(1) == [("a.txt", 1), ("a.txt", 2), ("b.txt", 0)]  # a repeated poll replaces itself
+    save("b.txt", ["no product here"], 3000)
+    assert poll(2) == [("a.txt", 1), ("a.txt", 2)]
+    assert poll(3) == [("a.txt", 1), ("a.txt", 2)]
+    assert spark.read.parquet(f"{out}/products/batch_id=3").count() == 0  # nothing is read again
+    save("c.txt", [urls[3]], 4000)
+    assert poll(4) == [("a.txt", 1), ("a.txt", 2), ("c.txt", 3)]
+
+
+def test_lists_are_watched(spark, tmp_path):
+    pages = A.shop_pages(spark, TINY)
+    url = pages.where("url like '%PLID%'").first().url
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(url)
+    out = str(tmp_path / "out")
+    query = W.watch_lists(spark, str(tmp_path / "in"), pages, out, str(tmp_path / "state"), interval="1 second")
+    try:
+        for _ in range(120):
+            if (query.lastProgress or {"batchId": -1})["batchId"] >= 1 or query.exception():
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert query.exception() is None
+    assert [r.url for r in W.latest_products(spark, out).collect()] == [url]
+
+
 def test_stream_dedupe(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
