@@ -9,43 +9,68 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerlens.operators.filters import in_price_range
 from offerlens.operators.ranking import keep_first, spread, top_k
+from offerlens.operators.routing import StoreRegistry
 from offerlens.sources.candidates import GROUP, NO_CAPS, RANK, Caps, first_links
 from offerlens.storage import stored
 
-# Order in which stores are filled.
-STORE_ORDER = {"amazon": 0, "takealot": 1}
-# The store that leaves products already taken out of a term's list before it looks for the list's end.
-HIDES_USED = "amazon"
+# Fixed value: the shops that the mode ``both`` stands for.
+BOTH = ["amazon", "takealot"]
 # Search terms worked off in one plan; then the rows are stored, as the plan grows with each.
 TERMS_PER_PLAN = 4
 
 
-def store_targets(runs: DataFrame) -> DataFrame:
+def hides_used(registry: StoreRegistry) -> Column:
+    """Whether a row's store leaves products already taken out of a term's list before it looks for the list's end."""
+    return F.col("store_id").isin([p.store_id for p in registry.plugins() if p.hides_used])
+
+
+def _asked(registry: StoreRegistry) -> Column:
+    """The shops that a run's ``source`` names, as lower-case ids."""
+    named = F.transform(F.split(F.lower("source"), ","), lambda s: F.trim(s))
+    both, every = ([F.lit(s.lower()) for s in ids] for ids in (BOTH, registry.store_ids()))
+    return F.when(F.lower("source") == "both", F.array(*both)).when(F.lower("source") == "all", F.array(*every)).otherwise(named)
+
+
+def store_targets(runs: DataFrame, registry: StoreRegistry | None = None) -> DataFrame:
     """Runs -> one row per (run, store) with the number of results wanted from the store.
 
-    Mode ``both`` gives the first store half of the limit (rounded down) and the second the rest; a
-    single-store mode gives that store the whole limit. Stores without a share have no row.
+    A run's ``source`` names shops: one or, between commas, several; ``both`` the two shops known from the start, ``all``
+    every shop of the registry. The limit is split evenly in the registry's order: up to its n-th of k shops a run takes
+    n k-ths of the limit, rounded down, so of two shops the second gets what the first leaves. Shops without a share have no
+    row; names of no shop are those of :func:`run_rejects`, and the other shops share the limit.
     """
-    mode, limit = F.lower(F.col("source")), F.col("limit")
-    half = F.floor(limit / 2).cast("int")
-    amazon = F.when(mode == "both", half).when(mode == "amazon", limit)
-    takealot = F.when(mode == "both", limit - half).when(mode == "takealot", limit)
-    shares = F.array(
-        F.struct(F.lit("amazon").alias("store_id"), amazon.cast("int").alias("target")),
-        F.struct(F.lit("takealot").alias("store_id"), takealot.cast("int").alias("target")),
-    )
+    registry = registry or StoreRegistry()
+    shops = F.filter(F.array(*[F.lit(s) for s in registry.store_ids()]), lambda s: F.array_contains("_asked", F.lower(s)))
     rest = [c for c in runs.columns if c not in ("limit", "source")]
-    return runs.select(*rest, F.explode(shares).alias("s")).select(*rest, "s.store_id", "s.target").where("target > 0")
+    placed = runs.withColumn("_asked", _asked(registry)).withColumn("_shops", shops)
+    split = placed.select(*rest, "limit", F.size("_shops").alias("_k"), F.posexplode("_shops").alias("_n", "store_id"))
+    upto = lambda n: F.floor(F.col("limit").cast("bigint") * n / F.col("_k"))
+    target = (upto(F.col("_n") + 1) - upto(F.col("_n"))).cast("int")
+    return split.select(*rest, "store_id", target.alias("target")).where("target > 0")
+
+
+def run_rejects(runs: DataFrame, registry: StoreRegistry | None = None) -> DataFrame:
+    """The shops that runs ask for and the registry doesn't know: ``runs`` with ``shop`` and ``reason``, one row for each.
+
+    A run without any shop's name has one row with a null ``shop``.
+    """
+    registry = registry or StoreRegistry()
+    known = F.array(*[F.lit(s.lower()) for s in registry.store_ids()])
+    lost = F.array_except(_asked(registry), known)
+    shop = F.explode(F.coalesce(lost, F.array(F.lit(None).cast("string"))))
+    return runs.select("*", shop.alias("shop")).withColumn("reason", F.lit("unknown shop"))
 
 
-def candidate_prefix(links: DataFrame, targets: DataFrame, caps: Caps = NO_CAPS) -> DataFrame:
+def candidate_prefix(
+    links: DataFrame, targets: DataFrame, caps: Caps = NO_CAPS, registry: StoreRegistry | None = None
+) -> DataFrame:
     """The links that an allocation can possibly look at, with their run's ``target``.
 
     Without a cap on candidates, all links of the runs' terms. With one, a query sees at most ``cap`` links, besides those of up to ``target`` products that earlier queries
     took; anything behind the first ``cap + target`` products is out of reach whatever the earlier
     queries do. The size of the result is bounded by the limits of the runs, not by the links.
     """
-    wanted = first_links(links, caps).join(targets, ["run_id", "store_id"]).where("query_idx < n_queries")
+    wanted = first_links(links, caps, registry).join(targets, ["run_id", "store_id"]).where("query_idx < n_queries")
     if caps.min_candidates is None:
         return wanted
     reach = F.greatest(F.col("target") * 4, F.lit(caps.min_candidates)) + F.col("target")
@@ -65,20 +90,21 @@ def with_eligibility(candidates: DataFrame, products: DataFrame) -> DataFrame:
     return candidates.join(products, ["store_id", "url"], "left").withColumn("eligible", ok)
 
 
-def within_reach(candidates: DataFrame) -> DataFrame:
+def within_reach(candidates: DataFrame, registry: StoreRegistry | None = None) -> DataFrame:
     """What decides an allocation without caps: of each run and store, rows bounded by targets and terms, not by links.
 
     * Of each term, the first ``target`` eligible products, each at its first eligible link. Whatever earlier terms took, they
       took ``t <= target`` products, so among these are the first ``target - t`` that are left: enough for the term's
       quota and, later, for the rollover.
     * The number of the term's pages before the first that is missing.
-    * ``thin`` rows: the first store's list ends at a page of which every product is taken. Only a product that is within
+    * ``thin`` rows: the list of a store with ``hides_used`` ends at a page of which every product is taken. Only a product that is within
       reach of an earlier term can be; pages made of such products alone are kept whole.
 
     No term's links meet in one task: first links are chosen by product, the prefix from salted parts, and pages are
     counted by partial aggregates. Columns: ``run_id, store_id, query_idx, page_num, pos, url, product_id, target, n_queries,
     thin, n_pages``.
     """
+    hides = hides_used(registry or StoreRegistry())
     columns = [*GROUP, *RANK, "url", "product_id", "target", "n_queries"]
     rows = stored(candidates.select(*columns, "eligible"), "candidates")
     order = [F.col(c) for c in RANK]
@@ -90,16 +116,16 @@ def within_reach(candidates: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*GROUP).orderBy("page_num"))
     unbroken = pages.withColumn("nth", nth).where("nth = page_num").groupBy(*GROUP).agg(F.max("page_num").alias("n_pages"))
 
-    taken_by = near.where(F.col("store_id") == HIDES_USED).groupBy("run_id", "store_id", "product_id").agg(F.min("query_idx").alias("since"))
+    taken_by = near.where(hides).groupBy("run_id", "store_id", "product_id").agg(F.min("query_idx").alias("since"))
     earlier = F.coalesce(F.col("since") < F.col("query_idx"), F.lit(False))
-    marked = rows.where(F.col("store_id") == HIDES_USED).join(taken_by, ["run_id", "store_id", "product_id"], "left").withColumn("earlier", earlier)
+    marked = rows.where(hides).join(taken_by, ["run_id", "store_id", "product_id"], "left").withColumn("earlier", earlier)
     dry = marked.groupBy(*page).agg(F.bool_and("earlier").alias("all")).where("all").select(*page)
     thin = marked.where("earlier").join(dry, page, "left_semi").select(*columns)
     both = near.withColumn("thin", F.lit(False)).unionByName(thin.withColumn("thin", F.lit(True)))
     return both.join(unbroken, GROUP)
 
 
-def allocate_all(candidates: DataFrame) -> DataFrame:
+def allocate_all(candidates: DataFrame, registry: StoreRegistry | None = None) -> DataFrame:
     """:func:`allocate` without caps, in one pass over what is :func:`within_reach`, however many terms there are.
 
     How much a term may take depends on what earlier terms took, so a run and store is worked off by one task, its rows
@@ -143,14 +169,16 @@ def allocate_all(candidates: DataFrame) -> DataFrame:
         if group:
             yield pd.DataFrame(pick(*group, terms, *size), columns=written, dtype=object)
 
-    rows = within_reach(candidates)
+    rows = within_reach(candidates, registry)
     ordered = rows.repartition(spread(rows), *keys).sortWithinPartitions(*keys, "query_idx", *RANK, "url").select(*read)
     types = {f.name: f.dataType.simpleString() for f in rows.schema} | {"pass_no": "int"}
     picked = ordered.mapInPandas(fold, ", ".join(f"{c} {types[c]}" for c in written))
-    return in_result_order(candidates.join(picked, [*GROUP, "url"]))
+    return in_result_order(candidates.join(picked, [*GROUP, "url"]), registry)
 
 
-def allocate(candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS) -> DataFrame:
+def allocate(
+    candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS, registry: StoreRegistry | None = None
+) -> DataFrame:
     """Accepted candidates with ``pass_no`` (1 quota, 2 rollover) and ``accept_idx`` per run.
 
     Without a cap on candidates, see :func:`allocate_all`.
@@ -164,7 +192,8 @@ def allocate(candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS) -> Dat
     full width, as the rows are few but sorted many times.
     """
     if caps.min_candidates is None:
-        return allocate_all(candidates)
+        return allocate_all(candidates, registry)
+    candidates = candidates.withColumn("_hides", hides_used(registry or StoreRegistry()))
     rank = ", ".join(RANK)
     group = "partition by run_id, store_id"
     df = candidates.repartition(spread(candidates), "run_id", "store_id").selectExpr(
@@ -181,11 +210,11 @@ def allocate(candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS) -> Dat
             f"count(pass_no) over ({group}, product_id) > 0 as _used",
         )
         missing, left = "greatest(target - _taken, 0)", f"greatest(n_queries - {q}, 1)"
-        # The first store hides used products before it counts pages and links, the second afterwards.
+        # Some stores hide used products before they count pages and links, the others afterwards.
         df = df.selectExpr(
             "*",
             f"({missing} + {left} - 1) div {left} as _quota",
-            f"query_idx = {q} and not (store_id = 'amazon' and _used) as _seen",
+            f"query_idx = {q} and not (_hides and _used) as _seen",
         )
         df = df.selectExpr(
             "*", f"_seen and dense_rank() over ({group}, _seen order by page_num) = page_num as _live"
@@ -215,24 +244,22 @@ def allocate(candidates: DataFrame, n_queries: int, caps: Caps = NO_CAPS) -> Dat
         "*", f"_open and row_number() over ({group}, _open order by query_idx, {rank}) <= _missing as _fill"
     )
     accepted = df.selectExpr(
-        *["if(_fill, 2, pass_no) as pass_no" if c == "pass_no" else f"`{c}`" for c in kept if c != "in_list"]
+        *["if(_fill, 2, pass_no) as pass_no" if c == "pass_no" else f"`{c}`" for c in kept if c not in ("in_list", "_hides")]
     ).where("pass_no is not null")
-    return in_result_order(accepted)
+    return in_result_order(accepted, registry)
 
 
-def in_result_order(accepted: DataFrame) -> DataFrame:
-    """Number the accepted rows of a run: by store, then quota before rollover, then query and rank."""
-    store = F.lit(len(STORE_ORDER))
-    for name, place in STORE_ORDER.items():
-        store = F.when(F.col("store_id") == name, F.lit(place)).otherwise(store)
-    w = Window.partitionBy("run_id").orderBy(store, "pass_no", "query_idx", *RANK)
+def in_result_order(accepted: DataFrame, registry: StoreRegistry | None = None) -> DataFrame:
+    """Number the accepted rows of a run: by store in the registry's order, then quota before rollover, then query and rank."""
+    stores = F.array(*[F.lit(s) for s in (registry or StoreRegistry()).store_ids()])
+    w = Window.partitionBy("run_id").orderBy(F.array_position(stores, F.col("store_id")), "pass_no", "query_idx", *RANK)
     return accepted.withColumn("accept_idx", F.row_number().over(w))
 
 
-def run_counts(accepted: DataFrame) -> DataFrame:
+def run_counts(accepted: DataFrame, registry: StoreRegistry | None = None) -> DataFrame:
     """Accepted products per run, in total and per store."""
     by_store = [
-        F.count(F.when(F.col("store_id") == s, F.lit(1))).alias(f"{s}_count") for s in STORE_ORDER
+        F.count(F.when(F.col("store_id") == s, F.lit(1))).alias(f"{s}_count") for s in (registry or StoreRegistry()).store_ids()
     ]
     return accepted.groupBy("run_id").agg(F.count("*").alias("total_products"), *by_store)
 

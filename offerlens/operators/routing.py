@@ -7,7 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from offerlens.functions.identity import clean_takealot_url, extract_asin, extract_plid, netloc, unwrap_amazon_url
+from offerlens.functions.identity import (
+    AMAZON_ZA,
+    TAKEALOT as TAKEALOT_HOME,
+    absolute,
+    clean_takealot_url,
+    extract_asin,
+    extract_plid,
+    netloc,
+    unwrap_amazon_url,
+)
 from offerlens.operators.filters import valid_amazon, valid_takealot
 
 
@@ -28,6 +37,10 @@ class StorePlugin:
     extraction job uses (see ``offerlens.sources.shop_fields``). ``canonical`` maps a URL column to the form under
     which all links to one page meet; without it, queries and fragments are cut. A shop whose pages no known table
     fits brings its own as ``fields`` (same shape as those of ``shop_fields``), which then stands for ``selectors``.
+
+    For search runs: ``product_link`` tells which links of a result page lead to products (without it, those with an
+    identifier), ``home`` stands before links without a host. ``keyed_by_url`` tells a term's products apart by URL
+    instead of identifier; ``hides_used`` leaves out products that earlier terms took before a list's end is looked for.
     """
 
     store_id: str
@@ -38,6 +51,17 @@ class StorePlugin:
     selectors: str = "amazon"
     canonical: Callable[[Column], Column] = _bare
     fields: dict | None = None
+    product_link: Callable[[Column], Column] | None = None
+    home: str = ""
+    keyed_by_url: bool = False
+    hides_used: bool = False
+
+    def is_product_link(self, href: Column) -> Column:
+        return self.product_link(href) if self.product_link else self.identifier(self.link_url(href)).isNotNull()
+
+    def link_url(self, href: Column) -> Column:
+        """Canonical URL of a link on one of the shop's result pages."""
+        return self.canonical(absolute(href, self.home))
 
     def table_name(self) -> str:
         return self.selectors if self.fields is None else f"own:{self.store_id}"
@@ -52,6 +76,10 @@ AMAZON = StorePlugin(
     lambda c: valid_amazon(c("title"), c("price"), c("specs"), c("bullet_points"), c("image_url")),
     "amazon",
     unwrap_amazon_url,
+    product_link=lambda href: href.contains("/dp/") | href.contains("/gp/product/"),
+    home=AMAZON_ZA,
+    keyed_by_url=True,
+    hides_used=True,
 )
 TAKEALOT = StorePlugin(
     "takealot",
@@ -61,6 +89,8 @@ TAKEALOT = StorePlugin(
     lambda c: valid_takealot(c("title"), c("price")),
     "takealot",
     clean_takealot_url,
+    product_link=lambda href: href.contains("/PLID"),
+    home=TAKEALOT_HOME,
 )
 
 
@@ -123,6 +153,13 @@ class StoreRegistry:
         """URL in the form of its own store; URLs of unknown stores stay as they are."""
         return F.coalesce(F.nullif(self._by_store(store_id, lambda p: p.canonical(url), "string"), F.lit("")), url)
 
+    def is_product_link(self, store_id: Column, href: Column) -> Column:
+        """Whether a link on a result page leads to a product; null for unknown stores."""
+        return self._by_store(store_id, lambda p: p.is_product_link(href), "boolean")
+
+    def link_url(self, store_id: Column, href: Column) -> Column:
+        return self._by_store(store_id, lambda p: p.link_url(href), "string")
+
     def is_valid(self, store_id: Column, skip: tuple[str, ...] = ()) -> Column:
         """Validity by the rule of each row's store; stores in ``skip`` are not tested."""
         rule = self._by_store(

@@ -29,10 +29,12 @@ def search_run(
     ``runs`` holds ``run_id, limit, source, min_price, max_price, n_queries``. Product facts come from
     ``products`` (store_id, url, …) or are extracted from ``pages``, and then only for links that some
     run can reach; of several facts about one product any one is taken. ``validate`` names the stores whose own
-    validity rule is applied. All terms of all runs are worked off; ``caps`` may limit what is looked at.
+    validity rule is applied. All terms of all runs are worked off; ``caps`` may limit what is looked at. Every shop of the
+    registry may have a share; see ``store_targets`` for how runs name shops, and ``run_rejects`` and ``link_rejects`` for what
+    can't be used.
     """
     registry = registry or StoreRegistry()
-    reachable = stored(candidate_prefix(links, store_targets(runs), caps), "reachable")
+    reachable = stored(candidate_prefix(links, store_targets(runs, registry), caps, registry), "reachable")
     n_queries = runs.agg(F.max("n_queries")).first()[0] or 0
     if products is None:
         products = stored(lookup_products(reachable, pages, registry), "products")
@@ -41,7 +43,7 @@ def search_run(
         products = stored(products.join(asked, ["store_id", "url"], "left_semi").dropDuplicates(["store_id", "url"]), "products")
     skip = tuple(s for s in registry.store_ids() if s not in validate)
     facts = products.withColumn("is_valid", registry.is_valid(F.col("store_id"), skip)).drop("product_id")
-    accepted = allocate(with_eligibility(reachable, facts.select("store_id", "url", "is_valid", "price_numeric")), n_queries, caps)
+    accepted = allocate(with_eligibility(reachable, facts.select("store_id", "url", "is_valid", "price_numeric")), n_queries, caps, registry)
     rest = [c for c in facts.columns if c not in accepted.columns]
     return accepted.join(facts.select("store_id", "url", *rest), ["store_id", "url"], "left")
 

@@ -10,15 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from offerlens.functions.identity import (
-    AMAZON_ZA,
-    absolute,
-    clean_takealot_url,
-    extract_asin,
-    extract_plid,
-    unwrap_amazon_url,
-)
 from offerlens.operators.ranking import keep_first, top_k
+from offerlens.operators.routing import StoreRegistry
 from offerlens.storage import stored
 
 
@@ -42,32 +35,41 @@ GROUP = ["run_id", "store_id", "query_idx"]
 RANK = ["page_num", "pos"]
 
 
-def is_product_link(store_id: Column, href: Column) -> Column:
-    amazon = href.contains("/dp/") | href.contains("/gp/product/")
-    return F.when(store_id == "amazon", amazon).otherwise(href.contains("/PLID"))
+def canonical_links(links: DataFrame, caps: Caps = NO_CAPS, registry: StoreRegistry | None = None) -> DataFrame:
+    """Links to products with canonical ``url`` and the ``product_id`` by which a store tells its products apart.
 
-
-def canonical_links(links: DataFrame, caps: Caps = NO_CAPS) -> DataFrame:
-    """Add canonical ``url`` and the ``product_id`` by which a store tells its products apart."""
+    Links of stores that the registry doesn't know are those of :func:`link_rejects`.
+    """
+    registry = registry or StoreRegistry()
     store, href = F.col("store_id"), F.col("href")
     read = F.lit(True)
     for shop, pages in caps.max_pages:
         read = read & ((store != shop) | (F.col("page_num") <= pages))
-    url = F.when(store == "amazon", unwrap_amazon_url(absolute(href, AMAZON_ZA))).otherwise(clean_takealot_url(href))
-    out = links.where(read & is_product_link(store, href)).withColumn("url", url)
-    key = F.when(store == "amazon", extract_asin(F.col("url"))).otherwise(extract_plid(F.col("url")))
-    return out.withColumn("product_id", F.coalesce(key, F.col("url")))
+    out = links.where(read & registry.is_product_link(store, href)).withColumn("url", registry.link_url(store, href))
+    return out.withColumn("product_id", F.coalesce(registry.identifier(store, F.col("url")), F.col("url")))
+
+
+def link_rejects(links: DataFrame, registry: StoreRegistry | None = None) -> DataFrame:
+    """The links that no search run can use, with the ``reason``: an unknown shop, or no product behind the link."""
+    registry = registry or StoreRegistry()
+    store = F.col("store_id")
+    known = F.coalesce(store.isin(registry.store_ids()), F.lit(False))
+    product = F.coalesce(registry.is_product_link(store, F.col("href")), F.lit(False))
+    reason = F.when(~known, "unknown shop").when(~product, "no product")
+    return links.withColumn("reason", reason).where("reason is not null")
 
 
-def first_links(links: DataFrame, caps: Caps = NO_CAPS) -> DataFrame:
+def first_links(links: DataFrame, caps: Caps = NO_CAPS, registry: StoreRegistry | None = None) -> DataFrame:
     """Each product once per (run, store, query), at its first position.
 
     The shops' own rules differ in name only: one compares URLs, the other identifiers; the canonical
     URL of the former is made from the identifier and the host, so both are kept in the key.
     """
-    key = F.when(F.col("store_id") == "amazon", F.col("url")).otherwise(F.col("product_id"))
+    registry = registry or StoreRegistry()
+    by_url = [p.store_id for p in registry.plugins() if p.keyed_by_url]
+    key = F.when(F.col("store_id").isin(by_url), F.col("url")).otherwise(F.col("product_id"))
     order = [F.col(c) for c in RANK]
-    first = keep_first(canonical_links(links, caps).withColumn("_key", key), [*GROUP, "_key"], order)
+    first = keep_first(canonical_links(links, caps, registry).withColumn("_key", key), [*GROUP, "_key"], order)
     return first.where("url <> ''").drop("_key")
 
 
@@ -85,11 +87,11 @@ def before_dry_page(first: DataFrame) -> DataFrame:
     return first.join(live, [*GROUP, "page_num"], "left_semi")
 
 
-def result_links(links: DataFrame, target_count: Column, caps: Caps = NO_CAPS) -> DataFrame:
+def result_links(links: DataFrame, target_count: Column, caps: Caps = NO_CAPS, registry: StoreRegistry | None = None) -> DataFrame:
     """Candidate list per (run, store, query): new links in page order up to a count.
 
     Adds ``rank`` (1-based). ``target_count`` is a column over the links.
     """
-    listed = before_dry_page(stored(first_links(links, caps), "links"))
+    listed = before_dry_page(stored(first_links(links, caps, registry), "links"))
     order = [F.col(c) for c in RANK]
     return top_k(listed, GROUP, order, target_count, ["product_id"]).withColumnRenamed("rn", "rank")

@@ -9,8 +9,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from offerlens.operators.routing import StoreRegistry
 from offerlens.sources import anchors as reader
-from offerlens.sources.candidates import is_product_link
 
 # The tokeniser travels with the job, so workers need no installed copy of the package.
 cloudpickle.register_pickle_by_value(reader)
@@ -31,12 +31,13 @@ def hrefs(pages: DataFrame, column: str = "html", out: str = "hrefs") -> DataFra
     return pages.select(*names, column).mapInArrow(run, schema)
 
 
-def page_links(pages: DataFrame) -> DataFrame:
+def page_links(pages: DataFrame, registry: StoreRegistry | None = None) -> DataFrame:
     """Pages ``(run_id, store_id, query_idx, page_num, html)`` -> links ``(…, pos, href)`` to products.
 
     ``pos`` counts all anchors of a page from 0. A page without a product link gives no row, which later ends its
-    term's list like a page that was never stored. Null pages have no links.
+    term's list like a page that was never stored. Null pages have no links, nor have pages of unknown stores.
     """
+    registry = registry or StoreRegistry()
     keys = ["run_id", "store_id", "query_idx", "page_num"]
     links = hrefs(pages.select(*keys, "html")).select(*keys, F.posexplode("hrefs").alias("pos", "href"))
-    return links.where(is_product_link(F.col("store_id"), F.col("href")))
+    return links.where(registry.is_product_link(F.col("store_id"), F.col("href")))

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.operators.allocate import allocate, candidate_prefix, store_targets, with_eligibility, within_reach
-from offerlens.sources.candidates import LIVE_CAPS, NO_CAPS, result_links
+from offerlens.operators.allocate import allocate, candidate_prefix, run_counts, run_rejects, store_targets, with_eligibility, within_reach
+from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegistry
+from offerlens.sources.candidates import LIVE_CAPS, NO_CAPS, first_links, link_rejects, result_links
 
 BASE = {"amazon": "https://www.amazon.co.za/dp/", "takealot": "https://www.takealot.com/x/"}
 HOSTS = ["https://www.amazon.co.za/dp/", "https://www.amazon.com/dp/"]
@@ -191,3 +192,39 @@ def test_result_links_match(spark):
     groups = sorted({x[:3] for x in links})
     found = {g: [r.url for r in rows if (r.run_id, r.store_id, r.query_idx) == g] for g in groups}
     assert found == {g: listing(links, *g, 20, set()) for g in groups}
+
+
+THIRD = StorePlugin("third", "Third", ("third.example",), lambda u: F.nullif(F.regexp_extract(u, r"/item/(\d+)", 1), F.lit("")), home="https://third.example")
+SHOPS = StoreRegistry((AMAZON, TAKEALOT, THIRD))
+
+
+def test_limits_are_split_over_the_shops_asked_for(spark):
+    asked = [(1, 11, "all"), (2, 11, "both"), (3, 5, " Third , amazon"), (4, 7, "third"), (5, 2, "all"), (6, 9, "nowhere"), (7, 9, None), (8, 4, "third,nowhere")]
+    r = spark.createDataFrame(asked, "run_id int, limit int, source string")
+    rows = sorted((x.run_id, x.store_id, x.target) for x in store_targets(r, SHOPS).collect())
+    assert rows == [
+        (1, "amazon", 3), (1, "takealot", 4), (1, "third", 4), (2, "amazon", 5), (2, "takealot", 6), (3, "amazon", 2), (3, "third", 3),
+        (4, "third", 7), (5, "takealot", 1), (5, "third", 1), (8, "third", 4),
+    ]
+    assert sorted((x.run_id, x.shop, x.reason) for x in run_rejects(r, SHOPS).collect()) == [
+        (6, "nowhere", "unknown shop"), (7, None, "unknown shop"), (8, "nowhere", "unknown shop"),
+    ]
+
+
+def test_a_third_shop_takes_part(spark):
+    """Its links are told by its identifiers and read under its address; those of shops nobody knows come back with a reason."""
+    links = [(1, "third", 0, 1, k, href) for k, href in enumerate(["/item/7?x=1", "/help", "https://third.example/item/7#top", "/item/8"])]
+    links += [(1, "amazon", 0, 1, 0, f"{BASE['amazon']}{1:010d}"), (1, "fourth", 0, 1, 0, "/item/9"), (1, None, 0, 1, 1, "/item/9")]
+    l = spark.createDataFrame(links, "run_id bigint, store_id string, query_idx int, page_num int, pos int, href string")
+    rows = first_links(l, registry=SHOPS).where("store_id = 'third'").orderBy("pos").collect()
+    assert [(x.pos, x.url, x.product_id) for x in rows] == [(0, "https://third.example/item/7", "7"), (3, "https://third.example/item/8", "8")]
+    lost = {(x.store_id, x.href): x.reason for x in link_rejects(l, SHOPS).collect()}
+    assert lost == {("third", "/help"): "no product", ("fourth", "/item/9"): "unknown shop", (None, "/item/9"): "unknown shop"}
+
+    r = spark.createDataFrame([(1, 3, "all", None, None, 1)], "run_id bigint, limit int, source string, min_price double, max_price double, n_queries int")
+    p = spark.createDataFrame([("third", x.url, True, 1.0) for x in rows] + [("amazon", links[4][5], True, 1.0)], "store_id string, url string, is_valid boolean, price_numeric double")
+    for caps in (NO_CAPS, LIVE_CAPS):
+        candidates = with_eligibility(candidate_prefix(l, store_targets(r, SHOPS), caps, SHOPS), p)
+        taken = allocate(candidates, 1, caps, SHOPS)
+        assert [(x.store_id, x.product_id) for x in taken.orderBy("accept_idx").collect()] == [("amazon", "0000000001"), ("third", "7")]
+        assert run_counts(taken, SHOPS).first().asDict() == {"run_id": 1, "total_products": 2, "amazon_count": 1, "takealot_count": 0, "third_count": 1}
