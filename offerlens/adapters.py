@@ -139,6 +139,31 @@ from named
 """
 
 
+#: Slugs of links and the start of the title they give.
+ESCAPED = [
+    ("caf%C3%A9-bar-", "Café Bar "),
+    ("a%zzb-", "A%Zzb "),
+    ("cut%4-", "Cut%4 "),
+    ("x%C3-y_", "X\ufffd Y "),
+    ("%E2%82%AC9-", "€9 "),
+    ("100%25-pure+", "100% Pure+"),
+    ("%41%zz%42-", "A%Zzb "),
+]
+
+#: Payloads and why they can't be read; ``@`` stands for the identifier.
+PAYLOADS = [
+    ('{"asin": "@", "title": "Good"}', None),
+    ('{"asin": "@", "title": "Cut', "no JSON"),
+    ("", "empty"),
+    ('["@"]', "no object"),
+    ('{"asin": "@", "specifications": "none"}', "specifications: no list"),
+    ('{"asin": "@", "title": "Nulls", "specifications": null, "buybox_winner": null}', None),
+    ('{"asin": "@", "buybox_winner": [1]}', "buybox_winner: no object"),
+    ('{"asin": "@", "title": "First", "title": "Twice"}', None),
+    ("null", "no object"),
+]
+
+
 def spark_sql(sql: str) -> str:
     sql = sql.replace("[[base36]]", "lpad(conv(cast(oid as string), 10, 36), 10, '0')")
     return re.sub(r"\[\[(.+?)\|(\d+)\]\]", r"((\1) div \2)", sql)
@@ -274,6 +299,35 @@ def part_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(pk.alias("pk"), pk.alias("sk"), F.when(even, "amazon").otherwise("takealot").alias("store_id"), href.alias("href"))
 
 
+#: Which of every five runs asks for which shops.
+SHOPS_ASKED = ["all", "both", "amazon, village", "Village", "takealot,nowhere"]
+
+
+def three_shop_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs, asking for one to three shops, some for one that nobody knows."""
+    asked = F.element_at(F.array(*[F.lit(s) for s in SHOPS_ASKED]), (F.col("run_id") % len(SHOPS_ASKED) + 1).cast("int"))
+    return runs(spark, sf_dir).withColumn("source", asked)
+
+
+def three_shop_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`part_listings`, of which every third is a third shop's."""
+    third = F.col("pk") % 3 == 0
+    href = F.concat(F.when(F.col("pk") % 2 == 0, "https://village.example").otherwise(""), F.lit("/item/"), F.col("pk").cast("string"), F.lit("?ref=s#top"))
+    df = part_listings(spark, sf_dir)
+    return df.withColumn("store_id", F.when(third, "village").otherwise(F.col("store_id"))).withColumn("href", F.when(third, href).otherwise(F.col("href")))
+
+
+def three_shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`shop_pages` and those of the third shop, of which every fiftieth isn't stored."""
+    n = F.col("p_partkey")
+    cents = F.expr("cast(round(p_retailprice * 100) as bigint)")
+    price = F.format_string("R%d.%02d", F.expr("cast(round(p_retailprice * 100) as bigint) div 100"), cents % 100)
+    html = F.concat(F.lit("<html><body><h1>Village "), F.col("p_name"), F.lit("</h1><span class='currency'>"), price, F.lit("</span></body></html>"))
+    url = F.concat(F.lit("https://village.example/item/"), n.cast("string"))
+    own = table(spark, sf_dir, "part").where((n % 3 == 0) & (n % 50 != 0)).select(url.alias("url"), html.alias("html"))
+    return shop_pages(spark, sf_dir).unionByName(own)
+
+
 def comparisons(offer_table: DataFrame) -> DataFrame:
     """Every part is one comparison set of the listings that sell it."""
     context = F.element_at(F.array(*[F.lit(c) for c in CONTEXTS]), (F.col("pk") % len(CONTEXTS) + 1).cast("int"))

@@ -95,14 +95,24 @@ def clicked_url(url: Column) -> Column:
     return let(url, clean)
 
 
+def percent_decode(c: Column) -> Column:
+    """Runs of whole ``%XX`` escapes as the UTF-8 text they stand for; anything else stays.
+
+    Bytes that are no UTF-8 become U+FFFD; a ``%`` without two hexadecimal digits and ``+`` stay as they are.
+    """
+    pieces = find_all(c, r"((?:%[0-9A-Fa-f]{2})+|%|[^%]+)")
+    read = lambda p: F.make_valid_utf8(F.unhex(F.replace(p, F.lit("%"), F.lit(""))).cast("string"))
+    text = F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("%") & (F.length(p) > 2), read(p)).otherwise(p)), "")
+    return F.when(c.contains("%"), text).otherwise(c)
+
+
 def title_from_url(url: Column) -> Column:
     """Readable title from the first path segment, '' if there is none worth showing."""
     path = F.regexp_replace(F.regexp_replace(url, _NETLOC, ""), r"[?#].*\z", "")
     slug = F.regexp_extract(path, r"\A/*([^/]*)", 1)
 
     def readable(s: Column) -> Column:
-        decoded = F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
-        title = title_case(F.translate(decoded, "-_", "  "))
+        title = title_case(F.translate(percent_decode(s), "-_", "  "))
         return F.when(~s.isin("", "dp", "gp"), let(title, lambda t: F.when(F.length(t) > 3, t)))
 
     return F.coalesce(let(slug, readable), F.lit(""))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerlens import adapters as A
 from offerlens.functions import identity as I, price as P
+from offerlens.functions.sql import register_functions
 from offerlens.functions.text import split_terms, strip_u
 from offerlens.operators import allocate as AL, classify as C, filters as FL, score as S, sections
 from offerlens.operators.ranking import keep_first, top_k
@@ -18,7 +19,7 @@ from offerlens.sinks import dataset as D
 from offerlens.sinks.markdown import markdown_lines
 from offerlens.sources import candidates as CA, urls as U
 from offerlens.sources.pages import extract_products, finish
-from offerlens.sources.payload import payload_products
+from offerlens.sources.payload import payload_products, payload_rejects as payload_rejects_of
 from offerlens.sources.result_pages import page_links
 from offerlens.storage import new_path, stored
 from offerlens.streaming import clicks, watch as W
@@ -30,6 +31,11 @@ EXAMPLE_STORES = [
     StorePlugin(f"example_{end}", f"Example {end}", (f"example.{end}",), lambda url: F.nullif(F.regexp_extract(url, r"/(\d+)", 1), F.lit("")))
     for end in ("com", "net", "org")
 ]
+#: A shop that takes part in search runs: its own link rule, address and identifiers; its pages fit a known table.
+VILLAGE = StorePlugin(
+    "village", "Village", ("village.example",), lambda url: F.nullif(F.regexp_extract(url, r"/item/(\d+)", 1), F.lit("")),
+    selectors="takealot", home="https://village.example",
+)
 SCANNED_AT = "2024-01-01 00:00:00"
 
 
@@ -160,6 +166,23 @@ def title_from_url(spark, sf):
     return A.offers(spark, sf).select("oid", I.title_from_url(I.absolute(F.col("href"), I.AMAZON_ZA)).alias("title"))
 
 
+@query
+def title_escapes(spark, sf):
+    """Titles from slugs with whole, bad and cut escapes, and with bytes that are no UTF-8."""
+    slug = F.element_at(F.array(*[F.lit(raw) for raw, _ in A.ESCAPED]), (F.col("pk") % len(A.ESCAPED) + 1).cast("int"))
+    url = F.concat(F.lit("https://www.amazon.com/"), slug, F.col("oid").cast("string"), F.lit("/dp/B0DLT1WSHY"))
+    return A.offers(spark, sf).select("oid", I.title_from_url(url).alias("title"))
+
+
+@query
+def sql_functions(spark, sf):
+    """Prices and identifiers by the functions that SQL text can call."""
+    register_functions(spark)
+    sql = """select oid, parse_price(price) as price_numeric, price_display(price) as price_display, extract_asin(href) as asin,
+      extract_plid(href) as plid from {offers}"""
+    return spark.sql(sql, offers=A.offers(spark, sf))
+
+
 @query
 def page_title_clean(spark, sf):
     ends = F.element_at(F.array(F.lit(" : Amazon.co.za: Garden"), F.lit(" | amazon.com"), F.lit(""), F.lit(" Robot Check")), (F.col("oid") % 4 + 1).cast("int"))
@@ -403,6 +426,36 @@ def search_pages(spark, sf):
     return accepted.select("run_id", "accept_idx", "store_id", "query_idx", "pass_no", "product_id", "title", "price")
 
 
+def _three_shops() -> StoreRegistry:
+    return StoreRegistry((AMAZON, TAKEALOT, VILLAGE))
+
+
+@query
+def three_shops(spark, sf):
+    """The whole path for three shops, the third one a plugin: result pages, links, product pages, filters, allocation."""
+    shops = _three_shops()
+    found = page_links(A.result_pages(A.links(A.three_shop_listings(spark, sf))), shops)
+    accepted = search_run(found, A.three_shop_runs(spark, sf), pages=A.three_shop_pages(spark, sf), registry=shops)
+    return accepted.select("run_id", "accept_idx", "store_id", "query_idx", "pass_no", "product_id", "title", "price")
+
+
+@query
+def three_shop_counts(spark, sf):
+    """How the runs' limits are split over three shops, and the shops asked for that nobody knows."""
+    asked = A.three_shop_runs(spark, sf)
+    given = AL.store_targets(asked, _three_shops()).select("run_id", "store_id", "target", F.lit(None).cast("string").alias("reason"))
+    lost = AL.run_rejects(asked, _three_shops()).select("run_id", F.col("shop").alias("store_id"), F.lit(None).cast("int").alias("target"), "reason")
+    return given.unionByName(lost)
+
+
+@query
+def link_rejects(spark, sf):
+    """Links of three shops that a search run of the first two can't use, with the reason; some lead to no product."""
+    found = A.links(A.three_shop_listings(spark, sf))
+    found = found.withColumn("href", F.when(F.col("pos") % 7 == 0, F.lit("/help")).otherwise(F.col("href")))
+    return CA.link_rejects(found).select("run_id", "store_id", "query_idx", "page_num", "pos", "reason")
+
+
 @query
 def quota_pass(spark, sf):
     return _search(spark, sf).where("pass_no = 1").select("run_id", "store_id", "query_idx", "product_id")
@@ -592,6 +645,16 @@ def api_payload(spark, sf):
     )
 
 
+@query
+def payload_rejects(spark, sf):
+    """Payloads of which most can't be read, in one way or another: the products that are left, and the reason of the others."""
+    payload = F.element_at(F.array(*[F.lit(text) for text, _ in A.PAYLOADS]), (F.col("pk") % len(A.PAYLOADS) + 1).cast("int"))
+    df = A.offers(spark, sf).select("url", F.replace(payload, F.lit("@"), F.col("product_id")).alias("payload"))
+    kept = finish(payload_products(df, skip_rejects=True)).select("url", "product_id", "title", F.lit(None).cast("string").alias("reason"))
+    lost = payload_rejects_of(df).select("url", F.lit(None).cast("string").alias("product_id"), F.lit(None).cast("string").alias("title"), "reason")
+    return kept.unionByName(lost)
+
+
 @query
 def page_extract(spark, sf):
     """Products of the shop pages of all parts."""
@@ -833,3 +896,31 @@ def stream_dedupe(spark, sf):
     q.awaitTermination()
     assert q.lastProgress["batchId"] >= 2
     return spark.read.schema("store_id string, unique_key string").parquet(out)
+
+
+@query
+def stream_dedupe_bounded(spark, sf):
+    """Inputs of four days, each seen twice a day, as four batches: what a day leaves behind is gone two days later.
+
+    A batch is compared with the state that the batch before left, so inputs of the second and fourth day are repeats; those of
+    the third count anew. The last two batches also bring inputs that are too late and are left out.
+    """
+    source, out, state = (new_path(spark, n) for n in ("inputs", "unique", "state"))
+    schema, sizes, late = "value string, at timestamp, day int", [], 0
+    rows = _inputs(spark, sf).select(F.col("input").alias("value"), "part", "oid")
+    at = lambda day: F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.lit(day), F.col("part"))
+    for day in range(4):
+        today = rows.select("value", at(day).alias("at"), F.lit(day).alias("day"))
+        old = rows.where("oid % 5 = 0").select("value", at(max(day - 2, 0)).alias("at"), F.lit(-1).alias("day"))
+        (today.unionByName(old) if day > 1 else today).write.mode("append").parquet(source)
+        inputs = W.clean_lines(spark.readStream.schema(schema).parquet(source))
+        q = (
+            W.dedupe_stream(inputs, event_time="at", delay="2 hours").select("store_id", "unique_key", "day")
+            .writeStream.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        states = [s for p in q.recentProgress for s in p["stateOperators"]]
+        sizes.append(max(s["numRowsTotal"] for s in states))
+        late += sum(s["numRowsDroppedByWatermark"] for s in states)
+    assert max(sizes) == sizes[0] and late == 2 * rows.where("oid % 5 = 0").count(), (sizes, late)
+    return spark.read.schema("store_id string, unique_key string, day int").parquet(out)

@@ -339,7 +339,7 @@ ORACLES["result_links"] = offers(
 def _allocation(terms: int = 3, capped: bool = True) -> tuple[tuple[str, str], ...]:
     facts = (
         "facts",
-        f"""select f.*, t.target, t.nq, (f.store_id = 'takealot' or {_VALID_AMAZON})
+        f"""select f.*, t.target, t.nq, (f.store_id <> 'amazon' or {_VALID_AMAZON})
           and (t.min_price is null or coalesce({parse_price('o.price')} >= t.min_price, false))
           and (t.max_price is null or coalesce({parse_price('o.price')} <= t.max_price, false)) as ok
           from firsts f join targets t on t.run_id = f.run_id and t.store_id = f.store_id
@@ -360,7 +360,7 @@ def _allocation(terms: int = 3, capped: bool = True) -> tuple[tuple[str, str], .
             (
                 f"open{k}",
                 f"""select f.*, s.quota from facts f join share{k} s on s.run_id = f.run_id and s.store_id = f.store_id
-                  where f.query_idx = {k} and s.quota > 0 and (f.store_id = 'takealot' or not exists (select 1 from acc{k} a
+                  where f.query_idx = {k} and s.quota > 0 and (f.store_id <> 'amazon' or not exists (select 1 from acc{k} a
                     where a.run_id = f.run_id and a.store_id = f.store_id and a.product_id = f.product_id))""",
             ),
             (f"alive{k}", live(f"open{k}")),
@@ -774,3 +774,47 @@ ORACLES["stream_dedupe"] = offers(
 )
 ORACLES["markdown_files"] = f"select report_id, text from ({ORACLES['markdown_report']})"
 ORACLES["rewritten_runs"] = ORACLES["allocation_full"]
+
+# --- three shops -------------------------------------------------------------------------------
+
+_VILLAGE = f"""select pk, sk, case when pk % 3 = 0 then 'village' else store_id end as store_id,
+  case when pk % 3 = 0 then cast(pk as varchar) else product_id end as product_id,
+  case when pk % 3 <> 0 then title when pk % 50 = 0 then 'Village Product' else concat('Village ', (select p_name from part where p_partkey = pk)) end as title,
+  price, specs_text, bullets_text, image_url,
+  case when pk % 3 = 0 then concat('https://village.example/item/', cast(pk as varchar)) else url end as url from ({_PART_LISTINGS})"""
+# Which of a run's shops come first, and how many it has, by the last digit of what it asks for.
+_THREE_TARGETS = (
+    "targets",
+    """select run_id, store_id, cast(lim * (n + 1) // k - lim * n // k as int) as target, min_price, max_price, nq
+      from (select r.*, s.store_id, s.n, s.k from runs r join (values
+        (0, 'amazon', 0, 3), (0, 'takealot', 1, 3), (0, 'village', 2, 3), (1, 'amazon', 0, 2), (1, 'takealot', 1, 2),
+        (2, 'amazon', 0, 2), (2, 'village', 1, 2), (3, 'village', 0, 1), (4, 'takealot', 0, 1)) s(kind, store_id, n, k) on kind = run_id % 5)""",
+)
+ORACLES["three_shops"] = "with " + ", ".join(
+    f"{n} as ({sql})" for n, sql in (("offers", _VILLAGE), _RUNS, _THREE_TARGETS, *_BASE, *_allocation(capped=False))
+) + """ select n.run_id, accept_idx, n.store_id, query_idx, pass_no, n.product_id, title, price
+  from numbered n join offers o on o.product_id = n.product_id and o.store_id = n.store_id"""
+ORACLES["three_shop_counts"] = "with " + ", ".join(f"{n} as ({s})" for n, s in (_RUNS, _THREE_TARGETS)) + """
+  select run_id, store_id, target, cast(null as varchar) as reason from targets
+  union all select run_id, 'nowhere', null, 'unknown shop' from runs where run_id % 5 = 4"""
+ORACLES["link_rejects"] = "with " + ", ".join(f"{n} as ({sql})" for n, sql in (("offers", _VILLAGE), *_BASE)) + """
+  select run_id, store_id, query_idx, cast(page_num as int) as page_num, pos, case when store_id = 'village' then 'unknown shop' else 'no product' end as reason
+  from links where store_id = 'village' or pos % 7 = 0"""
+
+# --- escapes, SQL functions, payloads, bounded streams -----------------------------------------
+
+_CASES = lambda values: " ".join(f"when {i} then {q(v) if v is not None else 'null'}" for i, v in enumerate(values))
+ORACLES["title_escapes"] = offers(f"select oid, concat(case pk % {len(A.ESCAPED)} {_CASES([w for _, w in A.ESCAPED])} end, cast(oid as varchar)) as title from offers")
+ORACLES["sql_functions"] = offers(
+    f"""select oid, {parse_price('price')} as price_numeric, {display('price')} as price_display,
+      case when store_id = 'amazon' then product_id end as asin, case when store_id = 'takealot' then product_id end as plid from offers"""
+)
+_TITLES = [{0: "Good", 5: "Nulls", 7: "Twice"}.get(i) for i in range(len(A.PAYLOADS))]
+ORACLES["payload_rejects"] = offers(
+    f"""select url, case when reason is null then product_id end as product_id, title, reason from (
+      select url, product_id, case pk % {len(A.PAYLOADS)} {_CASES(_TITLES)} end as title,
+        case pk % {len(A.PAYLOADS)} {_CASES([r for _, r in A.PAYLOADS])} end as reason from offers)"""
+)
+ORACLES["stream_dedupe_bounded"] = offers(
+    "select store_id, product_id as unique_key, day from offers cross join (values (0), (2)) d(day)"
+)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from offerlens.functions.identity import extract_asin
 from offerlens.functions.price import detect_currency, price_display
-from offerlens.functions.text import first_nonempty, present, specs_last_wins
+from offerlens.functions.text import first_nonempty, let, present, specs_last_wins
 from offerlens.schema import NO_RATING, UNKNOWN_AVAILABILITY
 
 PAYLOAD = (
@@ -18,11 +18,14 @@ PAYLOAD = (
 )
 
 
-def payload_products(payloads: DataFrame) -> DataFrame:
+def payload_products(payloads: DataFrame, skip_rejects: bool = False) -> DataFrame:
     """Rows ``(url, payload)`` -> text columns of products, ready for ``pages.finish``.
 
-    ``payload`` is the JSON text of one product; unreadable texts give an empty record.
+    ``payload`` is the JSON text of one product. Texts that can't be read as one give what can be read of them, at worst an
+    empty record; with ``skip_rejects`` they are left to :func:`payload_rejects`.
     """
+    if skip_rejects:
+        payloads = payloads.where(reject_reason(F.col("payload")).isNull())
     df = payloads.withColumn("p", F.from_json("payload", PAYLOAD))
     text = lambda path, default="": F.coalesce(F.col(path), F.lit(default))
     winner = "p.buybox_winner"
@@ -51,6 +54,39 @@ def payload_products(payloads: DataFrame) -> DataFrame:
     )
 
 
+# Parts of a payload that are looked into, and the kind of each.
+_PARTS = {
+    "main_image": "object", "buybox_winner": "object", "feature_bullets": "list", "specifications": "list", "attributes": "list",
+}
+_KINDS = {"object": "OBJECT", "list": "ARRAY"}
+
+
+def reject_reason(payload: Column) -> Column:
+    """Why a payload holds no product; null for those that do.
+
+    ``empty`` for a null or blank text, ``no JSON`` for one that doesn't parse, ``no object``, or the first part that is of
+    another kind than a product's. Parts may be missing or null. Where a key is named twice the last one counts.
+    """
+    def kind(v: Column) -> Column:
+        return F.regexp_extract(F.schema_of_variant(v), r"\A(\w+)", 1)
+
+    def judge(v: Column) -> Column:
+        # A text with a key named twice is no VARIANT but can be read.
+        unread = F.from_json(payload, "map<string,string>").isNull()
+        out = F.when(v.isNull(), F.when(unread, F.lit("no JSON"))).when(kind(v) != "OBJECT", F.lit("no object"))
+        for part, wanted in _PARTS.items():
+            found = kind(F.try_variant_get(v, f"$.{part}", "variant"))
+            out = out.when(~found.isin(_KINDS[wanted], "VOID"), F.lit(f"{part}: no {wanted}"))
+        return out
+
+    return F.when(present(F.trim(payload)), let(F.try_parse_json(payload), judge)).otherwise(F.lit("empty"))
+
+
+def payload_rejects(payloads: DataFrame) -> DataFrame:
+    """The payloads that hold no product, with the ``reason``."""
+    return payloads.withColumn("reason", reject_reason(F.col("payload"))).where("reason is not null")
+
+
 def payload_specs() -> Column:
     """Specifications overlaid by attributes; both need a name, attributes a value too."""
     kind = "array<struct<name:string,value:string>>"

@@ -2,12 +2,14 @@
 
 import re
 import unicodedata
+from urllib.parse import unquote
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from offerlens.functions import identity as I, price as P
+from offerlens.functions.sql import register_functions
 from offerlens.functions.text import round_tenths, title_case
 
 
@@ -150,3 +152,27 @@ def test_image_links(evaluate):
 @pytest.mark.parametrize("text, out", [("12.", "R12.50"), (None, None)])
 def test_split_price(evaluate, text, out):
     assert evaluate(lambda c: P.split_price(F.lit("R"), c, F.lit("50")), [text]) == [out]
+
+
+def test_percent_decode_is_pythons(evaluate):
+    texts = [
+        "", "plain", "caf%C3%A9+bar", "a%zzb", "cut%4", "%", "%%41", "x%C3-y", "%E2%82%AC", "%E2%82", "%e2%82%AC%41%ff", "%F0%9F%98%80 %F0%9F%98",
+        "é%C3%A9", "100%25", "%2525", "%C0%80", "%ED%A0%80", "%00a", "%41" * 50,
+    ]
+    assert evaluate(I.percent_decode, texts) == [unquote(t) for t in texts]
+    assert evaluate(I.percent_decode, [None]) == [None]
+
+
+def test_sql_functions_are_the_columns(spark):
+    texts = [
+        None, "", "R1 299,00", "R 1,299.50 - R2 000", "Unavailable 5", "B0DLT1WSHY", "\u00a0b0dlt1wshy\u2003", "x/dp/B0DLT1WSHY?x", "asin=0000000001/dp/b0dlt1wshy",
+        "x/plid123", "R\u00a012\u202f999\u200b.99", "1,234,567", "no 'quotes' $1 here", "12,34",
+    ]
+    assert register_functions(spark) == ["parse_price", "price_display", "extract_asin", "extract_plid"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    by_sql = spark.sql("select c, parse_price(c) p, price_display(c) d, extract_asin(c) a, extract_plid(c) i from {df}", df=df)
+    c = F.col("c")
+    by_column = df.select("c", P.parse_price(c).alias("p"), P.price_display(c).alias("d"), I.extract_asin(c).alias("a"), I.extract_plid(c).alias("i"))
+    key = lambda r: str(r.c)
+    assert sorted(by_sql.collect(), key=key) == sorted(by_column.collect(), key=key)
+    assert "Python" not in by_sql._jdf.queryExecution().executedPlan().toString()

@@ -11,7 +11,7 @@ from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegi
 from offerlens.plans.search import direct_run
 from offerlens.sources.page_tree import PageTree
 from offerlens.sources.pages import extract_products, finish
-from offerlens.sources.payload import payload_products
+from offerlens.sources.payload import payload_products, payload_rejects
 
 ASIN_URL = "https://www.amazon.co.za/Some-Name/dp/B0DLT1WSHY"
 AMAZON_PAGE = """<html><head><title>Ignored : Amazon.co.za</title></head><body>
@@ -155,6 +155,18 @@ def test_payload(spark):
     assert rows[0].original_price_numeric == 1500.0 and rows[1].product_id == "B0DLT1WSHY"
 
 
+def test_payloads_that_hold_no_product(spark):
+    reasons = {
+        None: "empty", " ": "empty", "not json": "no JSON", '{"asin": 1': "no JSON", "7": "no object", "null": "no object", "[{}]": "no object",
+        '{"attributes": {"name": "x"}}': "attributes: no list", '{"main_image": "x.jpg"}': "main_image: no object",
+        "{}": None, '{"title": null, "attributes": null}': None, '{"title": "a", "title": "b"}': None, '{"other": [1, {"x": "é"}]}': None,
+    }
+    df = spark.createDataFrame([(ASIN_URL, text) for text in reasons], "url string, payload string")
+    assert {r.payload: r.reason for r in payload_rejects(df).collect()} == {k: v for k, v in reasons.items() if v}
+    assert payload_products(df, skip_rejects=True).count() == sum(v is None for v in reasons.values())
+    assert payload_products(df).count() == len(reasons)
+
+
 def test_registry(spark, evaluate):
     registry = StoreRegistry()
     assert registry.store_ids() == ["amazon", "takealot"] and registry.get(" Amazon ").store_name == "Amazon"
