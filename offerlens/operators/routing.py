@@ -189,6 +189,36 @@ class StoreRegistry:
         return out
 
 
+#: Parts into which the rows of one host are split when they are joined with its store.
+HOST_PARTS = 16
+
+
+def route_table(df: DataFrame, url: str, registry: StoreRegistry, out: str = "store_id", unknown: str | None = None) -> DataFrame:
+    """``df`` with the store of its column ``url`` as ``out``: what :meth:`StoreRegistry.route` gives, for many stores.
+
+    A chain of conditions grows with the registry and is tested on every row. Here the registry is a table: each distinct host
+    is cut into its pieces of the lengths that domains have, pieces and domains meet in an equality join, and the store
+    with the first priority is chosen. Rows then find their host's store; those of one host are split into ``HOST_PARTS`` parts,
+    as a host may hold most of them. Every row is kept; a null URL has no store but ``unknown``.
+    """
+    domains = registry.as_table(df.sparkSession).select(F.lower("domain").alias("_piece"), F.col("store_id").alias("_store"), "priority")
+    lengths = F.array(*[F.lit(n) for n in sorted({len(d) for p in registry.plugins() for d in p.domains})])
+    keyed = df.withColumn("_host", F.lower(netloc(F.col(url)))).withColumn("_part", F.pmod(F.xxhash64(url), F.lit(HOST_PARTS)))
+    hosts = keyed.select("_host").where("_host <> ''").distinct()
+    cuts = F.flatten(F.transform(lengths, lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("_host") - n + 1, F.lit(1))), lambda at: F.substr("_host", at, n)
+    )))
+    pieces = hosts.select("_host", F.explode(F.array_distinct(cuts)).alias("_piece"))
+    found = pieces.join(domains, "_piece").groupBy("_host").agg(F.min_by("_store", "priority").alias("_store"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1)).cast("array<bigint>")).alias("_part")
+    stored_in = keyed.join(found.select("_host", "_store", parts), ["_host", "_part"], "left")
+    store = F.col("_store")
+    if "takealot" in registry.store_ids():
+        store = F.coalesce(store, F.when(F.col(url).contains("takealot.com"), F.lit("takealot")))
+    routed = stored_in.withColumn(out, F.coalesce(store, F.lit(unknown).cast("string")))
+    return routed.select(*[c for c in df.columns if c != out], out)
+
+
 def _any_domain(host: Column, domains: tuple[str, ...]) -> Column:
     hit = F.lit(False)
     for domain in domains:

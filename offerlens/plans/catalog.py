@@ -13,7 +13,7 @@ from offerlens.functions.text import split_terms, strip_u
 from offerlens.operators import allocate as AL, classify as C, filters as FL, score as S, sections
 from offerlens.operators.ranking import keep_first, top_k
 from offerlens.operators.lookup import lookup_products, page_store
-from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegistry
+from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegistry, route_table
 from offerlens.plans.search import compare, direct_rejects as direct_rejects_of, direct_run, search_run
 from offerlens.sinks import dataset as D
 from offerlens.sinks.markdown import markdown_lines
@@ -263,6 +263,17 @@ def route_offers(spark, sf):
     return A.offers(spark, sf).select("oid", r.route(shop).alias("store_id"), r.route(shop, "amazon").alias("parser"))
 
 
+@query
+def route_many(spark, sf):
+    """Listings under the hosts of some thousand shops, of which some hold another one's domain."""
+    none = lambda url: F.lit(None).cast("string")
+    shops = [StorePlugin(f"s{k}", f"Shop {k}", (f"s{k}.example",), none) for k in range(3000)]
+    shops += [StorePlugin(f"d{k}", f"Digit {k}", (f"{k}.example",), none) for k in range(10)]
+    host = F.concat(F.lit("https://WWW.s"), (F.col("pk") * 7 % 4000).cast("string"), F.lit(".example/item/"))
+    url = F.when(F.col("oid") % 11 == 0, F.lit("https://other.test/s1.example")).otherwise(F.concat(host, F.col("oid").cast("string")))
+    return route_table(A.offers(spark, sf).select("oid", url.alias("url")), "url", StoreRegistry(tuple(shops))).select("oid", "store_id")
+
+
 @query
 def url_matches_store(spark, sf):
     r = registry()

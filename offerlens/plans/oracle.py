@@ -818,3 +818,7 @@ ORACLES["payload_rejects"] = offers(
 ORACLES["stream_dedupe_bounded"] = offers(
     "select store_id, product_id as unique_key, day from offers cross join (values (0), (2)) d(day)"
 )
+ORACLES["route_many"] = offers(
+    """select oid, case when oid % 11 = 0 then null when pk * 7 % 4000 < 3000 then concat('s', cast(pk * 7 % 4000 as varchar))
+      else concat('d', cast(pk * 7 % 10 as varchar)) end as store_id from offers"""
+)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.operators import filters as FL
 from offerlens.operators.lookup import lookup_products
-from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegistry
+from offerlens.operators.routing import AMAZON, TAKEALOT, StorePlugin, StoreRegistry, route_table
 from offerlens.plans.search import direct_run
 from offerlens.sources.page_tree import PageTree
 from offerlens.sources.pages import extract_products, finish
@@ -167,6 +167,22 @@ def test_payloads_that_hold_no_product(spark):
     assert payload_products(df).count() == len(reasons)
 
 
+def test_route_table_is_route(spark):
+    """Clashing columns, nulls, hosts shorter than domains, and domains within domains."""
+    none = lambda u: F.lit(None).cast("string")
+    shops = StoreRegistry((AMAZON, TAKEALOT, StorePlugin("long", "Long", ("shop.long.example",), none), StorePlugin("short", "Short", ("g.example", "AB.test"), none)))
+    urls = [
+        None, "", "text", "see takealot.com", "https://www.amazon.com/x", "http://X.SHOP.LONG.EXAMPLE:80/a", "https://long.example", "https://a", "//ab.test",
+        "https://g.example.amazon.co.za/", "https://user@ab.test?x", "https://www.amazon.com/x", "ftp://g.exampl",
+    ]
+    df = spark.createDataFrame([(k, u, "old") for k, u in enumerate(urls)], "n int, url string, store_id string")
+    for unknown in (None, "amazon"):
+        wanted = df.select("n", shops.route(F.col("url"), unknown).alias("store_id")).orderBy("n").collect()
+        found = route_table(df, "url", shops, unknown=unknown)
+        assert found.columns == ["n", "url", "store_id"]
+        assert found.select("n", "store_id").orderBy("n").collect() == wanted
+
+
 def test_registry(spark, evaluate):
     registry = StoreRegistry()
     assert registry.store_ids() == ["amazon", "takealot"] and registry.get(" Amazon ").store_name == "Amazon"
