@@ -213,3 +213,14 @@ def test_runs_are_rewritten_one_by_one(spark, tmp_path):
     for _ in range(2):
         D.rewrite_runs(spark.createDataFrame([(2, "b"), (2, "c")], "run_id int, title string"), path)
     assert sorted((r.run_id, r.title) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (2, "c")]
+
+
+def test_many_runs_share_folders(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    runs = spark.range(200).select(F.col("id").alias("run_id"), F.lit("a").alias("title")).union(spark.sql("select cast(null as bigint), 'a'"))
+    D.rewrite_runs(runs, path, buckets=8)
+    D.rewrite_runs(runs.where("run_id % 2 = 0 or run_id is null").withColumns({"title": F.lit("b"), "more": F.lit(1)}), path, buckets=8)
+    assert len([f for f in os.listdir(path) if "=" in f]) <= 8
+    rows = spark.read.option("mergeSchema", "true").parquet(path).collect()
+    assert len(rows) == 201
+    assert all((r.title, r.more) == (("b", 1) if r.run_id is None or r.run_id % 2 == 0 else ("a", None)) for r in rows)
