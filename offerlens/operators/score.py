@@ -161,6 +161,17 @@ def score(products: DataFrame, price_source: str = "loose", exclude_unpriced: bo
     )
     if exclude_unpriced:
         df = df.where("price_val > 0")
+    # What a product has by itself comes before the join with its set's prices, so that texts nobody asks for aren't shuffled.
+    df = df.withColumns(
+        {
+            "specs_score": specs_score(F.size("specs")),
+            "performance_score": round_tenths(F.least(F.lit(10.0), F.col("rating_val") * 2.0)),
+            "context_bonus": context_bonus(F.col("user_context"), F.col("specs"), F.col("bullet_points")),
+        }
+    )
+    df = df.withColumn(
+        "build_score", round_tenths(F.least(F.lit(10.0), F.col("performance_score") * 0.95 + 0.5))
+    )
     positive = F.when(F.col("price_val") > 0, F.col("price_val"))
     df = with_group_facts(
         df,
@@ -177,17 +188,7 @@ def score(products: DataFrame, price_source: str = "loose", exclude_unpriced: bo
             "max_price": F.coalesce("max_price", F.lit(DEFAULT_HIGH)),
         }
     )
-    df = df.withColumns(
-        {
-            "specs_score": specs_score(F.size("specs")),
-            "value_score": value_score(F.col("price_val"), F.col("min_price"), F.col("max_price")),
-            "performance_score": round_tenths(F.least(F.lit(10.0), F.col("rating_val") * 2.0)),
-            "context_bonus": context_bonus(F.col("user_context"), F.col("specs"), F.col("bullet_points")),
-        }
-    )
-    df = df.withColumn(
-        "build_score", round_tenths(F.least(F.lit(10.0), F.col("performance_score") * 0.95 + 0.5))
-    )
+    df = df.withColumn("value_score", value_score(F.col("price_val"), F.col("min_price"), F.col("max_price")))
     weighted = (
         F.col("performance_score") * 0.35
         + F.col("value_score") * 0.25

@@ -121,3 +121,10 @@ def test_empty_sets(spark, both):
     rows = {r.comparison_id: r for r in S.with_empty_sets(S.verdicts(both[0]), asked).collect()}
     assert rows[999].verdict_summary == S.NO_PRODUCTS and rows[999].winner_id is None
     assert rows[0].winner_id
+
+
+def test_scores_are_joined_without_texts(spark):
+    scored = S.score(spark.createDataFrame(make_sets(), SCHEMA)).select("comparison_id", "product_id", "overall_score")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "specs" not in above.replace("specs_score", "") and "bullet_points" not in above
