@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from offerlens.functions.identity import unique_key, urls_in_text
-from offerlens.functions.text import strip_u
+from offerlens.functions.text import let, strip_u
 from offerlens.operators.ranking import keep_first
 from offerlens.operators.routing import StoreRegistry
 
@@ -43,7 +43,7 @@ def dedupe_inputs(
     store = F.col(store_id) if store_id else None
     key = unique_key(F.col(text), store)
     if registry and store is not None:
-        key = F.coalesce(F.nullif(registry.identifier(store, F.col(text)), F.lit("")), F.col(text))
+        key = F.coalesce(let(registry.identifier(store, F.col(text)), lambda own: F.when(own != "", own)), F.col(text))
     keyed = inputs.withColumn("unique_key", key)
     keys = [*scope, "unique_key"] + ([store_id] if store_id else [])
     return keep_first(keyed, keys, order)

@@ -129,3 +129,19 @@ def test_hrefs_keep_other_columns(spark):
     pages = spark.createDataFrame([(1, None, "k"), (2, "<a href=/1><a href=/2>", None)], "id int, html string, note string")
     assert sorted(map(tuple, hrefs(pages).collect())) == [(1, "k", []), (2, None, ["/1", "/2"])]
     assert hrefs(pages.limit(0)).count() == 0
+
+
+def test_pages_are_never_broadcast(spark):
+    """Spark takes a table of pages for small, as its estimate of a text is a few bytes."""
+    pages = spark.createDataFrame([("https://www.amazon.co.za/dp/B000000001", PAGE.format("Lamp", 5))], "url string, html string")
+    inputs = spark.createDataFrame([("B000000001",)], "input string")
+    found = direct_run(inputs, pages, [F.col("input")])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.title, r.price_numeric) for r in found.collect()] == [("Lamp", 5.0)]
+
+
+def test_a_route_reads_the_url_once(spark):
+    r = StoreRegistry()
+    df = spark.range(1).select(F.concat(F.lit("https://www.takealot.com/x/PLID"), F.col("id").cast("string")).alias("url")).where(r.route(F.col("url")) == "takealot")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    assert df.count() == 1
