@@ -228,3 +228,35 @@ def test_a_third_shop_takes_part(spark):
         taken = allocate(candidates, 1, caps, SHOPS)
         assert [(x.store_id, x.product_id) for x in taken.orderBy("accept_idx").collect()] == [("amazon", "0000000001"), ("third", "7")]
         assert run_counts(taken, SHOPS).first().asDict() == {"run_id": 1, "total_products": 2, "amazon_count": 1, "takealot_count": 0, "third_count": 1}
+
+
+def test_only_what_decides_is_carried(spark, monkeypatch):
+    """Texts of products are looked up for accepted rows; no step before stores or shuffles them."""
+    from offerlens.operators import allocate as allocation
+    from offerlens.plans import search
+    from offerlens.storage import stored
+
+    kept = []
+    for module in (allocation, search):
+        monkeypatch.setattr(module, "stored", lambda df, name: kept.append((name, df.columns)) or stored(df, name))
+    links = [(1, "takealot", q, 1, k, f"{BASE['takealot']}PLID{k}") for q in range(2) for k in range(9)]
+    l = spark.createDataFrame(links, "run_id bigint, store_id string, query_idx int, page_num int, pos int, href string")
+    r = spark.createDataFrame([(1, 3, "takealot", None, 5.0, 2)], "run_id bigint, limit int, source string, min_price double, max_price double, n_queries int")
+    # Every product stands there twice: the facts returned are those that were judged.
+    products = [("takealot", x[5], f"Lamp {n}", f"R {price}", price) for x in links[:9] for n, price in ((x[4], 1.0), (-1, 9.0))]
+    p = spark.createDataFrame(products, "store_id string, url string, title string, price string, price_numeric double")
+    for caps in (NO_CAPS, LIVE_CAPS):
+        kept.clear()
+        rows = search.search_run(l, r, products=p, validate=(), caps=caps).collect()
+        assert all(x.price_numeric == 1.0 and x.price == "R 1.0" and x.title == f"Lamp {x.product_id[4:]}" for x in rows)
+        assert "accepted" in [name for name, _ in kept] and not [name for name, columns in kept if "title" in columns or "href" in columns]
+
+
+def test_likely_among_leaves_out_most_other_rows(spark):
+    from offerlens.operators.filters import likely_among
+
+    df = spark.range(20000).selectExpr("id", "cast(id as string) as url", "id % 7 as n")
+    wanted = df.where("id % 100 = 0").select("url")
+    found = likely_among(df, wanted, ["url"])
+    assert found.columns == df.columns and found.where("id % 100 = 0").count() == 200 and found.count() < 1000
+    assert likely_among(df, wanted, ["url"], most_words=1).where("id % 100 = 0").count() == 200
