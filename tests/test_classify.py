@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from offerlens.operators import classify as C
 
@@ -81,3 +82,25 @@ def test_refill_notice_and_unknown_device(spark):
     row = analyse(spark, "Scent Refill", "Requires existing unit")
     assert row.listing_integrity_alerts == [C.REFILL_ALERT]
     assert analyse(spark, "Chair").package_details.device_included is None
+
+
+def test_stems_lose_no_wording(spark):
+    """What a kind's patterns match is matched alike behind its stems; texts without a stem never reach a pattern."""
+    kinds = [
+        (C.STARTER_KIT, C.STARTER_STEMS), (C.BARE_UNIT, C.BARE_STEMS), (C.ACCESSORY, C.ACCESSORY_STEMS), (C.REFILL, C.REFILL_STEMS),
+        (C.MULTI_PACK, C.MULTI_PACK_STEMS),
+    ]
+    samples = {
+        r"unit \+ refill": "unit + refill", r"machine \+ ": "machine + x", r"with [0-9\-]+mm lens": "with 18-55mm lens",
+        r"(?:case|cover|sleeve|housing|pouch|skin)\s+(?:for|compatible with)": "skin  compatible with",
+        r"(?:stand|mount|bracket|dock|holder|tripod|strap|band)\s+(?:for|compatible with)": "dock\tfor",
+        "protective (?:case|cover|glass)": "protective glass", r"(?:twin|2|3|4|5|6|12)\s*pack": "12pack",
+    }
+    texts = [samples.get(w, w.replace("s?", "")) for wordings, _ in kinds for w in wordings] + C.APPLIANCE_PARTS + ["usbphone", "", "padded mat"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for wordings, stems in kinds:
+        rows = df.select("t", C.words(F.col("t"), wordings).alias("plain"), C.words(F.col("t"), wordings, stems).alias("quick")).collect()
+        assert [x.t for x in rows if x.plain != x.quick] == [] and all(any(x.plain for x in rows if x.t == samples.get(w, w.replace("s?", ""))) for w in wordings)
+    parts = df.select(F.col("t").rlike("|".join(C.APPLIANCE_PARTS)).alias("plain"), C.holds_any(F.col("t"), C.APPLIANCE_PARTS).alias("quick")).collect()
+    assert all(x.plain == x.quick for x in parts)
+    assert spark.range(3).select(C.holds_any(F.lit("own skin"), C.ACCESSORY_STEMS).alias("x")).first().x is False
