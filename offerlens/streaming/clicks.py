@@ -6,11 +6,10 @@ unless it is there, ``toggle`` removes it if it is there and else adds it, ``cle
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from offerlens.functions.identity import clicked_url
 from offerlens.operators.ranking import keep_first, with_group_facts
@@ -42,21 +41,21 @@ def click_rejects(events: DataFrame) -> DataFrame:
 BLOCK = 1 << 20
 
 
-def replay(events: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Final lists as rows ``(user_id, url, added_at)``; a list is ordered by ``added_at``.
+def replay(events: DataFrame, block: int = BLOCK, owner: Sequence[str] = ("user_id",)) -> DataFrame:
+    """Final lists as rows ``(user_id, url, added_at)``; a list is ordered by ``added_at``. ``owner`` tells lists apart.
 
     A link's last toggle decides: before it, the last add (if any) and the parity of the toggles since
     give its state; after it, only adds can follow. All of this is aggregated per stretch of ``seq`` first,
     so neither a busy user nor a popular link is worked off in one task.
     """
-    key = ["user_id", "url"]
+    key = [*owner, "url"]
     stretch = F.floor(F.col("seq") / block)
     add, toggle, seq = F.col("action") == "add", F.col("action") == "toggle", F.col("seq")
     last_toggle, add_before = F.col("last_toggle"), F.col("add_before")
 
     clears = {"cleared": (F.max(F.when(F.col("action") == "clear", seq)), F.max("cleared"))}
     live = (
-        with_group_facts(events.where("seq is not null"), ["user_id"], stretch, clears)
+        with_group_facts(events.where("seq is not null"), [*owner], stretch, clears)
         .where("action <> 'clear' and (cleared is null or seq > cleared)")
         .select(*key, "seq", "action")
     )
@@ -96,99 +95,96 @@ def export_lists(lists: DataFrame, path: str) -> None:
 
 
 CHANGES = "user_id bigint, url string, added_at bigint, seq bigint, action string, late boolean"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# A user's links are kept in parts; ``PLACES`` without a link says when the part's last event was.
+OWNER = ["user_id", "part"]
+EVENTS = "user_id bigint, seq bigint, action string, url string, part int"
+PLACES = "user_id bigint, part int, url string, before bigint, added_at bigint, last bigint"
 
 
-def list_keeper() -> StatefulProcessor:
-    """State of one (user, part of the links): a map of links to their places, and the last event's ``seq``.
+def _numbers(spark: SparkSession, folder: str, whole: int) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{folder}/batch_id=*/whole={whole}"))
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
-    A batch reads and writes the map entries of the links it touches; only ``clear`` goes through the whole map.
-    """
 
-    class ListKeeper(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.places = handle.getMapState("places", "url string", "added_at bigint")
-            self.last = handle.getValueState("last", "seq bigint")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            events = sorted((e for frame in rows for e in zip(frame.seq.tolist(), frame.action.tolist(), frame.url.tolist())), key=lambda e: e[0])
-            seen = self.last.get()
-            last, late = (seen[0] if seen else None), []
-            before: dict[str, int | None] = {}  # places in the state, of the links read so far
-            now: dict[str, int | None] = {}
-
-            def read(url: str) -> None:
-                if url not in now:
-                    before[url] = self.places.getValue((url,))[0] if self.places.containsKey((url,)) else None
-                    now[url] = before[url]
-
-            for seq, action, url in events:
-                if last is not None and seq <= last:
-                    late.append((seq, action, url))
-                    continue
-                last = seq
-                if action == "clear":
-                    for (held,), (place,) in list(self.places.iterator()):
-                        before.setdefault(held, place)
-                    now = dict.fromkeys([*before, *now])
-                    continue
-                read(url)
-                if now[url] is None:
-                    now[url] = seq
-                elif action == "toggle":
-                    now[url] = None
-            if last is not None:
-                self.last.update((last,))
-            changed = [(url, place) for url, place in now.items() if place != before.get(url)]
-            for url, place in changed:
-                if place is None:
-                    self.places.removeKey((url,))
-                else:
-                    self.places.updateValue((url,), (place,))
-            rows_out = [(key[0], url, place, last, None, False) for url, place in changed]
-            rows_out += [(key[0], url, None, seq, action, True) for seq, action, url in late]
-            yield pd.DataFrame(rows_out, columns=["user_id", "url", "added_at", "seq", "action", "late"], dtype=object)
-
-        def close(self) -> None:
-            pass
-
-    return ListKeeper()
-
-
-def list_changes(events: DataFrame, parts: int = 16) -> DataFrame:
-    """A stream of clean events -> what each micro-batch changes in the users' lists.
-
-    A row names a link that is new in its user's list, or moved, with its place ``added_at``; null means that it left.
-    State is kept by (user, part of the links), so a busy user's links are spread over ``parts`` keys; an event that clears
-    goes to all of them. The ``seq`` of a user's events has to grow from batch to batch: one that isn't behind the last
-    comes back with ``late`` and its action, and changes nothing; so an event delivered twice counts once.
+def _places(spark: SparkSession, folder: str, since: int, batches: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The parts of the lists with their last event, and the links in them, as the last of the ``batches`` has left them.
+
+    ``since`` is the batch whose lists were written as a whole, -1 if there is none.
     """
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    own = F.array(F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int"))
-    spread = events.select("user_id", "seq", "action", "url", F.explode(F.when(F.col("action") == "clear", every).otherwise(own)).alias("part"))
-    return spread.groupBy("user_id", "part").transformWithStateInPandas(list_keeper(), CHANGES, "Append", "None")
+    paths = [f"{folder}/batch_id={n}/whole=0" for n in batches if n > since] + [f"{folder}/batch_id={since}/whole=1"] * (since >= 0)
+    schema = PLACES + ", batch_id bigint, whole int"
+    none = [f"cast(null as {kind}) as {name}" for name, kind in (c.split() for c in schema.split(", "))]
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(*paths) if paths else spark.range(0).selectExpr(*none)
+    known = rows.where("url is null").groupBy(*OWNER).agg(F.max("batch_id").alias("batch_id"), F.max("last").alias("last"))
+    links = rows.where("added_at is not null").select(*OWNER, "batch_id", "url", "added_at")
+    return known, links.join(known.drop("last"), [*OWNER, "batch_id"]).drop("batch_id")
 
 
-def collect_stream(events: DataFrame, out: str, checkpoint: str, parts: int = 16, **trigger) -> StreamingQuery:
-    """Write the changes of each micro-batch under ``out/batch_id=N``; a repeated batch replaces itself.
+def _keep(spark: SparkSession, batch: DataFrame, batch_id: int, out: str, folder: str, parts: int, whole_every: int) -> None:
+    """Work off one micro-batch; repeated, it reads what the batches before it left and replaces itself.
 
-    Only links that changed are written, whatever the lists hold. State lies in RocksDB, on disk beside the task and in
-    the checkpoint, not in the executors' heaps.
+    What the lists hold takes part in the replay as links added at their places, so the batch needs no order of its own and no
+    user is worked off in one task. ``folder/batch_id=N`` gets the parts of the lists that the batch touches, and after every
+    ``whole_every`` batches all of them, so that a batch reads a bounded number of such tables.
     """
-    spark = events.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
-    try:  # a query keeps the settings it was started with
-        return (
-            list_changes(events, parts)
-            .writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, out, batch_id))
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True}))
-            .start()
-        )
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    batches = [n for n in _numbers(spark, folder, 0) if n < batch_id]
+    since = max((n for n in _numbers(spark, folder, 1) if n < batch_id), default=-1)
+    if batch_id and batch_id - 1 not in batches:
+        raise ValueError(f"{folder} has no lists of batch {batch_id - 1}; start with a new checkpoint")
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    own = F.array(F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int"))
+    part = F.explode(F.when(F.col("action") == "clear", every).otherwise(own))
+    batch.select("user_id", "seq", "action", "url", part.alias("part")).write.mode("overwrite").parquet(f"{folder}/events")
+
+    events = spark.read.schema(EVENTS).parquet(f"{folder}/events")
+    known, links = _places(spark, folder, since, batches)
+    nth = F.row_number().over(Window.partitionBy(*OWNER, "seq").orderBy(F.col("action") != "clear", "url", "action"))
+    late = (F.col("nth") > 1) | F.coalesce(F.col("seq") <= F.col("last"), F.lit(False))
+    judged = events.withColumn("nth", nth).join(known.drop("batch_id"), OWNER, "left").withColumn("late", late).drop("nth", "last")
+    held = links.join(events.select(*OWNER).distinct(), OWNER, "left_semi")
+    held = held.select(*OWNER, F.col("added_at").alias("seq"), F.lit("held").alias("action"), "url", F.lit(False).alias("late"))
+    judged.unionByName(held).write.mode("overwrite").parquet(f"{folder}/log")
+
+    log = spark.read.schema(EVENTS + ", late boolean").parquet(f"{folder}/log")
+    live, none = log.where("not late"), F.lit(None).cast("bigint")
+    touched = live.where("action <> 'held'").groupBy(*OWNER).agg(F.max("seq").alias("last"))
+    now = replay(live.withColumn("action", F.when(F.col("action") == "held", "add").otherwise(F.col("action"))), owner=OWNER)
+    before = live.where("action = 'held'").select(*OWNER, "url", F.col("seq").alias("before"), none.alias("added_at"))
+    both = before.unionByName(now.withColumn("before", none)).groupBy(*OWNER, "url").agg(*[F.max(c).alias(c) for c in ("before", "added_at")])
+    marks = touched.withColumns({"url": F.lit(None).cast("string"), "before": none, "added_at": none})
+    both.join(touched, OWNER).unionByName(marks).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}/whole=0")
+
+    new = spark.read.schema(PLACES).parquet(f"{folder}/batch_id={batch_id}/whole=0").where("url is not null and not before <=> added_at")
+    changes = new.select("user_id", "url", "added_at", F.col("last").alias("seq"), F.lit(None).cast("string").alias("action"), F.lit(False).alias("late"))
+    left_out = log.where("late").select("user_id", "url", none.alias("added_at"), "seq", "action", "late")
+    write_batch(changes.unionByName(left_out), out, batch_id)
+    if batch_id - since >= whole_every:
+        known, links = _places(spark, folder, since, [*batches, batch_id])
+        both = links.withColumn("last", none).unionByName(known.drop("batch_id").withColumns({"url": F.lit(None).cast("string"), "added_at": none}))
+        both.withColumn("before", none).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}/whole=1")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for n in (n for n in batches if n < since):  # a repeated batch still needs those from ``since`` on
+            path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(f"{folder}/batch_id={n}"), True)
+
+
+def collect_stream(events: DataFrame, out: str, checkpoint: str, parts: int = 16, whole_every: int = 16, **trigger) -> StreamingQuery:
+    """Replay a stream of clean events, and write what each micro-batch changes in the users' lists under ``out/batch_id=N``.
+
+    A row names a link that is new in its user's list, or moved, with its place ``added_at``; null means that it left. Only
+    links that changed are written, whatever the lists hold; a repeated batch replaces itself.
+    The lists are kept by (user, part of the links) as tables in ``checkpoint/lists``: a batch reads them, writes the parts it
+    touches, and after every ``whole_every`` batches all of them. An event that clears goes to all ``parts`` of its user. The
+    ``seq`` of a user's events has to grow from batch to batch: one that isn't behind the last of its part comes back with
+    ``late`` and its action, and changes nothing; so an event delivered twice counts once.
+    """
+    spark, folder = events.sparkSession, f"{checkpoint}/lists"
+    return (
+        events.writeStream.foreachBatch(lambda batch, batch_id: _keep(spark, batch, batch_id, out, folder, parts, whole_every))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
 
 
 def _written(spark: SparkSession, out: str) -> DataFrame:

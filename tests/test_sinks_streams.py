@@ -129,6 +129,43 @@ def test_late_and_repeated_clicks(spark, tmp_path):
     assert sorted(map(tuple, clicks.late_clicks(spark, out).collect())) == [(1, 2, "add", "b"), (1, 3, "toggle", "a")]
 
 
+def test_lists_are_kept_over_many_batches(spark, tmp_path):
+    """Twelve batches, the lists written as a whole after every third; a batch with the log's old events changes nothing."""
+    events = random_clicks(600)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for k in range(12):
+        rows = events[k * 50 : (k + 1) * 50] + (events[:50] if k == 8 else [])
+        spark.createDataFrame(rows, CLICKS).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(CLICKS).option("maxFilesPerTrigger", 1).parquet(source)
+    for k in (5, 12):  # stopped once on the way
+        query = clicks.collect_stream(stream, out, state, parts=4, whole_every=3, processingTime="0 seconds")
+        while query.isActive and (query.lastProgress or {"batchId": -1})["batchId"] < k - 1:
+            time.sleep(0.2)
+        query.stop()
+        assert query.exception() is None
+    found = clicks.latest_lists(spark, out).collect()
+    assert sorted((r.user_id, r.url, r.added_at) for r in found) == replay_plain(events)
+    late = {tuple(r) for r in clicks.late_clicks(spark, out).collect()}
+    assert late and late <= set(events[:50])
+    kept = sorted(int(f.split("=")[1]) for f in os.listdir(f"{state}/lists") if "=" in f)
+    assert len(kept) <= 7 and kept[-1] == 11
+
+
+def test_no_python_call_per_user(spark, tmp_path):
+    """Many users and a user with a third of the clicks; no step of the stream calls Python on its rows."""
+    events = [(i % 3 and i, i, ("add", "toggle", "add", "clear")[i % 4], f"u{i % 7}") for i in range(6000)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(2):
+        spark.createDataFrame(events[k * 3000 : (k + 1) * 3000], CLICKS).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(CLICKS).option("maxFilesPerTrigger", 1).parquet(source)
+    query = clicks.collect_stream(stream, out, str(tmp_path / "state"))
+    query.awaitTermination()
+    assert not any(p.stateOperators for p in query.recentProgress)
+    found = clicks.latest_lists(spark, out).collect()
+    assert sorted((r.user_id, r.url, r.added_at) for r in found) == replay_plain(events)
+    assert clicks.late_clicks(spark, out).isEmpty()
+
+
 def test_click_rejects(spark):
     good = "https://www.amazon.com/x/dp/B000000001/ref=1"
     rows = [(None, 1, "add", good), (1, None, "add", good), (1, 2, "open", good), (1, 3, None, good), (1, 4, "add", "https://e.org/"), (1, 5, "toggle", None), (1, 6, "clear", None), (1, 7, "add", good)]
