@@ -260,3 +260,20 @@ def test_likely_among_leaves_out_most_other_rows(spark):
     found = likely_among(df, wanted, ["url"])
     assert found.columns == df.columns and found.where("id % 100 = 0").count() == 200 and found.count() < 1000
     assert likely_among(df, wanted, ["url"], most_words=1).where("id % 100 = 0").count() == 200
+
+
+def test_terms_with_caps_take_one_pass(spark, tmp_path):
+    """Eight terms are worked off by one pass over the sorted rows, not by windows and sorts for each term."""
+    runs, links, products = [(1, 20, "both", None, None, 8), (2, 7, "amazon", None, None, 3)], [], []
+    for run in (1, 2):
+        for store, path in (("amazon", "https://www.amazon.co.za/dp/B{:09d}"), ("takealot", "https://www.takealot.com/x/PLID{}")):
+            for q in range(8):
+                links += [(run, store, q, 1 + n // 4, n, path.format(q * 3 + n)) for n in range(9)]
+            products += [(store, path.format(n), n % 4 != 0, float(n)) for n in range(40) if run == 1]
+    assert run_spark(spark, runs, links, products) == expected(runs, links, products)
+    l = spark.createDataFrame(links, "run_id bigint, store_id string, query_idx int, page_num int, pos int, href string")
+    p = spark.createDataFrame(products, "store_id string, url string, is_valid boolean, price_numeric double")
+    r = spark.createDataFrame(runs, "run_id bigint, limit int, source string, min_price double, max_price double, n_queries int")
+    taken = allocate(with_eligibility(candidate_prefix(l, store_targets(r), LIVE_CAPS), p), 8, LIVE_CAPS)
+    plan = taken._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 6 and plan.count("MapInArrow") == 1
