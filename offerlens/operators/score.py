@@ -203,7 +203,7 @@ def rank_scored(scored: DataFrame, block: int = BLOCK) -> DataFrame:
     """Position of every product in its set: best score first, ties in input order.
 
     Scores are whole tenths, so a set falls into blocks of one score and a stretch of input positions. The scored
-    rows are stored first, as blocks are sized and numbered from them.
+    rows are stored first, as blocks are sized and numbered from them; columns that nobody asks for should be dropped before.
     """
     scored = stored(scored, "scored")
     tenths = F.coalesce(F.rint(F.col("overall_score") * -10).cast("int"), F.lit(0))
