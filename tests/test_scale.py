@@ -8,6 +8,7 @@ import __spark_entry__ as entry_points
 from conftest import TINY
 from offerlens.operators import allocate as AL
 from offerlens.operators.filters import likely_among
+from offerlens.sources import candidates as CA
 from offerlens.storage import shared_folder
 
 LINK = "run_id int, store_id string, query_idx int, page_num int, pos int, href string"
@@ -24,6 +25,16 @@ def links(spark, pages=3, per_page=4):
     return spark.createDataFrame(rows, LINK)
 
 
+def test_pages_behind_enough_links_are_left_out(spark):
+    first = CA.first_links(links(spark))
+    pages = lambda df: {r.page_num for r in df.where("run_id = 2").select("page_num").distinct().collect()}
+    assert pages(CA.before_dry_page(first)) == {1, 2, 3}
+    assert pages(CA.before_dry_page(first, F.lit(5))) == {1, 2}
+    assert pages(CA.before_dry_page(first, F.lit(8))) == {1, 2}
+    ranked = CA.result_links(links(spark), F.lit(5)).where("run_id = 2 and store_id = 'takealot' and query_idx = 0")
+    assert [(r["rank"], r.product_id) for r in ranked.orderBy("rank").collect()] == [(1, "PLID10"), (2, "PLID11"), (3, "PLID12"), (4, "PLID13"), (5, "PLID20")]
+
+
 def test_key_filter_reaches_the_rows_below_an_aggregate(spark):
     df = spark.range(1000).groupBy((F.col("id") % 500).alias("k")).agg(F.max("id").alias("m"))
     kept = likely_among(df, spark.createDataFrame([(3,), (7,), (None,)], "k bigint"), ["k"])
