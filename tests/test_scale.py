@@ -60,3 +60,13 @@ def test_ranking_stores_what_it_returns_only(spark):
     entry_points.queries()["ranking"](spark, TINY)
     (path,) = tables() - before
     assert set(spark.read.parquet(path).columns) == {"comparison_id", "idx", "product_id", "overall_score"}
+
+
+def test_capped_prefix_is_parted_by_one_shuffle_for_first_links_and_ranks(spark):
+    keyed = CA.first_links(links(spark), CA.LIVE_CAPS, salt=True)
+    plain = CA.first_links(links(spark), CA.LIVE_CAPS)
+    assert sorted(map(str, keyed.drop("_salt").collect())) == sorted(map(str, plain.collect()))
+    targets = spark.createDataFrame([(1, "amazon", 2, 3), (2, "takealot", 2, 3)], "run_id int, store_id string, n_queries int, target int")
+    cut = AL.candidate_prefix(links(spark), targets, CA.LIVE_CAPS, few_runs=True)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(run_id") == 3  # parts, whole terms, and the few asked shops
