@@ -2,14 +2,17 @@
 
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from conftest import TINY
 from offerlens.operators import allocate as AL
 from offerlens.operators.filters import likely_among
+from offerlens.sinks.dataset import json_lines, json_parts
+from offerlens.sinks.markdown import write_lines
 from offerlens.sources import candidates as CA
-from offerlens.storage import shared_folder
+from offerlens.storage import new_path, shared_folder
 
 LINK = "run_id int, store_id string, query_idx int, page_num int, pos int, href string"
 
@@ -70,3 +73,18 @@ def test_capped_prefix_is_parted_by_one_shuffle_for_first_links_and_ranks(spark)
     cut = AL.candidate_prefix(links(spark), targets, CA.LIVE_CAPS, few_runs=True)
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(run_id") == 3  # parts, whole terms, and the few asked shops
+
+
+PRODUCTS = "report_id int, idx int, store_id string, source string, product_id string, title string, description string, bullet_points array<string>, specs array<struct<key:string,value:string>>"
+
+
+@pytest.mark.parametrize("parts, lines", [(json_parts, json_lines)])
+def test_documents_are_shuffled_as_whole_texts(spark, parts, lines):
+    columns = "brand price rating review_count availability url original_price ingredients directions safety_warning".split()
+    rows = [(r, i, "amazon", "Amazon", f"P{i}", "Two\nlines", "a\n\nb", ["x", "y"], [("k", "v")]) for r in (1, 2) for i in (1, 2, 3)]
+    df = spark.createDataFrame(rows, PRODUCTS).withColumns({c: F.lit("-") for c in columns})
+    path = new_path(spark, "documents")
+    write_lines(parts(df, F.lit("2024-01-01")), path)
+    wanted = [r.text for r in lines(df, F.lit("2024-01-01")).where("report_id = 2").orderBy("section", "idx", "line").collect()]
+    text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{path}/report_id=2/part-*")))
+    assert text == "".join(f"{line}\n" for line in wanted)
