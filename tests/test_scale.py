@@ -10,7 +10,7 @@ from conftest import TINY
 from offerlens.operators import allocate as AL
 from offerlens.operators.filters import likely_among
 from offerlens.sinks.dataset import json_lines, json_parts
-from offerlens.sinks.markdown import write_lines
+from offerlens.sinks.markdown import markdown_lines, markdown_parts, write_lines
 from offerlens.sources import candidates as CA
 from offerlens.storage import new_path, shared_folder
 
@@ -78,7 +78,7 @@ def test_capped_prefix_is_parted_by_one_shuffle_for_first_links_and_ranks(spark)
 PRODUCTS = "report_id int, idx int, store_id string, source string, product_id string, title string, description string, bullet_points array<string>, specs array<struct<key:string,value:string>>"
 
 
-@pytest.mark.parametrize("parts, lines", [(json_parts, json_lines)])
+@pytest.mark.parametrize("parts, lines", [(json_parts, json_lines), (markdown_parts, markdown_lines)])
 def test_documents_are_shuffled_as_whole_texts(spark, parts, lines):
     columns = "brand price rating review_count availability url original_price ingredients directions safety_warning".split()
     rows = [(r, i, "amazon", "Amazon", f"P{i}", "Two\nlines", "a\n\nb", ["x", "y"], [("k", "v")]) for r in (1, 2) for i in (1, 2, 3)]
