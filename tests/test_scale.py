@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from conftest import TINY
+from offerlens.functions.text import specs_last_wins
 from offerlens.operators import allocate as AL
 from offerlens.operators.filters import likely_among
 from offerlens.sinks.dataset import json_lines, json_parts
@@ -88,3 +89,11 @@ def test_documents_are_shuffled_as_whole_texts(spark, parts, lines):
     wanted = [r.text for r in lines(df, F.lit("2024-01-01")).where("report_id = 2").orderBy("section", "idx", "line").collect()]
     text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{path}/report_id=2/part-*")))
     assert text == "".join(f"{line}\n" for line in wanted)
+
+
+def test_last_values_are_found_without_a_pass_over_all_entries_for_each_key(spark):
+    rows = [([("a", "1"), ("b", "2"), ("a", "3"), ("c", None), ("b", "")],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "specs array<struct<key:string,value:string>>").select(specs_last_wins(F.col("specs")).alias("s"))
+    assert "filter(" not in optimized(df.repartition(1)).lower()
+    found = [r.s and [tuple(e) for e in r.s] for r in df.collect()]
+    assert found == [[("a", "3"), ("b", ""), ("c", None)], [], None]
