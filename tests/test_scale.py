@@ -10,9 +10,12 @@ from conftest import TINY
 from offerlens.functions.text import specs_last_wins
 from offerlens.operators import allocate as AL
 from offerlens.operators.filters import likely_among
+from offerlens.plans.search import direct_run
 from offerlens.sinks.dataset import json_lines, json_parts
 from offerlens.sinks.markdown import markdown_lines, markdown_parts, write_lines
 from offerlens.sources import candidates as CA
+from offerlens.sources.pages import raw_fields
+from offerlens.sources.shop_fields import FIELD_TABLES
 from offerlens.storage import new_path, shared_folder
 
 LINK = "run_id int, store_id string, query_idx int, page_num int, pos int, href string"
@@ -97,3 +100,19 @@ def test_last_values_are_found_without_a_pass_over_all_entries_for_each_key(spar
     assert "filter(" not in optimized(df.repartition(1)).lower()
     found = [r.s and [tuple(e) for e in r.s] for r in df.collect()]
     assert found == [[("a", "3"), ("b", ""), ("c", None)], [], None]
+
+
+def test_missing_pages_pass_the_reader_without_being_parsed(spark):
+    pages = spark.createDataFrame([("u1", "amazon", ""), ("u2", "takealot", ""), ("u3", "amazon", "<h1>Lamp</h1>")], "url string, selectors string, html string")
+    raw = raw_fields(pages, FIELD_TABLES)
+    assert "MapInArrow" in raw._jdf.queryExecution().executedPlan().toString()
+    rows = {r.url: r for r in raw.collect()}
+    assert rows["u1"].title_text is None and rows["u1"].spec_rows == [] and rows["u1"].error is None and rows["u3"].h1_text == "Lamp"
+
+
+def test_direct_inputs_are_derived_once(spark):
+    pages = spark.createDataFrame([("https://www.amazon.co.za/dp/B000000001", "<span id='productTitle'>Lamp</span>")], "url string, html string")
+    inputs = spark.createDataFrame([("https://www.amazon.co.za/x/dp/B000000001?a",), ("B000000001",)], "input string")
+    found = direct_run(inputs, pages, [F.col("input")])
+    assert "windowspecdefinition(unique_key" not in optimized(found)
+    assert [r.product_id for r in found.collect()] == ["B000000001"]
